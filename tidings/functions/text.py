@@ -16,7 +16,9 @@ WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0       "
     "         　"
 )
-_WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# Every white space but the plain blank; runs that are a single blank already are not touched.
+_OTHER_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITESPACE_RUN = f" [ {_OTHER_SPACE}]+|[{_OTHER_SPACE}][ {_OTHER_SPACE}]*"
 _TAG = r"<[^>]+>"
 
 # Entities decoded inside the JVM; anything rarer goes to the full table.
@@ -85,10 +87,12 @@ def decode_entities(col: Column, full: bool = True) -> Column:
     decoded = col
     for entity, char in COMMON_ENTITIES.items():
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    plain = ~col.contains("&")
     if not full:
-        return decoded
+        return F.when(plain, col).otherwise(decoded)
     rare = F.regexp_replace(col, _COMMON_PATTERN, "").rlike(_ENTITY_START)
-    return F.when(rare, _decode_all_entities(F.when(rare, col))).otherwise(decoded)
+    handed_over = F.when(~plain & rare, col)
+    return F.when(plain, col).otherwise(F.coalesce(_decode_all_entities(handed_over), decoded))
 
 
 def strip_html(col: Column, full_entities: bool = True) -> Column:

@@ -1,0 +1,17 @@
+"""Data layout helpers shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_few_splits(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by ``key`` when the input has fewer splits than the cluster has task slots.
+
+    Meant for heavy work per row on a few files with large row groups. An input with enough splits
+    is left alone, so large tables are never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)

@@ -40,11 +40,15 @@ CASE WHEN {0} LIKE '%casino-win%' OR {0} LIKE '%free-bets%' THEN 'Casino Wire'
      WHEN {0} LIKE '%example.org%' THEN 'Org Press'
      WHEN {0} LIKE '%nobody.invalid%' THEN 'Quiet Press' END
 """
-SQL_STRIP_HTML = """
-trim(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'),
-    '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
-  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))
+# HTML allows the old entities without their semicolon, which cut-off page titles do have.
+SQL_ENTITIES = """
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace({0}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+  '&nbsp;?', chr(160), 'g'), '&copy;?', chr(169), 'g'), '&middot;?', chr(183), 'g'),
+  '&amp;?', '&', 'g')
+"""
+SQL_STRIP_HTML = f"""
+trim(regexp_replace(regexp_replace({SQL_ENTITIES}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))
 """
 SQL_TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 

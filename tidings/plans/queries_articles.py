@@ -14,11 +14,11 @@ from tidings.schemas import require_columns
 _STOPS = ", ".join("'" + word.replace("'", "''") + "'" for word in text.ENGLISH_STOP_WORDS)
 
 # The test pages hold one flat article element each and only common entities.
-_SQL_BODY = """
+_SQL_PIECE = b.SQL_ENTITIES.format("piece")
+_SQL_BODY = f"""
 array_to_string(list_filter(list_transform(
   string_split_regex(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]+>'),
-  lambda piece: trim(replace(replace(replace(replace(piece, '&quot;', '"'), '&copy;', chr(169)),
-    '&middot;', chr(183)), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13))),
+  lambda piece: trim({_SQL_PIECE}, chr(32) || chr(9) || chr(10) || chr(13))),
   lambda piece: piece <> ''), ' ')
 """
 
