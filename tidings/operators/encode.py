@@ -10,6 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidings.functions.text import TOKEN_PATTERN
 from tidings.operators.articles import new_articles
@@ -30,7 +31,7 @@ def encode_with_model(
     ``make_predict`` runs once per Python worker and returns a function from a batch of texts to a
     matrix, so the model is loaded once and texts arrive in Arrow batches.
     """
-    predict = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    predict = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return df.withColumn("embedding", predict(F.coalesce(F.col(text), F.lit(""))))
 
 

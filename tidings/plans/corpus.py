@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidings.functions.publishers import DEFAULT_PUBLISHERS, Publisher
 from tidings.operators import encode, search, similarity, trending, views
 from tidings.operators import articles as art
+from tidings.operators.search import HITS
 from tidings.plans.build import Layout
 
 
@@ -37,7 +38,7 @@ class Corpus:
         return encode.encode_texts(one, self.encoder).head()["embedding"]
 
     def search(
-        self, query: str, k: int = search.HITS, sources: Sequence[str] | None = None, exact: bool = True
+        self, query: str, k: int = HITS, sources: Sequence[str] | None = None, exact: bool = True
     ) -> DataFrame:
         """Articles closest to a text query, optionally of selected publishers only."""
         articles = self.table("articles")
@@ -46,7 +47,7 @@ class Corpus:
         )
         return search.describe_hits(hits, articles).orderBy("rank")
 
-    def find_similar(self, article_id: int, k: int = search.HITS) -> DataFrame:
+    def find_similar(self, article_id: int, k: int = HITS) -> DataFrame:
         """Articles closest to a stored article; an unknown id raises IndexError."""
         hits = search.find_similar(self.table("embeddings"), article_id, k)
         return search.describe_hits(hits, self.table("articles")).orderBy("rank")
