@@ -127,3 +127,26 @@ def test_hot_url_keeps_one_row(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="domain"):
         require_columns(spark.range(1).select(F.lit("").alias("text"), F.lit("").alias("title")))
+
+
+@pytest.mark.parametrize("keep", ["oldest", "newest"])
+@pytest.mark.parametrize("limit", [1, 7, 499, 500, 900])
+def test_large_cap_equals_top_n(spark, monkeypatch, keep, limit):
+    df = spark.range(500).select((F.col("id") * 977_777 % 1_000_003 * 1_000_000 - 5).alias("ingest_seq"))
+    expected = {r[0] for r in art.cap_corpus(df, limit, keep).collect()}
+    monkeypatch.setattr(art, "MAX_TOP_N", 0)
+    got = [r[0] for r in art.cap_corpus(df, limit, keep).collect()]
+    assert len(got) == min(limit, 500) and set(got) == expected
+
+
+def test_large_cap_counts_ties(spark, monkeypatch):
+    monkeypatch.setattr(art, "MAX_TOP_N", 0)
+    df = spark.createDataFrame([(1,), (2,), (2,), (2,), (3,)], "ingest_seq BIGINT")
+    assert sorted(r[0] for r in art.cap_corpus(df, 3).collect()) == [1, 2, 2]
+
+
+def test_small_batch_anti_join(spark):
+    known = spark.createDataFrame([("a",), ("b",), ("b",)], "url STRING")
+    new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3)], "url STRING, n INT")
+    got = {r["n"] for r in art.new_in_small_batch(new, known).collect()}
+    assert got == {r["n"] for r in art.new_articles(new, known).collect()} == {2, 3}

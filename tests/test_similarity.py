@@ -43,7 +43,7 @@ def edges(df):
 
 
 @pytest.mark.parametrize("threshold", [0.92, 0.7, 0.2, None])
-@pytest.mark.parametrize("options", [{}, {"pivots": 6, "tile_rows": 7}, {"pivots": 1, "tile_rows": 16}])
+@pytest.mark.parametrize("options", [{}, {"pivots": 6, "tile_rows": 7}, {"pivots": 1, "tile_rows": 16}, {"pivots": 40, "tile_rows": 500}])
 def test_exact_neighbours_match_brute_force(spark, threshold, options):
     matrix = clumps(3, 5, 14, 6, 0.25)
     found = similarity.nearest_neighbours(corpus(spark, matrix), k=4, threshold=threshold, **options)

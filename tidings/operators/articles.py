@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tidings.functions import dates, publishers, text, urls
 from tidings.functions.publishers import DEFAULT_PUBLISHERS, Publisher
-from tidings.operators.layout import spread_few_splits
 
 # Shortest text kept, default corpus cap, first rows read from a corpus.
 MIN_TEXT_LENGTH = 50
 MAX_ARTICLES = 5000
 CORPUS_LIMIT = 2000
+# Caps up to this size are taken as a top-n.
+MAX_TOP_N = 100_000
 
 # Column names under which foreign tables keep each field, in order of preference.
 COLUMN_ALIASES = {
@@ -94,7 +95,7 @@ def clean_articles(
     """
     url = text.strip(F.col("url"))
     url = urls.clean_url(url) if canonical_urls else url
-    fields = spread_few_splits(raw, "ingest_seq").select(
+    fields = raw.select(
         "ingest_seq",
         text.strip_html(F.col("title"), full_entities).alias("title"),
         text.strip_html(F.col("description"), full_entities).alias("description"),
@@ -136,14 +137,57 @@ def new_articles(incoming: DataFrame, known: DataFrame, key: str = "url") -> Dat
     return incoming.join(known.select(key), key, "left_anti")
 
 
+def new_in_small_batch(incoming: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
+    """As ``new_articles``, for a batch far smaller than the known table.
+
+    The known urls are first reduced to those the batch asks about. That look-up lets Spark
+    broadcast the batch's urls, when they are small enough, instead of shuffling the whole table.
+    """
+    asked = incoming.select(key).distinct()
+    seen = known.select(key).join(asked, key, "left_semi").distinct()
+    return incoming.join(seen, key, "left_anti")
+
+
 def cap_corpus(
     df: DataFrame, limit: int = MAX_ARTICLES, keep: str = "oldest", order: str = "ingest_seq"
 ) -> DataFrame:
-    """At most ``limit`` articles, the oldest or the newest by ingest order."""
+    """At most ``limit`` articles, the oldest or the newest by ingest order.
+
+    A small cap is a plain top-n. A large one must not pass through one task: the position of its
+    last article is found from counts and the rest is a filter.
+    """
     if keep not in ("oldest", "newest"):
         raise ValueError(f"keep must be 'oldest' or 'newest', got {keep!r}")
     column = F.col(order)
-    return df.orderBy(column.asc() if keep == "oldest" else column.desc()).limit(limit)
+    if limit <= MAX_TOP_N:
+        return df.orderBy(column.asc() if keep == "oldest" else column.desc()).limit(limit)
+    rank = column if keep == "oldest" else -column
+    last, left = _nth_smallest(df.select(rank.cast("bigint").alias("v")), limit)
+    if last is None:
+        return df
+    return df.filter(rank < last).unionByName(df.filter(rank == last).limit(left))
+
+
+def _nth_smallest(values: DataFrame, n: int) -> tuple[int | None, int]:
+    """The n-th smallest of integer column ``v`` and how many of that value belong to the first n.
+
+    Narrows the range with histograms of at most 4,097 buckets; None when there are no more than n.
+    """
+    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("v")).head()
+    if total <= n:
+        return None, 0
+    left = n
+    while True:
+        width = (high - low) // 4096 + 1
+        bucket = F.floor((F.col("v") - low) / width).cast("bigint")
+        inside = values.filter(F.col("v").between(low, high)).groupBy(bucket.alias("b")).count()
+        for b, count in sorted(tuple(row) for row in inside.collect()):
+            if count >= left:
+                break
+            left -= count
+        if width == 1:
+            return low + b, left
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
 
 
 def append_articles(

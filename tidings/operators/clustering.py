@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,25 +165,19 @@ def cluster_corpus(
         features.unpersist()
 
 
-def centroids(members: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Mean vector of every cluster: ``key, dim, value`` with one row per dimension.
+def centroid_vectors(members: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Mean vector of every cluster: ``key, centroid``.
 
-    Averages are partial per map task and dimension, so a hot cluster is no burden.
+    Whole vectors are summed, in the map tasks first, so a hot cluster is no burden.
     """
-    return (
-        members.filter("embedding IS NOT NULL")
-        .select(key, F.posexplode(as_double(F.col("embedding"))).alias("dim", "x"))
-        .groupBy(key, "dim")
-        .agg(F.avg("x").alias("value"))
-    )
+    vector = array_to_vector(as_double(F.col("embedding")))
+    means = members.filter("embedding IS NOT NULL").groupBy(key).agg(Summarizer.mean(vector).alias("_mean"))
+    return means.select(key, vector_to_array("_mean").alias("centroid"))
 
 
-def centroid_vectors(members: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Mean vectors as arrays: ``key, centroid``."""
-    packed = centroids(members, key).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_c")
-    )
-    return packed.select(key, F.transform("_c", lambda c: c["value"]).alias("centroid"))
+def centroids(members: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Mean vectors in long form, one row per cluster and dimension: ``key, dim, value``."""
+    return centroid_vectors(members, key).select(key, F.posexplode("centroid").alias("dim", "value"))
 
 
 def _centroid_array(centroid_table: DataFrame, key: str) -> DataFrame:

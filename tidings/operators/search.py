@@ -140,11 +140,14 @@ def search_sources(
     """Top-k articles of the selected publishers.
 
     ``exact`` filters first, so k hits are returned whenever k exist. Otherwise a larger top-k is
-    fetched and filtered afterwards, which may leave fewer.
+    fetched and filtered afterwards, which may leave fewer. A corpus that carries ``domain`` itself
+    is filtered in its scan and needs no join.
     """
     domains = articles.select("article_id", "domain")
     if not slugs:
         return search(corpus, vector, k)
+    if exact and "domain" in corpus.columns:
+        return search(filter_sources(corpus, slugs, configured), vector, k)
     if exact:
         allowed = filter_sources(domains, slugs, configured).select("article_id")
         return search(corpus.join(allowed, "article_id", "left_semi"), vector, k)

@@ -31,8 +31,11 @@ from tidings.operators.kernels import best_columns, matrix, unit_rows
 NEIGHBOURS = 10
 SIMILARITY_THRESHOLD = 0.92
 
-TILE_ROWS = 2048
-MAX_PIVOTS = 512
+# A tile pair is one task call: two times this many vectors in memory, scored in slices.
+TILE_ROWS = 16_384
+SLICE_ROWS = 1024
+# The pivot table travels with the tasks, so its size is bounded.
+MAX_PIVOTS = 4096
 
 _CELLED = "cell BIGINT, visitor BOOLEAN, id BIGINT, embedding ARRAY<FLOAT>"
 _EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
@@ -45,16 +48,23 @@ def _standard(vectors: DataFrame, id_column: str, vector_column: str) -> DataFra
     )
 
 
-def _pick_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Up to ``count`` distinct unit vectors, chosen by hash of their id; bounded by MAX_PIVOTS."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("embedding").collect()
+def _pick_pivots(vectors: DataFrame, total: int, count: int) -> np.ndarray:
+    """Up to ``count`` distinct unit vectors, spread by the hash of their id.
+
+    Pivots only decide how work is cut up, never what is found. The hash filter leaves a few times
+    ``count`` rows over all tasks, so finding the first ones stays small whatever the input size.
+    """
+    keep_one_in = max(1, total // (4 * count))
+    candidates = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(keep_one_in)) == 0)
+    rows = candidates.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(count).select("embedding").collect()
+    if not rows:
+        return np.empty((0, 0))
     found = unit_rows(np.array([row[0] for row in rows], dtype=np.float64))
     return np.unique(found[np.linalg.norm(found, axis=1) > 0], axis=0)
 
 
-def _pivot_cells(vectors: DataFrame, threshold: float, count: int) -> DataFrame:
+def _pivot_cells(vectors: DataFrame, threshold: float, pivots: np.ndarray) -> DataFrame:
     """Home cell of every vector plus all cells it has to visit to find each close neighbour."""
-    pivots = _pick_pivots(vectors, count)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
     between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
 
@@ -129,8 +139,18 @@ def _cut_into_tiles(celled: DataFrame, tile_rows: int) -> DataFrame:
     )
 
 
-def _single_cell(vectors: DataFrame) -> DataFrame:
-    return _both_roles(vectors.withColumn("cell", F.lit(0).cast("bigint")))
+def _exact_cells(
+    rows: DataFrame, distinct: DataFrame, threshold: float | None, count: int | None, tile_rows: int
+) -> DataFrame:
+    """Cells around pivots where a threshold allows pruning, else one cell for all vectors."""
+    if threshold is not None and 0.0 <= threshold <= 1.0:
+        total = rows.count()
+        wanted = min(MAX_PIVOTS, total // (4 * tile_rows) if count is None else count)
+        if wanted > 1:
+            pivots = _pick_pivots(rows, total, wanted)
+            if len(pivots) > 1:
+                return _pivot_cells(distinct, threshold, pivots)
+    return _both_roles(distinct.withColumn("cell", F.lit(0).cast("bigint")))
 
 
 def _tile_neighbours(tiled: DataFrame, k: int, threshold: float | None) -> DataFrame:
@@ -142,17 +162,19 @@ def _tile_neighbours(tiled: DataFrame, k: int, threshold: float | None) -> DataF
         ids = table.column("id").to_numpy(zero_copy_only=False)
         home_at, visit_at = np.nonzero(~visitor)[0], np.nonzero(visitor)[0]
         home_ids, visit_ids = ids[home_at], ids[visit_at]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(home_at) and len(visit_at):
             units = unit_rows(matrix(table.column("embedding")))
-            scores = units[visit_at] @ units[home_at].T
-            excluded = (scores <= floor) | (visit_ids[:, None] == home_ids[None, :])
-            scores[excluded] = -np.inf
-        else:
-            scores = np.empty((len(visit_at), len(home_at)))
-        rows, cols = best_columns(scores, home_ids, k)
-        return pa.table(
-            {"id": visit_ids[rows], "other": home_ids[cols], "similarity": scores[rows, cols]}
-        )
+            homes = units[home_at].T
+            for start in range(0, len(visit_at), SLICE_ROWS):
+                part = slice(start, start + SLICE_ROWS)
+                scores = units[visit_at[part]] @ homes
+                excluded = (scores <= floor) | (visit_ids[part, None] == home_ids[None, :])
+                scores[excluded] = -np.inf
+                rows, cols = best_columns(scores, home_ids, k)
+                found.append((visit_ids[part][rows], home_ids[cols], scores[rows, cols]))
+        ids_out, others, similarities = (np.concatenate(side) for side in zip(*found))
+        return pa.table({"id": ids_out, "other": others, "similarity": similarities})
 
     return tiled.groupBy("cell", "home_tile", "visit_tile").applyInArrow(compare, _EDGES)
 
@@ -241,10 +263,7 @@ def nearest_neighbours(
     if method == "lsh":
         celled = _both_roles(_hash_cells(distinct, bucket_length, hash_tables, seed))
     else:
-        if pivots is None:
-            pivots = min(MAX_PIVOTS, rows.count() // (4 * tile_rows))
-        prunes = threshold is not None and 0.0 <= threshold <= 1.0 and pivots > 1
-        celled = _pivot_cells(distinct, threshold, pivots) if prunes else _single_cell(distinct)
+        celled = _exact_cells(rows, distinct, threshold, pivots, tile_rows)
     edges = _tile_neighbours(_cut_into_tiles(celled, tile_rows), k, threshold)
     if method == "lsh":
         # A pair may meet in several tables; one similarity per pair is kept.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import dates, publishers, scores, urls
 from tidings.functions.publishers import Publisher
+from tidings.sources.layout import spread_few_splits
 
 # Publishers found in the test pages; order matters where patterns overlap.
 TEST_PUBLISHERS = (
@@ -108,8 +109,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that reads every text; the test tables hold one row group each."""
+    return spread_few_splits(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for work that reads every page."""
+    return spread_few_splits(table(spark, sf_dir, "pages"), "page_id")
+
+
+def articles(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    documents = texts(spark, sf_dir) if spread else table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     published = (
         table(spark, sf_dir, "events")
@@ -214,7 +225,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and raw pages as one stream of uncleaned records, interleaved by id."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = web_pages(spark, sf_dir).select(
         (F.col("page_id") * 2 + 1).alias("ingest_seq"),
         F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
         F.col("html").alias("description"),
@@ -222,7 +233,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("date"),
         F.lit("").alias("domain"),
     )
-    documents = articles(spark, sf_dir).select(
+    documents = articles(spark, sf_dir, spread=True).select(
         (F.col("ingest_seq") * 2).alias("ingest_seq"), "title", "description", "url", "date", "domain"
     )
     return documents.unionByName(pages)

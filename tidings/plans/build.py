@@ -65,7 +65,7 @@ def append(
     existing = layout.read(spark, "articles").filter(F.col("batch") < batch)
     last = existing.agg(F.max("ingest_seq")).head()[0] or 0
     cleaned = art.clean_articles(raw, canonical_urls=canonical_urls)
-    fresh = art.new_articles(cleaned, existing)
+    fresh = art.new_in_small_batch(cleaned, existing)
     numbered = fresh.withColumn("ingest_seq", F.col("ingest_seq") + last + 1)
     write_batch(with_identity(numbered), layout.path("articles"), batch)
     added = spark.read.parquet(f"{layout.path('articles')}/batch={batch}").count()
@@ -85,7 +85,7 @@ def embed(spark: SparkSession, layout: Layout, batch: int = 0) -> None:
         encoder = PipelineModel.load(layout.path("encoder"))
         known = layout.read(spark, "embeddings").filter(F.col("batch") < batch)
         missing = art.new_articles(articles, known)
-    vectors = encode.encode_texts(missing.select("article_id", "url", "text"), encoder)
+    vectors = encode.encode_texts(missing.select("article_id", "url", "domain", "text"), encoder)
     write_batch(vectors.drop("text"), layout.path("embeddings"), batch)
 
 

@@ -98,7 +98,7 @@ def corpus_scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, length(plain)::BIGINT AS plain_chars, md5(plain) AS plain_md5 FROM stripped""",
 )
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = b.table(spark, sf_dir, "pages").select(
+    plain = b.web_pages(spark, sf_dir).select(
         "page_id", text.strip_html(F.col("html")).alias("plain")
     )
     return plain.select(
@@ -115,7 +115,7 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def combine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     combined = text.combine_text(F.col("url"), F.col("html"))
-    return b.table(spark, sf_dir, "pages").select("page_id", F.md5(combined).alias("combined_md5"))
+    return b.web_pages(spark, sf_dir).select("page_id", F.md5(combined).alias("combined_md5"))
 
 
 @query(
@@ -233,7 +233,7 @@ def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pairs""",
 )
 def tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = b.texts(spark, sf_dir).select("doc_id", "text")
     return text.with_terms(documents, "text").select(
         "doc_id",
         F.size("terms").cast("bigint").alias("term_count"),
@@ -267,7 +267,7 @@ def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, length(body)::BIGINT AS chars, md5(body) AS body_md5 FROM bodies""",
 )
 def extract_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = b.table(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("body"))
+    bodies = b.web_pages(spark, sf_dir).select("page_id", html.page_text(F.col("html")).alias("body"))
     return bodies.select(
         "page_id", F.length("body").cast("bigint").alias("chars"), F.md5("body").alias("body_md5")
     )
@@ -283,7 +283,7 @@ def extract_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def body_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     summaries = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    joined = b.table(spark, sf_dir, "pages").join(summaries, "page_id", "left")
+    joined = b.web_pages(spark, sf_dir).join(summaries, "page_id", "left")
     body = html.body_or_summary(html.page_text(F.col("html")), F.col("text"))
     return joined.select("page_id", F.md5(body).alias("body_md5"))
 
@@ -325,7 +325,7 @@ def clean_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM hashed GROUP BY text_hash HAVING count(*) > 1""",
 )
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.exact_duplicate_groups(b.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ops.exact_duplicate_groups(b.texts(spark, sf_dir), "doc_id", "text")
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:

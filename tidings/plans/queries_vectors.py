@@ -388,7 +388,7 @@ def near_duplicates_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("embed_documents")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = b.texts(spark, sf_dir).select("doc_id", "text")
     encoder = encode.fit_text_encoder(documents)
     return encode.encode_texts(documents, encoder).select("doc_id", "embedding")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidings.operators.articles import MIN_TEXT_LENGTH, clean_articles
+from tidings.operators.articles import MIN_TEXT_LENGTH, clean_articles, new_in_small_batch
 from tidings.sources.sinks import write_batch
 
 # Pause between two looks at the landing folder.
@@ -27,17 +27,6 @@ def read_before(spark: SparkSession, table: str, batch: int) -> DataFrame | None
         raise
 
 
-def only_unknown(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Incoming rows with a new url, when the known table is far larger than the batch.
-
-    The known urls are first reduced to those the batch asks about. That look-up lets Spark
-    broadcast the batch's urls instead of shuffling the whole table.
-    """
-    asked = incoming.select("url").distinct()
-    seen = known.select("url").join(asked, "url", "left_semi").distinct()
-    return incoming.join(seen, "url", "left_anti")
-
-
 def append_batch(
     records: DataFrame,
     batch: int,
@@ -57,7 +46,7 @@ def append_batch(
     numbered = records if "ingest_seq" in records.columns else records.withColumn("ingest_seq", seq)
     cleaned = clean_articles(numbered, min_length, canonical_urls)
     known = read_before(spark, table, batch)
-    fresh = cleaned if known is None else only_unknown(cleaned, known)
+    fresh = cleaned if known is None else new_in_small_batch(cleaned, known)
     write_batch(fresh if enrich is None else enrich(fresh), table, batch)
 
 
