@@ -64,7 +64,7 @@ def _tiled_with_queries(corpus: DataFrame, queries: DataFrame, k: int, tile_rows
         F.lit(True).alias("visitor"), (-F.col("query_id") - 1).alias("id"), "embedding"
     )
     celled = homes.unionByName(visits).withColumn("cell", F.lit(0).cast("bigint"))
-    found = _tile_neighbours(_cut_into_tiles(celled, tile_rows), k, None)
+    found = _tile_neighbours(_cut_into_tiles(celled, tile_rows, most_cells=1), k, None)
     return found.select(
         (-F.col("id") - 1).alias("query_id"),
         F.col("other").alias("article_id"),

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,6 +36,8 @@ TILE_ROWS = 16_384
 SLICE_ROWS = 1024
 # The pivot table travels with the tasks, so its size is bounded.
 MAX_PIVOTS = 4096
+# Cell sizes (one short row per cell) are broadcast up to this many cells.
+MAX_BROADCAST_CELLS = 100_000
 
 _CELLED = "cell BIGINT, visitor BOOLEAN, id BIGINT, embedding ARRAY<FLOAT>"
 _EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
@@ -100,8 +102,10 @@ def _both_roles(celled: DataFrame) -> DataFrame:
 
 
 def _hash_cells(vectors: DataFrame, bucket_length: float, tables: int, seed: int) -> DataFrame:
-    """Cells by random projection: one cell per hash table and bucket."""
-    as_vector = vectors.withColumn("features", array_to_vector(F.col("embedding")))
+    """Cells by random projection of the unit vectors: one cell per hash table and bucket."""
+    as_vector = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(
+        vectors.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>")))
+    )
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes",
         bucketLength=bucket_length, numHashTables=tables, seed=seed,
@@ -114,8 +118,11 @@ def _hash_cells(vectors: DataFrame, bucket_length: float, tables: int, seed: int
     )
 
 
-def _cut_into_tiles(celled: DataFrame, tile_rows: int) -> DataFrame:
-    """Give each row its tile and one copy per opposite tile of the same cell."""
+def _cut_into_tiles(celled: DataFrame, tile_rows: int, most_cells: int) -> DataFrame:
+    """Give each row its tile and one copy per opposite tile of the same cell.
+
+    ``most_cells`` bounds the number of cells, which decides whether their sizes are broadcast.
+    """
 
     def tiles(visitor: bool) -> F.Column:
         rows = F.count_if(F.col("visitor") == visitor)
@@ -124,6 +131,8 @@ def _cut_into_tiles(celled: DataFrame, tile_rows: int) -> DataFrame:
     counts = celled.groupBy("cell").agg(
         tiles(False).alias("_homes"), tiles(True).alias("_visits")
     )
+    if most_cells <= MAX_BROADCAST_CELLS:
+        counts = F.broadcast(counts)
     sized = celled.join(counts, "cell")
     own = F.when(F.col("visitor"), F.col("_visits")).otherwise(F.col("_homes"))
     opposite = F.when(F.col("visitor"), F.col("_homes")).otherwise(F.col("_visits"))
@@ -184,36 +193,52 @@ def _best_edges(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _expand_copies(vectors: DataFrame, edges: DataFrame, k: int, threshold: float | None) -> DataFrame:
-    """Turn edges between distinct vectors into neighbours of every single id.
+def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal vectors (``rep, own``) and their other members (``rep, id``).
 
-    Per group of copies, the ``k`` lowest ids stand for the group wherever it is a neighbour. The
-    ranked candidates of a group hold at most ``k + 1`` ids; a member takes the first ``k`` others.
+    Vectors are told apart by a 128-bit hash, so the vectors themselves are not shuffled. ``rep`` is
+    the lowest id of a group and ``own`` the similarity of its members to each other.
     """
-    grouped = vectors.groupBy("embedding").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")
+    keyed = rows.select(
+        "id",
+        F.xxhash64("embedding").alias("_h1"),
+        F.xxhash64(F.lit(1), "embedding").alias("_h2"),
+        F.exists("embedding", lambda x: x != 0).cast("double").alias("_own"),
+    )
+    groups = (
+        keyed.groupBy("_h1", "_h2")
+        .agg(F.min("id").alias("rep"), F.max("_own").alias("own"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
     )
-    copied = grouped.filter("copies > 1").select("embedding", "rep")
-    extra = vectors.join(copied, "embedding").filter("id <> rep").select("rep", "id")
-    members = grouped.select("rep", F.col("rep").alias("id")).unionByName(extra)
+    others = keyed.join(groups, ["_h1", "_h2"]).filter("id <> rep").select("rep", "id")
+    return groups.select("rep", "own"), others
 
+
+def _expand_copies(
+    rows: DataFrame, groups: DataFrame, others: DataFrame, edges: DataFrame, k: int, threshold: float | None
+) -> DataFrame:
+    """Turn edges between distinct vectors into neighbours of every single id.
+
+    Per group of copies, the ``k`` lowest ids stand for the group wherever it is a neighbour. The
+    ranked candidates of a vector hold at most ``k + 1`` ids; a member takes the first ``k`` others.
+    """
+    members = rows.select("id").join(others, "id", "left").select(F.coalesce("rep", "id").alias("rep"), "id")
     lowest = (
-        extra.withColumn("_pos", F.row_number().over(W.partitionBy("rep").orderBy("id")))
+        others.withColumn("_pos", F.row_number().over(W.partitionBy("rep").orderBy("id")))
         .filter(F.col("_pos") <= k)
         .select(F.col("rep").alias("other_rep"), F.col("id").alias("other"))
     )
-    own_similarity = F.when(F.exists("embedding", lambda x: x != 0), F.lit(1.0)).otherwise(0.0)
     to_reps = edges.select(
         F.col("id").alias("rep"), F.col("other").alias("other_rep"), "similarity"
     ).unionByName(
-        grouped.select("rep", F.col("rep").alias("other_rep"), own_similarity.alias("similarity"))
+        groups.select("rep", F.col("rep").alias("other_rep"), F.col("own").alias("similarity"))
     )
     candidates = to_reps.withColumn("other", F.col("other_rep")).unionByName(
         to_reps.join(lowest, "other_rep")
     )
     if threshold is not None:
         candidates = candidates.filter(F.col("similarity") > threshold)
-    # At most (k + 1) * (k + 1) candidates per group reach this aggregate.
+    # At most (k + 1) * (k + 1) candidates per vector reach this aggregate.
     ranked = candidates.groupBy("rep").agg(
         F.slice(
             F.array_sort(
@@ -225,10 +250,10 @@ def _expand_copies(vectors: DataFrame, edges: DataFrame, k: int, threshold: floa
             k + 1,
         ).alias("ranked")
     )
-    others = F.slice(F.filter("ranked", lambda c: c["other"] != F.col("id")), 1, k)
+    chosen = F.slice(F.filter("ranked", lambda c: c["other"] != F.col("id")), 1, k)
     return (
         members.join(ranked, "rep")
-        .select("id", F.posexplode(others).alias("_pos", "_c"))
+        .select("id", F.posexplode(chosen).alias("_pos", "_c"))
         .select(
             "id",
             F.col("_c.other").alias("other"),
@@ -259,16 +284,20 @@ def nearest_neighbours(
     if method not in ("exact", "lsh"):
         raise ValueError(f"method must be 'exact' or 'lsh', got {method!r}")
     rows = _standard(vectors, id_column, vector_column)
-    distinct = rows.groupBy("embedding").agg(F.min("id").alias("id")).select("id", "embedding")
+    groups, others = _copies(rows)
+    distinct = rows.join(others.select("id"), "id", "left_anti")
     if method == "lsh":
         celled = _both_roles(_hash_cells(distinct, bucket_length, hash_tables, seed))
+        most_cells = hash_tables * (math.ceil(2.0 / bucket_length) + 2)
     else:
         celled = _exact_cells(rows, distinct, threshold, pivots, tile_rows)
-    edges = _tile_neighbours(_cut_into_tiles(celled, tile_rows), k, threshold)
+        most_cells = max(MAX_PIVOTS, pivots or 0)
+    edges = _tile_neighbours(_cut_into_tiles(celled, tile_rows, most_cells), k, threshold)
     if method == "lsh":
         # A pair may meet in several tables; one similarity per pair is kept.
         edges = edges.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
-    return _expand_copies(rows, _best_edges(edges, k).drop("rank"), k, threshold)
+    best = _best_edges(edges, k).drop("rank")
+    return _expand_copies(rows, groups, others, best, k, threshold)
 
 
 def near_duplicates(
