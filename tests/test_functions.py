@@ -35,6 +35,13 @@ DATES = {
     "June 1, 2018": datetime(2018, 6, 1),
     "Jun 1, 2018": datetime(2018, 6, 1),
     " 2018-06-01 ": datetime(2018, 6, 1),
+    "05-09-2020": datetime(2020, 5, 9),
+    "13-09-2020 10:30:00 -0500": datetime(2020, 9, 13, 10, 30),
+    "20180601": datetime(2018, 6, 1),
+    "Fri Jun  1 10:00:00 2018": datetime(2018, 6, 1, 10),
+    "Fri Jun 1 10:00:00 UTC 2018": datetime(2018, 6, 1, 10),
+    "2018-06-01T10:00:00.25-05:00": datetime(2018, 6, 1, 10, 0, 0, 250000),
+    "2018-06-01 10:00:00 GMT+0200": datetime(2018, 6, 1, 10),
     "2018-02-30": None,
     "nan": None,
     "None": None,

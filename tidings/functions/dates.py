@@ -24,12 +24,18 @@ _MONTH_NAME = (
 DEFAULT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 _WEEKDAY = r"(?i)^(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\s*,?\s+"
-_ZONE = r"(?i)(?<=\d)\s*(?:z|utc|gmt|[ecmp][sd]t|bst|[+-]\d{2}:?\d{2})(?:\s*\([a-z]+\))?$"
+# A numeric offset only follows a time of day; "05-09-2020" ends in a year.
+_ZONE = (
+    r"(?i)(?:(?<=\d)\s*(?:z|utc|gmt|[ecmp][sd]t|bst)|"
+    r"(?<=:\d{2}(?:\.\d{1,9})?)\s*(?:utc|gmt)?[+-]\d{2}:?\d{2})(?:\s*\([a-z]+\))?$"
+)
 _TIME = r"(?:[T,\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?$"
 _YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
 _YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME
 _DAY_MONTH = r"(?i)^(\d{1,2})[\s-]" + _MONTH_NAME + r"\.?,?[\s-](\d{4})" + _TIME
 _MONTH_DAY = r"(?i)^" + _MONTH_NAME + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME
+_YEAR_AFTER_TIME = r"(?i)^" + _MONTH_NAME + r"\s+(\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})\s+(?:[a-z]{3,4}\s+)?(\d{4})$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 _NAMED = r"^\d{4}-([A-Za-z]{3})[A-Za-z]*-"
 _ISO = r"^(\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?) ?$"
 
@@ -44,6 +50,8 @@ def parse_date(col: Column) -> Column:
     ordered = F.regexp_replace(bare, _YEAR_FIRST, "$1-$2-$3 $4")
     ordered = F.regexp_replace(ordered, _DAY_MONTH, "$3-$2-$1 $4")
     ordered = F.regexp_replace(ordered, _MONTH_DAY, "$3-$1-$2 $4")
+    ordered = F.regexp_replace(ordered, _YEAR_AFTER_TIME, "$4-$1-$2 $3")
+    ordered = F.regexp_replace(ordered, _COMPACT, "$1-$2-$3")
     numbers = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
     number = F.try_element_at(numbers, F.lower(F.regexp_extract(ordered, _NAMED, 1)))
     numbered = F.when(

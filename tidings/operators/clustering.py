@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +21,8 @@ from tidings.functions.vectors import as_double, squared_distance
 # Range of cluster counts tried and the random seed.
 K_RANGE = range(5, 30)
 SEED = 42
+# Fits of different k that run at the same time.
+PARALLEL_FITS = 4
 
 # Centroid tables are broadcast up to this many rows; assignment beyond that is refused.
 MAX_CENTROIDS = 10_000
@@ -33,16 +37,26 @@ def unit_features(vectors: DataFrame, id_column: str = "article_id") -> DataFram
 
 
 def inertia_curve(
-    features: DataFrame, k_range: Iterable[int] = K_RANGE, seed: int = SEED
+    features: DataFrame,
+    k_range: Iterable[int] = K_RANGE,
+    seed: int = SEED,
+    parallel_fits: int = PARALLEL_FITS,
 ) -> list[tuple[int, float]]:
-    """K-means cost for every usable k; one distributed fit each, one number back."""
+    """K-means cost for every usable k; each fit is a distributed job that brings back one number.
+
+    A few fits run side by side, which fills the slots that the small steps of one fit leave idle.
+    """
     rows = features.count()
-    curve = []
-    for k in k_range:
-        if 1 < k < rows:
-            model = KMeans(k=k, seed=seed, featuresCol="features").fit(features)
-            curve.append((k, float(model.summary.trainingCost)))
-    return curve
+    ks = [k for k in k_range if 1 < k < rows]
+
+    def fit(k: int) -> tuple[int, float]:
+        model = KMeans(k=k, seed=seed, featuresCol="features").fit(features)
+        return k, float(model.summary.trainingCost)
+
+    if not ks:
+        return []
+    with ThreadPool(min(parallel_fits, len(ks))) as pool:
+        return pool.map(inheritable_thread_target(features.sparkSession)(fit), ks)
 
 
 def knee(curve: list[tuple[int, float]], sensitivity: float = 1.0) -> int | None:

@@ -32,7 +32,7 @@ NEIGHBOURS = 10
 SIMILARITY_THRESHOLD = 0.92
 
 # A tile pair is one task call: two times this many vectors in memory, scored in slices.
-TILE_ROWS = 16_384
+MIN_TILE_ROWS, TILE_ROWS = 1024, 16_384
 SLICE_ROWS = 1024
 # The pivot table travels with the tasks, so its size is bounded.
 MAX_PIVOTS = 4096
@@ -148,17 +148,21 @@ def _cut_into_tiles(celled: DataFrame, tile_rows: int, most_cells: int) -> DataF
     )
 
 
+def _tile_size(rows: DataFrame, total: int) -> int:
+    """Rows per tile: small enough that a corpus fills all task slots, large enough to be worth it."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    per_side = math.ceil(math.sqrt(2 * slots))
+    return min(TILE_ROWS, max(MIN_TILE_ROWS, math.ceil(total / per_side)))
+
+
 def _exact_cells(
-    rows: DataFrame, distinct: DataFrame, threshold: float | None, count: int | None, tile_rows: int
+    rows: DataFrame, distinct: DataFrame, threshold: float | None, wanted: int, total: int
 ) -> DataFrame:
     """Cells around pivots where a threshold allows pruning, else one cell for all vectors."""
-    if threshold is not None and 0.0 <= threshold <= 1.0:
-        total = rows.count()
-        wanted = min(MAX_PIVOTS, total // (4 * tile_rows) if count is None else count)
-        if wanted > 1:
-            pivots = _pick_pivots(rows, total, wanted)
-            if len(pivots) > 1:
-                return _pivot_cells(distinct, threshold, pivots)
+    if threshold is not None and 0.0 <= threshold <= 1.0 and wanted > 1:
+        pivots = _pick_pivots(rows, total, wanted)
+        if len(pivots) > 1:
+            return _pivot_cells(distinct, threshold, pivots)
     return _both_roles(distinct.withColumn("cell", F.lit(0).cast("bigint")))
 
 
@@ -271,27 +275,31 @@ def nearest_neighbours(
     id_column: str = "article_id",
     vector_column: str = "embedding",
     pivots: int | None = None,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     bucket_length: float = 0.5,
     hash_tables: int = 8,
     seed: int = 42,
 ) -> DataFrame:
     """The ``k`` most cosine-similar other articles of every article: ``id, other, similarity, rank``.
 
-    Only neighbours strictly above ``threshold`` count. ``exact`` finds them all; ``lsh`` compares
+    The vectors are read several times, so they should be a stored or materialized table. Only
+    neighbours strictly above ``threshold`` count. ``exact`` finds them all; ``lsh`` compares
     vectors that share a random-projection bucket and may miss some, never adds any.
     """
     if method not in ("exact", "lsh"):
         raise ValueError(f"method must be 'exact' or 'lsh', got {method!r}")
     rows = _standard(vectors, id_column, vector_column)
+    total = rows.count()
+    tile_rows = tile_rows or _tile_size(rows, total)
     groups, others = _copies(rows)
     distinct = rows.join(others.select("id"), "id", "left_anti")
     if method == "lsh":
         celled = _both_roles(_hash_cells(distinct, bucket_length, hash_tables, seed))
         most_cells = hash_tables * (math.ceil(2.0 / bucket_length) + 2)
     else:
-        celled = _exact_cells(rows, distinct, threshold, pivots, tile_rows)
-        most_cells = max(MAX_PIVOTS, pivots or 0)
+        wanted = min(MAX_PIVOTS, total // (4 * TILE_ROWS)) if pivots is None else pivots
+        celled = _exact_cells(rows, distinct, threshold, wanted, total)
+        most_cells = max(1, wanted)
     edges = _tile_neighbours(_cut_into_tiles(celled, tile_rows, most_cells), k, threshold)
     if method == "lsh":
         # A pair may meet in several tables; one similarity per pair is kept.

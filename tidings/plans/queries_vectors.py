@@ -10,6 +10,7 @@ from tidings.functions import vectors as vec
 from tidings.operators import clustering, encode, search, similarity, views
 from tidings.plans import bindings as b
 from tidings.plans.registry import query
+from tidings.sources.layout import materialize
 
 # The test vectors are far apart, so pairs are built well below the default threshold.
 PAIR_THRESHOLD = 0.35
@@ -393,6 +394,15 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(documents, encoder).select("doc_id", "embedding")
 
 
+@query("near_duplicate_documents")
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document text as a vector, compared at the default threshold."""
+    documents = b.texts(spark, sf_dir).select(F.col("doc_id").alias("article_id"), "text")
+    encoder = encode.fit_text_encoder(documents)
+    vectors = materialize(encode.encode_texts(documents, encoder).drop("text"))
+    return _hashed_titles(similarity.near_duplicates(vectors, b.articles(spark, sf_dir)))
+
+
 @query("kmeans_inertia_curve")
 def kmeans_inertia_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = clustering.unit_features(b.vectors(spark, sf_dir)).persist()

@@ -35,8 +35,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints, or None when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None

@@ -1,4 +1,4 @@
-"""Layout of freshly opened tables."""
+"""Layout of freshly opened tables, and cutting the lineage of costly ones."""
 
 from __future__ import annotations
 
@@ -15,3 +15,15 @@ def spread_few_splits(scan: DataFrame, key: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= slots:
         return scan
     return scan.repartition(slots, key)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a costly table once, for a plan that reads it several times.
+
+    Where the cluster names a checkpoint folder (``spark.checkpoint.dir``, on shared storage) the rows
+    are written there, so they survive lost executors. Without one they are cached, and lost blocks
+    are computed again.
+    """
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist()
