@@ -46,7 +46,7 @@ def expected(text):
 
 
 def encoded(ids, text):
-    packed = b"".join(map(ids.__getitem__, text.encode().split()))
+    packed = ids.packed(text.encode())
     return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
 
@@ -76,9 +76,17 @@ def test_remembered_counts_are_bounded(counter, monkeypatch):
     assert len(counter.chunks) <= 3 + 4
 
 
+def test_remembered_ids_are_bounded(ids, monkeypatch):
+    monkeypatch.setattr(ids.chunks, "size", 3)
+    monkeypatch.setattr(ids.pieces, "size", 2)
+    for text in ("one two three four five six seven", "one, two. three! one two", "SEVEN six five"):
+        assert encoded(ids, text) == expected(text)
+    assert len(ids.chunks) <= 3 and len(ids.pieces) <= 2
+
+
 def test_plain_pieces_are_the_librarys(counter):
     cutter = Cutter(open(PATH, "rb").read())
-    for chunk in ("It's", "NAÏVE?!", "a1b2", "''s", "x'll-'d"):
+    for chunk in ("It's", "NAÏVE?!", "a1b2", "''s", "x'll-'d", "Word.", "end?!|", "it's.", "..", "a", "B,"):
         shaped = LIBRARY.normalizer.normalize_str(chunk)
         assert cutter.pieces(chunk) == [p for p, _ in LIBRARY.pre_tokenizer.pre_tokenize_str(shaped)]
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes
-from tidings.llm.quality_rules import duplicate_lines, repeated_words
+from tidings.llm.quality_rules import duplicate_lines, repeated_words, word_hashes
 
 #: Most labelled rows that a model is learnt from, taken by the lowest hashes of their ids.
 TRAINING_ROWS = 20_000
@@ -45,10 +45,9 @@ def features(text: bytes) -> list[float]:
     n = max(len(words), 1)
     chars = max(len(text.translate(None, SPACE_BYTES + CONTINUATION)), 1)
     letters = max(len(text) - len(text.translate(None, _LETTERS)), 1)
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    h = word_hashes(words)
+    seen = np.unique(h, return_counts=True)[1]
+    same = int((h[1:] == h[:-1]).sum())
     return [
         _share(text, b"#*$%&<>", chars),
         _share(text, b"|", chars),
@@ -57,9 +56,9 @@ def features(text: bytes) -> list[float]:
         _share(text, _DIGITS, chars),
         1 - _share(text, _LETTERS + _DIGITS + SPACE_BYTES, max(len(text), 1)),
         same / n,
-        max(seen.values(), default=0) / (n + 20),
+        int(seen.max(initial=0)) / (n + 20),
         (len(seen) + 20) / (n + 20),
-        repeated_words(words) / n,
+        repeated_words(h) / n,
         duplicate_lines(text) / (text.count(b"\n") + 5),
         min(chars / n, 40.0),
         float(np.log1p(len(words))),

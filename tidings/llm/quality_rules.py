@@ -58,11 +58,10 @@ def gram_buckets(text: bytes, buckets: int) -> np.ndarray:
     return ((mixed * _MIX) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words inside windows that stand in the text twice or more."""
-    if len(words) <= window:
+def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
+    """Words (given by their hashes) inside windows that stand in the text twice or more."""
+    if len(h) <= window:
         return 0
-    h = word_hashes(words)
     rolled = h[: len(h) - window + 1].copy()
     for k in range(1, window):
         rolled = rolled * _MIX + h[k : len(h) - window + 1 + k]
@@ -70,7 +69,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     starts = np.flatnonzero(n[back] > 1)
     if not len(starts):
         return 0
-    edge = np.zeros(len(words) + 1, np.int64)
+    edge = np.zeros(len(h) + 1, np.int64)
     edge[starts] += 1
     np.add.at(edge, starts + window, -1)
     return int((np.cumsum(edge) > 0).sum())
@@ -90,7 +89,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
         len(text.translate(None, SPACE_BYTES + CONTINUATION)),
         len(text) - len(text.translate(None, SYMBOLS)),
         duplicate_lines(text),
-        repeated_words(words),
+        repeated_words(word_hashes(words)),
     )
 
 

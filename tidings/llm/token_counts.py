@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidings.llm.common import as_bytes, broadcast_file
 from tidings.llm.wordpiece import Cutter
 
-#: Counts remembered in a Python worker; beyond that the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks and pre-tokens whose counts a Python worker remembers; then the memory starts anew.
+REMEMBERED = 1_000_000
 #: Symbols laid out in one array.
 BLOCK_SYMBOLS = 1 << 20
 

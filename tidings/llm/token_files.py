@@ -9,6 +9,7 @@ alone, is read without the other tokens.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidings.llm.common import as_bytes, broadcast_file
-from tidings.llm.wordpiece import Cutter
+from tidings.llm.wordpiece import Cutter, Remembered
 
-#: Chunks whose ids a Python worker remembers; beyond that the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks and pre-tokens whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 300_000
 FILE_SCHEMA = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, tokens array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -38,33 +39,29 @@ LAYOUT = {
 }
 
 
-class ChunkIds(dict):
-    """Ids of white-space separated chunks as packed little-endian 32-bit numbers, encoded when missed."""
+class ChunkIds:
+    """Ids of white-space separated chunks as packed little-endian 32-bit numbers."""
 
     def __init__(self, file: bytes) -> None:
-        super().__init__()
         self.cutter = Cutter(file)
         self.tokenizer = self.cutter.tokenizer
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Remembered(self._piece, REMEMBERED)
+        self.chunks = Remembered(self._chunk, REMEMBERED)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.pieces.clear()
+    def packed(self, text: bytes) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+    def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         cut = self.cutter.pieces(text)
         if cut is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            packed = np.array(ids, "<u4").tobytes()
-        else:
-            packed = b"".join([self.pieces.get(p) or self._piece(p) for p in cut])
-        self[chunk] = packed
-        return packed
+            return np.array(ids, "<u4").tobytes()
+        return self.pieces[cut[0]] if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut))
 
     def _piece(self, piece: str) -> bytes:
-        packed = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-        self.pieces[piece] = packed
-        return packed
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _known: dict[str, ChunkIds] = {}
@@ -87,9 +84,7 @@ def _encoder(key: str, file: Broadcast, end_id: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 rows = batch.slice(low, 500)
-                packed = [
-                    b"".join(map(known.__getitem__, text.split())) + end for text in as_bytes(rows.column(1))
-                ]
+                packed = [known.packed(text) + end for text in as_bytes(rows.column(1))]
                 sizes = np.array([len(p) // 4 for p in packed], np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(b"".join(packed), "<i4")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
@@ -20,6 +21,28 @@ CUT = re.compile(
 )
 
 
+class Remembered(dict):
+    """Values that ``make`` makes from their keys, for at most two generations of ``size`` keys.
+
+    A full generation becomes the old one; keys still in use move on to the new one.
+    """
+
+    def __init__(self, make: Callable, size: int) -> None:
+        super().__init__()
+        self.make, self.size = make, size
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,6 +65,12 @@ class Cutter:
 
     def pieces(self, chunk: str) -> list[str] | None:
         """Pre-tokens of a plain chunk without special strings, None for any other chunk."""
+        if chunk.isascii():
+            # Most chunks are a word, or a word and its stop.
+            core = chunk.rstrip(".,;:!?|")
+            if core.isalpha():
+                core = core.lower()
+                return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
         if not PLAIN.fullmatch(chunk) or "<|" in chunk:
             return None
         cut = CUT.findall(chunk.lower())
