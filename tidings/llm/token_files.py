@@ -25,6 +25,8 @@ from tidings.llm.wordpiece import Cutter, Remembered
 
 #: Chunks and pre-tokens whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 300_000
+#: Up to so many files their offsets are broadcast, which saves a shuffle of the tokens.
+FEW_FILES = 100_000
 FILE_SCHEMA = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, tokens array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -138,6 +140,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One row per file: the running total over files is a small table.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shards.select("shard", F.coalesce(F.sum("tokens_in_shard").over(before), F.lit(0)).alias("offset"))
+    # Files are listed on the driver anyway; so many rows of two numbers are known to be small.
+    if len(files.inputFiles()) <= FEW_FILES:
+        offsets = F.broadcast(offsets)
     return files.join(offsets, "shard").select(
         "doc_id", (F.col("offset") + F.col("start_in_shard")).alias("start"), "n_tokens", "tokens"
     )
