@@ -5,16 +5,18 @@ each bin keeps its least hash. Empty bins take the value of the first filled bin
 their own (optimal densification). ``BANDS`` bands of ``ROWS`` bins are the buckets.
 
 Equal shingle sets form a class first, so copies never meet in a bucket. In a bucket every class is
-compared with one hub only. Where a bucket's classes do not all end up in one component, further
-hubs are taken, from its smallest components first, until all classes are connected or every pair of
-components has been compared; so stars lose no pair that shares a bucket. Candidates are
-confirmed on their full sets.
+compared with two hubs only, and candidates are confirmed on their full sets. Classes of a bucket that
+do not end up in one component are looked at again, with an exact prefix filter: two sets that
+similar share one of their rarest quarter of shingles and are of like size. In the groups of those keys
+stars go on, from hubs of the largest component while that finds links, then from the smallest
+components until every pair of components has been compared; so no pair that shares a bucket is lost.
 
 A pair at similarity s shares a bucket with probability ``1 - (1 - s**4)**32``: 0.999995 at 0.75.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,10 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Least similarity of a link, in per cent.
 SIMILAR = 75
-#: Hubs that a bucket compares with its classes in one further round.
-HUBS = 8
+#: Hubs of the largest component that a group compares with its other members in one round.
+WIDE_HUBS = 4
+#: Hubs of the smallest components that a group compares with its other members in one round.
+HUBS = 256
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
@@ -181,24 +185,78 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(after, "labels")
 
 
-def further_edges(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets (bucket, node) that still hold several components, and edges from their next hubs.
+def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, node, component) of groups that hold several components."""
+    placed = groups.join(labels, "node")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return stored(placed.join(split.where("lo < hi").select("bucket"), "bucket"), "open")
+
 
-    A hub is the least node of one of the bucket's smallest components; it meets the bucket's nodes
-    of all other components and then leaves the bucket.
+def prefix_groups(nodes: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(bucket, node) by exact candidate keys: a node's rarest shingles, with its size class.
+
+    Of n shingles the rarest ``n - ceil(similar% of n) + 1`` are keys: similar sets share one. Each size
+    class reaches as far as similar sets' sizes may differ, and a node is in its own and the next one.
+    """
+    each = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("node")
+    common = each.join(shared, "shingle").withColumn("at", F.row_number().over(own.orderBy("f", "shingle")))
+    common = common.withColumn("at", F.col("at") + F.col("n") - F.count("*").over(own))
+    prefix = common.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
+    step = math.log(100 / similar) * 1.0001
+    size = F.floor(F.log("n") / step)
+    keys = prefix.select("node", "shingle", F.explode(F.array(size, size + 1)).alias("class"))
+    return stored(keys.select(F.xxhash64("shingle", "class").alias("bucket"), "node").distinct(), "prefixes")
+
+
+def wide_edges(open_: DataFrame, turn: int) -> DataFrame:
+    """Edges from a few nodes of each group's largest component to its nodes of other components."""
+    sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"))
+    placed = open_.join(largest.select("bucket", F.col("top.component").alias("big")), "bucket")
+    some = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)))
+    hubs = placed.where("component = big").withColumn("at", F.row_number().over(some))
+    hubs = hubs.where(F.col("at") <= WIDE_HUBS).select("bucket", F.col("node").alias("hub"))
+    return edges_between(placed.where("component <> big").join(hubs, "bucket"))
+
+
+def edges_between(rows: DataFrame) -> DataFrame:
+    """The distinct unordered pairs (a, b) of node and hub."""
+    pair = rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return stored(pair.distinct(), "edges")
+
+
+def further_edges(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges from hubs of each group's smallest components, and the groups without those hubs.
+
+    A hub is the least node of its component in the group; it meets the group's nodes of all other
+    components and then leaves the group.
     """
-    placed = buckets.join(labels, "node")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = stored(placed.join(split.where("lo < hi").select("bucket"), "bucket"), "open")
     parts = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
     smallest = Window.partitionBy("bucket").orderBy("size", "hub")
     hubs = stored(parts.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= HUBS), "hubs")
     hubs = hubs.select("bucket", "hub", F.col("component").alias("own"))
-    edges = open_.join(hubs, "bucket").where("component <> own").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-    )
-    left = open_.join(hubs, (open_.bucket == hubs.bucket) & (open_.node == hubs.hub), "left_anti")
-    return left.select("bucket", "node"), edges.distinct()
+    edges = edges_between(open_.join(hubs, "bucket").where("component <> own"))
+    used = hubs.select("bucket", F.col("hub").alias("node"))
+    return edges, open_.join(used, ["bucket", "node"], "left_anti").select("bucket", "node")
+
+
+def resolved(buckets: DataFrame, labels: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Labels after every bucket's components have been compared."""
+    left = open_groups(buckets, labels)
+    if left.isEmpty():
+        return labels
+    groups = prefix_groups(left.select("node").distinct(), sets, similar)
+    turn, before = 0, None
+    while labels is not before:
+        left, before, turn = open_groups(groups, labels), labels, turn + 1
+        labels = merged(labels, confirmed(wide_edges(left, turn), sets, similar))
+    while not left.isEmpty():
+        edges, rest = further_edges(left)
+        labels = merged(labels, confirmed(edges, sets, similar))
+        left = open_groups(rest, labels)
+    return labels
 
 
 def near_duplicates(
@@ -228,22 +286,18 @@ def near_duplicates(
         classes.where("n > 0 AND node IS NOT NULL").withColumnRenamed("node", "id"), ["n", "k1", "k2", "id"]
     )
     members = chosen.select(F.explode("bands").alias("bucket"), F.col("id").alias("node"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi")
-    buckets = stored(members.join(shared.select("bucket", "hub"), "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    buckets = stored(members.join(shared, "bucket"), "buckets")
     nodes = stored(buckets.select("node").distinct(), "nodes")
     sets = rows.join(nodes, F.col("id") == F.col("node"), "left_semi").select(
         F.col("id").alias("node"), shingles(F.col("text")).alias("shingles")
     )
     sets = stored(sets.select("node", F.size("shingles").alias("n"), "shingles").where("n > 0"), "sets")
 
-    star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    labels = merged(nodes.select("node", F.col("node").alias("component")), confirmed(star, sets, similar))
-    rest = buckets.where("node <> hub").select("bucket", "node").distinct()
-    while True:
-        rest, edges = further_edges(rest, labels)
-        if edges.isEmpty():
-            break
-        labels = merged(labels, confirmed(edges, sets, similar))
+    hubs = buckets.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
+    labels = nodes.select("node", F.col("node").alias("component"))
+    labels = merged(labels, confirmed(edges_between(hubs), sets, similar))
+    labels = resolved(buckets.where("node <> lo AND node <> hi").select("bucket", "node"), labels, sets, similar)
     named = placed.join(labels, "node", "left")
     component = F.coalesce("component", "node")
     return named.select(
