@@ -131,18 +131,19 @@ def test_required_columns(spark):
 
 @pytest.mark.parametrize("keep", ["oldest", "newest"])
 @pytest.mark.parametrize("limit", [1, 7, 499, 500, 900])
-def test_large_cap_equals_top_n(spark, monkeypatch, keep, limit):
-    df = spark.range(500).select((F.col("id") * 977_777 % 1_000_003 * 1_000_000 - 5).alias("ingest_seq"))
-    expected = {r[0] for r in art.cap_corpus(df, limit, keep).collect()}
-    monkeypatch.setattr(art, "MAX_TOP_N", 0)
+def test_cap_of_any_size(spark, keep, limit):
+    values = [i * 977_777 % 1_000_003 * 1_000_000 - 5 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "ingest_seq BIGINT")
     got = [r[0] for r in art.cap_corpus(df, limit, keep).collect()]
-    assert len(got) == min(limit, 500) and set(got) == expected
+    assert sorted(got) == sorted(sorted(values, reverse=keep == "newest")[:limit])
 
 
-def test_large_cap_counts_ties(spark, monkeypatch):
-    monkeypatch.setattr(art, "MAX_TOP_N", 0)
-    df = spark.createDataFrame([(1,), (2,), (2,), (2,), (3,)], "ingest_seq BIGINT")
-    assert sorted(r[0] for r in art.cap_corpus(df, 3).collect()) == [1, 2, 2]
+def test_cap_ties_and_nulls(spark):
+    rows = [(None, "a"), (2, "c"), (2, "b"), (1, "d")]
+    df = spark.createDataFrame(rows, "ingest_seq BIGINT, url STRING")
+    assert {r["url"] for r in art.cap_corpus(df, 2).collect()} == {"d", "b"}
+    assert {r["url"] for r in art.cap_corpus(df, 2, "newest").collect()} == {"b", "c"}
+    assert art.cap_corpus(df, 9).count() == 4
 
 
 def test_small_batch_anti_join(spark):

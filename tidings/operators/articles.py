@@ -11,12 +11,8 @@ from pyspark.sql import functions as F
 from tidings.functions import dates, publishers, text, urls
 from tidings.functions.publishers import DEFAULT_PUBLISHERS, Publisher
 
-# Shortest text kept, default corpus cap, first rows read from a corpus.
+# Fixed value: shortest text kept.
 MIN_TEXT_LENGTH = 50
-MAX_ARTICLES = 5000
-CORPUS_LIMIT = 2000
-# Caps up to this size are taken as a top-n.
-MAX_TOP_N = 100_000
 
 # Column names under which foreign tables keep each field, in order of preference.
 COLUMN_ALIASES = {
@@ -75,7 +71,7 @@ def normalize_aliases(df: DataFrame, position: str = "ingest_seq") -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, limit: int = CORPUS_LIMIT, order: str = "ingest_seq") -> DataFrame:
+def first_rows(df: DataFrame, limit: int, order: str = "ingest_seq") -> DataFrame:
     """The first ``limit`` rows of a corpus with NULL text turned blank."""
     return df.orderBy(order).limit(limit).na.fill("")
 
@@ -149,45 +145,18 @@ def new_in_small_batch(incoming: DataFrame, known: DataFrame, key: str = "url")
 
 
 def cap_corpus(
-    df: DataFrame, limit: int = MAX_ARTICLES, keep: str = "oldest", order: str = "ingest_seq"
+    df: DataFrame, limit: int, keep: str = "oldest", order: str = "ingest_seq"
 ) -> DataFrame:
     """At most ``limit`` articles, the oldest or the newest by ingest order.
 
-    A small cap is a plain top-n. A large one must not pass through one task: the position of its
-    last article is found from counts and the rest is a filter.
+    Rows without an order value come last either way; equal order values are told apart by url.
     """
     if keep not in ("oldest", "newest"):
         raise ValueError(f"keep must be 'oldest' or 'newest', got {keep!r}")
     column = F.col(order)
-    if limit <= MAX_TOP_N:
-        return df.orderBy(column.asc() if keep == "oldest" else column.desc()).limit(limit)
-    rank = column if keep == "oldest" else -column
-    last, left = _nth_smallest(df.select(rank.cast("bigint").alias("v")), limit)
-    if last is None:
-        return df
-    return df.filter(rank < last).unionByName(df.filter(rank == last).limit(left))
-
-
-def _nth_smallest(values: DataFrame, n: int) -> tuple[int | None, int]:
-    """The n-th smallest of integer column ``v`` and how many of that value belong to the first n.
-
-    Narrows the range with histograms of at most 4,097 buckets; None when there are no more than n.
-    """
-    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("v")).head()
-    if total <= n:
-        return None, 0
-    left = n
-    while True:
-        width = (high - low) // 4096 + 1
-        bucket = F.floor((F.col("v") - low) / width).cast("bigint")
-        inside = values.filter(F.col("v").between(low, high)).groupBy(bucket.alias("b")).count()
-        for b, count in sorted(tuple(row) for row in inside.collect()):
-            if count >= left:
-                break
-            left -= count
-        if width == 1:
-            return low + b, left
-        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+    first = column.asc_nulls_last() if keep == "oldest" else column.desc_nulls_last()
+    ties = [F.col("url")] if "url" in df.columns else []
+    return df.orderBy(first, *ties).limit(limit)
 
 
 def append_articles(
@@ -286,8 +255,10 @@ def article_metadata(articles: DataFrame) -> DataFrame:
 
 def lookup_by_url(articles: DataFrame, wanted: DataFrame) -> DataFrame:
     """Id of the first article with each wanted url; urls nobody carries get NULL."""
-    first = articles.groupBy("url").agg(F.min_by("article_id", "ingest_seq").alias("article_id"))
-    return wanted.select("url").distinct().join(first, "url", "left")
+    asked = wanted.select("url").distinct()
+    found = articles.join(asked, "url", "left_semi")
+    first = found.groupBy("url").agg(F.min_by("article_id", "ingest_seq").alias("article_id"))
+    return asked.join(first, "url", "left")
 
 
 def exact_duplicate_groups(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -161,8 +161,13 @@ def search_sources(
 
 
 def describe_hits(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """Hits with title, url, date and domain of their articles."""
+    """Hits with title, url, date and domain of their articles.
+
+    The articles of the hits are picked first, by a join that can broadcast the hits, so that the
+    article table is scanned but not shuffled for them.
+    """
     fields = ("title", "url", "date", "domain")
-    meta = articles.select("article_id", *fields)
+    wanted = hits.select("article_id").distinct()
+    meta = articles.select("article_id", *fields).join(wanted, "article_id", "left_semi")
     blank = [F.coalesce(name, F.lit("")).alias(name) for name in fields]
     return hits.join(meta, "article_id", "left").select(*hits.columns, *blank)

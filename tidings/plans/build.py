@@ -11,13 +11,13 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions import dates
 from tidings.operators import articles as art
 from tidings.operators import clustering, encode, similarity, topics, trending
-from tidings.sources.sinks import append_run_state, run_state, write_batch, write_table
+from tidings.sources.sinks import append_run_state, replace_batches, run_state, write_batch, write_table
 
 
 @dataclass(frozen=True)
@@ -37,14 +37,15 @@ def ingest(
     spark: SparkSession, layout: Layout, raw: DataFrame, canonical_urls: bool = False,
     cap: int | None = None, keep: str = "oldest",
 ) -> None:
-    """Clean raw records and replace the article table with them."""
+    """Clean raw records and replace the article table, all its batches, with them."""
     cleaned = art.clean_articles(raw, canonical_urls=canonical_urls)
     kept = cleaned if cap is None else art.cap_corpus(cleaned, cap, keep)
-    write_table(with_identity(kept), f"{layout.path('articles')}/batch=0")
-    stored = layout.read(spark, "articles")
-    if not stored.head(1):
+    written = Observation()
+    counted = with_identity(kept).observe(written, F.count(F.lit(1)).alias("rows"))
+    replace_batches(counted, layout.path("articles"))
+    total = written.get["rows"]
+    if not total:
         raise ValueError("no articles remained after cleaning")
-    total = stored.count()
     append_run_state(run_state(spark, total, total, 0), layout.path("run_log"))
 
 
@@ -86,7 +87,10 @@ def embed(spark: SparkSession, layout: Layout, batch: int = 0) -> None:
         known = layout.read(spark, "embeddings").filter(F.col("batch") < batch)
         missing = art.new_articles(articles, known)
     vectors = encode.encode_texts(missing.select("article_id", "url", "domain", "text"), encoder)
-    write_batch(vectors.drop("text"), layout.path("embeddings"), batch)
+    if batch == 0:
+        replace_batches(vectors.drop("text"), layout.path("embeddings"))
+    else:
+        write_batch(vectors.drop("text"), layout.path("embeddings"), batch)
 
 
 def cluster(

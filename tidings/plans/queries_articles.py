@@ -85,10 +85,10 @@ def alias_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "corpus_scan_limit",
     """SELECT doc_id, coalesce(lang, '') AS lang, md5(coalesce(text, '')) AS text_md5
-    FROM documents ORDER BY doc_id LIMIT 2000""",
+    FROM documents ORDER BY doc_id LIMIT 300""",
 )
 def corpus_scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = ops.first_rows(b.table(spark, sf_dir, "documents"), order="doc_id")
+    first = ops.first_rows(b.table(spark, sf_dir, "documents"), 300, order="doc_id")
     return first.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
@@ -380,10 +380,18 @@ def ingest_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cap_corpus",
-    f"""{_SQL_ARTICLES} SELECT ingest_seq, url FROM articles ORDER BY ingest_seq LIMIT 5000""",
+    f"""{_SQL_ARTICLES} SELECT ingest_seq, url FROM articles ORDER BY ingest_seq LIMIT 300""",
 )
 def cap_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.cap_corpus(_existing(spark, sf_dir))
+    return ops.cap_corpus(_existing(spark, sf_dir), 300)
+
+
+@query(
+    "cap_corpus_newest",
+    f"""{_SQL_ARTICLES} SELECT ingest_seq, url FROM articles ORDER BY ingest_seq DESC LIMIT 300""",
+)
+def cap_corpus_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.cap_corpus(_existing(spark, sf_dir), 300, keep="newest")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.operators.articles import COLUMN_ALIASES, CORPUS_LIMIT, first_rows, normalize_aliases
+from tidings.operators.articles import COLUMN_ALIASES, first_rows, normalize_aliases
 from tidings.schemas import REQUIRED_ARTICLE_COLUMNS, require_columns
 
 # Columns of a foreign CSV without a header line.
@@ -75,9 +75,9 @@ def load_foreign_csv(spark: SparkSession, path: str, limit: int | None = None) -
 
 
 def load_corpus(
-    spark: SparkSession, path: str, fmt: str = "parquet", limit: int | None = CORPUS_LIMIT
+    spark: SparkSession, path: str, fmt: str = "parquet", limit: int | None = None
 ) -> DataFrame:
-    """Raw records of a stored corpus with NULL text turned blank; the first ``limit`` or all."""
+    """Raw records of a stored corpus with NULL text turned blank; all, or the first ``limit``."""
     raw = spark.read.format(fmt).load(path)
     numbered = raw if "ingest_seq" in raw.columns else with_positions(raw)
     picked = numbered.select("ingest_seq", *COLUMN_ALIASES)

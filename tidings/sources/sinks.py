@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUN_STATE = (
     "last_run STRING, new_articles BIGINT, total_articles BIGINT, feeds_polled BIGINT, "
@@ -24,6 +25,12 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def replace_batches(df: DataFrame, path: str) -> None:
+    """A growing table begun anew: batch 0 takes the place of all its batches."""
+    whole = df.withColumn("batch", F.lit(0))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(path)
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; quotes inside values are doubled."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
