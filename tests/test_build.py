@@ -89,6 +89,20 @@ def test_refresh_adds_only_new_articles(spark, tmp_path):
     assert build.refresh(spark, layout, more, batch=2) == 0
 
 
+def test_full_build_after_refresh_starts_anew(spark, tmp_path):
+    layout = build.Layout(str(tmp_path / "c"))
+    first, more = generated_articles(spark, 60), generated_articles(spark, 70)
+    build.ingest(spark, layout, first)
+    build.embed(spark, layout)
+    assert build.append(spark, layout, more, batch=1) == 10
+    build.embed(spark, layout, batch=1)
+    build.ingest(spark, layout, first)
+    build.embed(spark, layout)
+    assert layout.read(spark, "articles").count() == 60
+    vectors = layout.read(spark, "embeddings")
+    assert vectors.count() == 60 and vectors.select("article_id").distinct().count() == 60
+
+
 def test_nothing_left_after_cleaning(spark, tmp_path):
     short = generated_articles(spark, 3).withColumn("description", F.lit("")).withColumn("title", F.lit("x"))
     with pytest.raises(ValueError):
