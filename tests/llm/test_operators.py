@@ -96,6 +96,29 @@ def test_near_duplicates_rows_and_nulls(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "9", "None", "None"]
 
 
+@pytest.mark.parametrize("hubs", [256, 2])
+def test_open_buckets_lose_no_link(spark, monkeypatch, hubs):
+    """All texts in one bucket and no star before: the prefix filter and its stars find every link."""
+    monkeypatch.setattr(near_duplicates, "HUBS", hubs)
+    rng = random.Random(hubs)
+    base = prose(rng, 150).split()
+    texts = []
+    for i in range(60):
+        words = base[: rng.choice([60, 100, 150, 150])]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(12)}"
+        texts.append(" ".join(words) if i % 10 else prose(rng, 3))
+    distinct = {near_duplicates.shingle_set(t.encode()).tobytes(): i for i, t in reversed(list(enumerate(texts)))}
+    rows = [(i, near_duplicates.shingle_set(texts[i].encode()).view(np.int64).tolist()) for i in distinct.values()]
+    sets = spark.createDataFrame([(i, len(s), s) for i, s in rows], "node bigint, n int, shingles array<bigint>")
+    buckets = spark.createDataFrame([(1, i) for i, _ in rows], "bucket bigint, node bigint")
+    labels = sets.select("node", sets.node.alias("component"))
+    found = near_duplicates.resolved(buckets, labels, sets, 75)
+    expected = {i: c for i, (_, c) in brute_components([(i, texts[i]) for i, _ in rows]).items()}
+    assert {r.node: r.component for r in found.collect()} == expected
+    assert len(set(expected.values())) > 3
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 200), (250, 300)]
     got = near_duplicates.connected(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -6,10 +6,10 @@ their own (optimal densification). ``BANDS`` bands of ``ROWS`` bins are the buck
 
 Equal shingle sets form a class first, so copies never meet in a bucket. In a bucket every class is
 compared with two hubs only, and candidates are confirmed on their full sets. Classes of a bucket that
-do not end up in one component are looked at again, with an exact prefix filter: two sets that
-similar share one of their rarest quarter of shingles and are of like size. In the groups of those keys
-stars go on, from hubs of the largest component while that finds links, then from the smallest
-components until every pair of components has been compared; so no pair that shares a bucket is lost.
+do not end up in one component are looked at again, with an exact prefix filter over shingles that
+components share (see ``prefix_groups``). In the groups of those keys stars go on, from hubs of the
+smallest components, until every pair of components has been compared; so no pair that shares a
+bucket is lost.
 
 A pair at similarity s shares a bucket with probability ``1 - (1 - s**4)**32``: 0.999995 at 0.75.
 """
@@ -33,8 +33,8 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Least similarity of a link, in per cent.
 SIMILAR = 75
-#: Hubs of the largest component that a group compares with its other members in one round.
-WIDE_HUBS = 4
+#: Ratio of neighbouring classes of set sizes.
+SIZE_STEP = 1.05
 #: Hubs of the smallest components that a group compares with its other members in one round.
 HUBS = 256
 
@@ -186,39 +186,46 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (bucket, node, component) of groups that hold several components."""
+    """The rows of groups that hold several components, with their components; both roles must be left."""
     placed = groups.join(labels, "node")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return stored(placed.join(split.where("lo < hi").select("bucket"), "bucket"), "open")
+    ends = ["component", "role"] if "role" in groups.columns else ["component"]
+    each = [x for c in ends for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
+    split = placed.groupBy("bucket").agg(*each)
+    for c in ends:
+        split = split.where(F.col(f"lo_{c}") < F.col(f"hi_{c}"))
+    return stored(placed.join(split.select("bucket"), "bucket"), "open")
 
 
 def prefix_groups(nodes: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(bucket, node) by exact candidate keys: a node's rarest shingles, with its size class.
+    """(bucket, node, role) by exact candidate keys for the nodes (node, component).
 
-    Of n shingles the rarest ``n - ceil(similar% of n) + 1`` are keys: similar sets share one. Each size
-    class reaches as far as similar sets' sizes may differ, and a node is in its own and the next one.
+    All nodes order their shingles alike: those of one component only first, then the rarest. Sets of
+    sizes m and n that are similar have ``need = ceil(similar * (m + n) / (100 + similar))`` shingles in
+    common, so one common shingle is among the first ``m - need + 1`` and ``n - need + 1`` of them. The
+    smaller set (role 0) is keyed by shingle and its own class of sizes, the larger (role 1) by shingle
+    and every class its partner may be in, so a pair across components meets in its roles.
     """
-    each = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    each = sets.join(nodes, "node").select("node", "component", "n", F.explode("shingles").alias("shingle"))
+    ends = each.groupBy("shingle").agg(
+        F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    across = ends.where("lo < hi").select("shingle", "f")
     own = Window.partitionBy("node")
-    common = each.join(shared, "shingle").withColumn("at", F.row_number().over(own.orderBy("f", "shingle")))
+    common = each.join(across, "shingle").withColumn("at", F.row_number().over(own.orderBy("f", "shingle")))
     common = common.withColumn("at", F.col("at") + F.col("n") - F.count("*").over(own))
-    prefix = common.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
-    step = math.log(100 / similar) * 1.0001
+    least = F.ceil(F.col("n") * similar / 100)
+    prefix = common.where(F.col("at") <= F.col("n") - least + 1)
+    step = math.log(SIZE_STEP)
     size = F.floor(F.log("n") / step)
-    keys = prefix.select("node", "shingle", F.explode(F.array(size, size + 1)).alias("class"))
-    return stored(keys.select(F.xxhash64("shingle", "class").alias("bucket"), "node").distinct(), "prefixes")
-
-
-def wide_edges(open_: DataFrame, turn: int) -> DataFrame:
-    """Edges from a few nodes of each group's largest component to its nodes of other components."""
-    sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"))
-    placed = open_.join(largest.select("bucket", F.col("top.component").alias("big")), "bucket")
-    some = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)))
-    hubs = placed.where("component = big").withColumn("at", F.row_number().over(some))
-    hubs = hubs.where(F.col("at") <= WIDE_HUBS).select("bucket", F.col("node").alias("hub"))
-    return edges_between(placed.where("component <> big").join(hubs, "bucket"))
+    lowest = F.floor(F.log(F.col("n") * similar / 100) / step - 1e-9)
+    role = F.transform(F.sequence(lowest, size), lambda c: F.struct(c.alias("class"), F.lit(1).alias("role")))
+    roles = F.concat(role, F.array(F.struct(size.alias("class"), F.lit(0).alias("role"))))
+    keys = prefix.withColumn("least", least).select("node", "n", "at", "least", "shingle", F.inline(roles))
+    partner = F.greatest("least", F.ceil(F.exp(F.col("class") * step) * (1 - 1e-9)))
+    partner = F.when(F.col("role") == 0, F.col("n")).otherwise(partner)
+    need = F.ceil((F.col("n") + partner) * similar / (100 + similar))
+    keys = keys.where(F.col("at") <= F.col("n") - need + 1)
+    return stored(keys.select(F.xxhash64("shingle", "class").alias("bucket"), "node", "role"), "prefixes")
 
 
 def edges_between(rows: DataFrame) -> DataFrame:
@@ -231,15 +238,17 @@ def further_edges(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges from hubs of each group's smallest components, and the groups without those hubs.
 
     A hub is the least node of its component in the group; it meets the group's nodes of all other
-    components and then leaves the group.
+    components in the other role, and then leaves the group.
     """
     parts = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
     smallest = Window.partitionBy("bucket").orderBy("size", "hub")
-    hubs = stored(parts.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= HUBS), "hubs")
-    hubs = hubs.select("bucket", "hub", F.col("component").alias("own"))
-    edges = edges_between(open_.join(hubs, "bucket").where("component <> own"))
-    used = hubs.select("bucket", F.col("hub").alias("node"))
-    return edges, open_.join(used, ["bucket", "node"], "left_anti").select("bucket", "node")
+    hubs = parts.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= HUBS)
+    hubs = stored(hubs.select("bucket", F.col("hub").alias("node")), "hubs")
+    star = open_.join(hubs, ["bucket", "node"]).select(
+        "bucket", F.col("node").alias("hub"), F.col("component").alias("own"), (1 - F.col("role")).alias("role")
+    )
+    edges = edges_between(open_.join(star, ["bucket", "role"]).where("component <> own"))
+    return edges, open_.join(hubs, ["bucket", "node"], "left_anti").select("bucket", "node", "role")
 
 
 def resolved(buckets: DataFrame, labels: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -247,11 +256,7 @@ def resolved(buckets: DataFrame, labels: DataFrame, sets: DataFrame, similar: in
     left = open_groups(buckets, labels)
     if left.isEmpty():
         return labels
-    groups = prefix_groups(left.select("node").distinct(), sets, similar)
-    turn, before = 0, None
-    while labels is not before:
-        left, before, turn = open_groups(groups, labels), labels, turn + 1
-        labels = merged(labels, confirmed(wide_edges(left, turn), sets, similar))
+    left = open_groups(prefix_groups(left.select("node", "component").distinct(), sets, similar), labels)
     while not left.isEmpty():
         edges, rest = further_edges(left)
         labels = merged(labels, confirmed(edges, sets, similar))
