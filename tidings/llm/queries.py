@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm import (
+    conversation_repair,
     decontamination,
     licenses,
     mixing,
     near_duplicates,
+    periodic_runs,
+    pivot_index,
     preferences,
     quality_classifier,
     quality_rules,
@@ -168,3 +171,86 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 @query("op10_near_duplicates", _NEAR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_VECTOR_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS size FROM e
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op11_pivot_index", _VECTOR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of which repeat some of their words up to the end (by checksum of the id)."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("_words")
+    first = F.when(n > 0, F.pmod(g, n)).cast("int")
+    period = 1 + F.floor((n - F.col("_first")) / (3 + F.pmod(g, F.lit(8)))).cast("int")
+    source = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.get("_words", F.when(i < F.col("_first"), i).otherwise(
+            F.col("_first") + F.pmod(i - F.col("_first"), F.col("_period"))
+        )),
+    )
+    chosen = docs.select("doc_id", "text", F.when(F.pmod(h, F.lit(10)) == 0, words).alias("_words"))
+    placed = chosen.withColumn("_first", first).withColumn("_period", period)
+    text = F.when(n > 0, F.array_join(source, " ")).otherwise(F.col("text"))
+    return placed.select("doc_id", text.alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform(
+        "runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    )
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    named = found.withColumn("_g", greatest).select("*", "_g.*")
+    return named.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("col2")).alias("start"),
+        F.col("length"),
+        (-F.col("col3")).alias("period"),
+        F.expr("1000 * length DIV -col3").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given another role, by checksum."""
+    spaced = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fate = F.pmod(F.crc32(F.concat_ws(":", *spaced).cast("binary")), F.lit(20))
+    rows = conversations.select(
+        "conv_id", "turn", fate.alias("fate"),
+        *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")],
+    )
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    kept = rows.where("fate <> 0").select(
+        "conv_id", "turn",
+        F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1))).alias("_copy"),
+    )
+    return kept.drop("_copy")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(damaged(conversations), conversations)
