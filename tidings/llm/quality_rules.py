@@ -28,6 +28,8 @@ SYMBOLS = b"#*$%&|<>"
 #: A run of letters and digits, or a run of signs.
 GRAM = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t\n\r\x0b\x0c]+")
 REMEMBERED = 400_000
+#: Trusted texts that are counted: those with the lowest hashes of their ids.
+TRUSTED_ROWS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,9 +171,16 @@ def apply_rules(
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
 
 
-def trusted_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log ratios with the rows labelled ``quality = 1`` as trusted texts."""
+def trusted_ratios(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS
+) -> np.ndarray:
+    """Log ratios with the texts labelled ``quality = 1`` as trusted ones.
+
+    The trusted multinomial is learnt from at most ``rows`` labelled ids, those with the lowest hashes, so
+    their table is broadcast and no text is shuffled; the raw one counts every row.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = rows.join(good, F.col("_id") == F.col("_good_id"), "left")
+    picked = good.orderBy(F.xxhash64("_good_id"), "_good_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(picked), F.col("_id") == F.col("_good_id"), "left")
     return log_ratios(joined, F.col("_good_id").isNotNull())
