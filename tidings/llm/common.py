@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper-case ASCII letters to lower case; all other bytes stay.
@@ -54,6 +56,16 @@ def as_texts(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
 
 
+def shipped(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast of an object with its class by value, for executors that lack this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(sent: Broadcast) -> Any:
+    """The object of ``shipped``."""
+    return pickle.loads(sent.value)
+
+
 def broadcast_file(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
     """Digest and broadcast bytes of a vocabulary file (one fixed file of a few MB on the driver)."""
     with open(path, "rb") as handle:

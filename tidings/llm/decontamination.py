@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import as_bytes, stored
+from tidings.llm.common import as_bytes, shipped, stored, unpacked
 
 WINDOW = 10
 #: Item words in one automaton (one broadcast).
@@ -184,7 +184,7 @@ def _matcher(automaton: Broadcast):
 
     @F.arrow_udf(MATCH)
     def match(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        block: ItemAutomaton = automaton.value
+        block: ItemAutomaton = unpacked(automaton)
         for texts, before in batches:
             out = []
             for text, earlier in zip(as_bytes(texts), before.to_pylist(), strict=True):
@@ -253,7 +253,7 @@ def with_matches(
     for k, block in enumerate(item_blocks(items, item_col, item_text_col, window, block_words)):
         if k and k % BLOCKS_IN_PASS == 0:
             result = stored(result, "matches")
-        match = _matcher(spark.sparkContext.broadcast(block))
+        match = _matcher(shipped(spark, block))
         result = result.withColumn(column, match(F.col(text_col), F.col(column)))
     return result
 

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes
+from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes, shipped, unpacked
 from tidings.llm.quality_rules import duplicate_lines, repeated_words, word_hashes
 
 #: Most labelled rows that a model is learnt from, taken by the lowest hashes of their ids.
@@ -177,8 +177,9 @@ def quality_score(text: Column, ranking: Broadcast) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = unpacked(ranking)
         for batch in batches:
-            yield pa.array(ranking.value.scores(feature_rows(batch)), pa.float64())
+            yield pa.array(known.scores(feature_rows(batch)), pa.float64())
 
     return scored(text)
 
@@ -189,7 +190,7 @@ def classify(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col
     Only the text is an input of the score. Null and empty texts are scored as empty; null ids count as
     not held out; repeated rows are scored each; an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(ranking)
+    model = shipped(docs.sparkSession, ranking)
     score = quality_score(F.col(text_col), model)
     scored = docs.select(F.col(id_col), is_held_out(F.col(id_col)).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
@@ -197,5 +198,5 @@ def classify(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col
 
 def good_rows(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> DataFrame:
     """The rows whose text the ranking accepts, with all columns, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(ranking)
+    model = shipped(docs.sparkSession, ranking)
     return docs.where(quality_score(F.col(text_col), model) >= CUT)
