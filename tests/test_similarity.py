@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidings.operators import search, similarity
+from tidings.operators import cells, search, similarity
 
 
 def corpus(spark, matrix, ids=None):
@@ -43,7 +43,7 @@ def edges(df):
 
 
 @pytest.mark.parametrize("threshold", [0.92, 0.7, 0.2, None])
-@pytest.mark.parametrize("options", [{}, {"pivots": 6, "tile_rows": 7}, {"pivots": 1, "tile_rows": 16}, {"pivots": 40, "tile_rows": 500}])
+@pytest.mark.parametrize("options", [{}, {"cell_count": 6, "tile_rows": 7}, {"cell_count": 1, "tile_rows": 16}, {"cell_count": 40, "tile_rows": 500}])
 def test_exact_neighbours_match_brute_force(spark, threshold, options):
     matrix = clumps(3, 5, 14, 6, 0.25)
     found = similarity.nearest_neighbours(corpus(spark, matrix), k=4, threshold=threshold, **options)
@@ -58,7 +58,7 @@ def test_group_of_copies_is_complete(spark):
     ids = [int(i) * 3 + 1 for i in order]
     df = corpus(spark, matrix, ids)
     for k, threshold in ((3, 0.9), (25, 0.1), (4, None)):
-        found = similarity.nearest_neighbours(df, k=k, threshold=threshold, pivots=3, tile_rows=8)
+        found = similarity.nearest_neighbours(df, k=k, threshold=threshold, cell_count=3, tile_rows=8)
         assert edges(found) == brute_neighbours(matrix, k, threshold, ids), (k, threshold)
 
 
@@ -83,6 +83,59 @@ def test_lsh_adds_nothing_and_finds_most(spark):
         similarity.nearest_neighbours(df, method="guess")
 
 
+def test_cells_compare_a_small_share_of_pairs(spark):
+    """Rings and planes leave only tiles that lie near each other; the rest is never scored."""
+    matrix = clumps(21, 40, 30, 16, 0.12)
+    rows = corpus(spark, matrix).select(F.col("article_id").alias("id"), "embedding")
+    total = len(matrix)
+    centres = cells.fit_centres(cells.sample_vectors(rows, total, 320), 40)
+    assigned = cells.assign(rows, centres).persist()
+    tiling = cells.fit_tiling(assigned, centres, total, 12)
+    seeded = cells.seed(cells.place(assigned, tiling), 5, 0.92).persist()
+    assert seeded.groupBy("tile").count().agg(F.max("count")).head()[0] < 40
+    met = cells.visits(seeded, tiling, cells.rings(seeded, tiling))
+    share = cells.compared_pairs(seeded, met) / (total * (total - 1) / 2)
+    assert share < 0.1
+    found = edges(similarity.nearest_neighbours(corpus(spark, matrix), k=5, threshold=0.92, cell_count=40, tile_rows=12))
+    assert found == brute_neighbours(matrix, 5, 0.92)
+    # A pair of tiles is one group, never two.
+    assert met.filter("a >= b").count() == 0
+
+
+def test_cells_of_the_test_vectors_are_used_and_exact(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.col("vec_id").alias("article_id"), "embedding"
+    )
+    assert cells.cell_count(vectors.count()) > 1
+    found = edges(similarity.nearest_neighbours(vectors, k=3, threshold=0.35))
+    rows = vectors.orderBy("article_id").toPandas()
+    units = np.stack(rows["embedding"]).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    scores = units @ units.T
+    np.fill_diagonal(scores, -1)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    ids = rows["article_id"].to_numpy()
+    want = {(ids[i], ids[j]) for i, row in enumerate(best) for j in row if scores[i, j] > 0.35}
+    assert found == want
+
+
+def test_bands_save_work_and_lose_little(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toPandas()
+    units = np.stack(rows["embedding"]).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    keys = similarity.band_keys(units, similarity.BAND_BITS, similarity.BANDS, 42)
+    n = len(units)
+    compared = sum((np.unique(keys[:, b], return_counts=True)[1] ** 2).sum() - n for b in range(similarity.BANDS))
+    assert compared < 0.1 * n * (n - 1)
+    # Partners at a similarity of exactly 0.92, the hardest ones that count.
+    rng = np.random.default_rng(1)
+    across = rng.normal(size=units.shape)
+    across -= (across * units).sum(axis=1, keepdims=True) * units
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    partners = similarity.band_keys(0.92 * units + math.sqrt(1 - 0.92**2) * across, similarity.BAND_BITS, similarity.BANDS, 42)
+    assert (keys == partners).any(axis=1).mean() >= 0.9
+
+
 def articles(spark, urls):
     rows = [(i, f"t{i}", u, "2024-01-01", "d.org") for i, u in enumerate(urls)]
     return spark.createDataFrame(rows, "article_id BIGINT, title STRING, url STRING, date STRING, domain STRING")
@@ -119,7 +172,7 @@ def test_higher_threshold_gives_subset(spark):
     matrix = clumps(2, 4, 10, 5, 0.3)
     df = corpus(spark, matrix)
     low = edges(similarity.nearest_neighbours(df, threshold=0.5))
-    high = edges(similarity.nearest_neighbours(df, threshold=0.9, pivots=4, tile_rows=8))
+    high = edges(similarity.nearest_neighbours(df, threshold=0.9, cell_count=4, tile_rows=8))
     assert high <= low
 
 

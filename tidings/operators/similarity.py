@@ -4,12 +4,13 @@ How the join scales:
 
 * Copies of one vector are collapsed before anything is compared, and expanded afterwards. Ties
   rank by id, so among copies only the ``k + 1`` lowest ids can ever be somebody's neighbour.
-* Vectors are spread over cells around pivots. Two vectors within the distance that the threshold
-  allows can only sit on two sides of a bisecting plane if both are that close to it, so a vector
-  visits just the cells whose plane is near enough. This is exact; a loose threshold visits more.
-* Every cell is cut into tiles of bounded size, however many vectors fall into it. One task call
-  sees one home tile and one visitor tile and returns at most ``k`` neighbours per visitor, so a
-  dense group of near copies is never listed pair by pair.
+* ``exact``: k-means cells cut into rings (``cells``). What a vector finds in its own tile bounds how
+  far it has to look, and the triangle inequality says which tiles lie that near; each unordered pair
+  of tiles meets once, in one task of bounded size.
+* ``lsh``: signs of projections on random directions, packed into bands. Vectors meet if all bits of
+  some band agree. A bucket is cut into tiles too, so a hot one gives many tasks.
+* A task returns at most ``k`` neighbours per vector and slice, so a dense group of near copies is
+  never listed pair by pair.
 """
 
 from __future__ import annotations
@@ -19,27 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidings.operators import cells
 from tidings.operators.kernels import best_columns, matrix, unit_rows
+from tidings.sources.layout import materialize
 
 # Neighbours per article, similarity above which two articles are near duplicates.
 NEIGHBOURS = 10
 SIMILARITY_THRESHOLD = 0.92
 
 # A tile pair is one task call: two times this many vectors in memory, scored in slices.
-MIN_TILE_ROWS, TILE_ROWS = 1024, 16_384
+TILE_ROWS = 16_384
 SLICE_ROWS = 1024
-# The pivot table travels with the tasks, so its size is bounded.
-MAX_PIVOTS = 4096
+# Sign bits of a band and number of bands: at a similarity of 0.92 a band agrees with probability 0.19,
+# some band with 0.97; vectors at right angles meet with 0.004.
+BAND_BITS, BANDS = 12, 16
 # Cell sizes (one short row per cell) are broadcast up to this many cells.
 MAX_BROADCAST_CELLS = 100_000
 
-_CELLED = "cell BIGINT, visitor BOOLEAN, id BIGINT, embedding ARRAY<FLOAT>"
 _EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
 
 
@@ -50,72 +51,31 @@ def _standard(vectors: DataFrame, id_column: str, vector_column: str) -> DataFra
     )
 
 
-def _pick_pivots(vectors: DataFrame, total: int, count: int) -> np.ndarray:
-    """Up to ``count`` distinct unit vectors, spread by the hash of their id.
-
-    Pivots only decide how work is cut up, never what is found. The hash filter leaves a few times
-    ``count`` rows over all tasks, so finding the first ones stays small whatever the input size.
-    """
-    keep_one_in = max(1, total // (4 * count))
-    candidates = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(keep_one_in)) == 0)
-    rows = candidates.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(count).select("embedding").collect()
-    if not rows:
-        return np.empty((0, 0))
-    found = unit_rows(np.array([row[0] for row in rows], dtype=np.float64))
-    return np.unique(found[np.linalg.norm(found, axis=1) > 0], axis=0)
+def _both_roles(celled: DataFrame) -> DataFrame:
+    roles = F.explode(F.array(F.lit(False), F.lit(True)))
+    return celled.withColumn("visitor", roles).select("cell", "visitor", "id", "embedding")
 
 
-def _pivot_cells(vectors: DataFrame, threshold: float, pivots: np.ndarray) -> DataFrame:
-    """Home cell of every vector plus all cells it has to visit to find each close neighbour."""
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
+def band_keys(units: np.ndarray, bits: int, bands: int, seed: int) -> np.ndarray:
+    """One number per vector and band: its packed sign bits (all must agree), and the band above them."""
+    planes = np.random.default_rng(seed).normal(size=(bands * bits, units.shape[1]))
+    signs = (units @ planes.T >= 0).reshape(len(units), bands, bits)
+    return signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            squared = 2.0 - 2.0 * (unit_rows(matrix(batch.column(1))) @ pivots.T)
-            home = squared.argmin(axis=1)
-            rows = np.arange(len(home))
-            # Distance to the bisecting plane between the own pivot and another one, times 2 * gap.
-            margin = squared - squared[rows, home][:, None]
-            visits = margin <= 2.0 * reach * between[home] + 1e-9
-            visit_rows, visit_cells = np.nonzero(visits)
-            picked = np.concatenate([rows, visit_rows])
-            source = batch.take(pa.array(picked))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([home, visit_cells]).astype(np.int64)),
-                    pa.array(np.arange(len(picked)) >= len(rows)),
-                    source.column(0),
-                    source.column(1),
-                ],
-                names=["cell", "visitor", "id", "embedding"],
-            )
-
-    return vectors.mapInArrow(assign, _CELLED)
 
+def _hash_cells(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """A row per band: vectors that share a cell agree in all sign bits of one band."""
 
-def _both_roles(celled: DataFrame) -> DataFrame:
-    roles = F.explode(F.array(F.lit(False), F.lit(True)))
-    return celled.withColumn("visitor", roles).select("cell", "visitor", "id", "embedding")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(unit_rows(matrix(batch.column(1))), bits, bands, seed)
+                rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel().astype(np.int64)), *rows.columns], names=["cell", "id", "embedding"]
+                )
 
-def _hash_cells(vectors: DataFrame, bucket_length: float, tables: int, seed: int) -> DataFrame:
-    """Cells by random projection of the unit vectors: one cell per hash table and bucket."""
-    as_vector = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(
-        vectors.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>")))
-    )
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes",
-        bucketLength=bucket_length, numHashTables=tables, seed=seed,
-    ).fit(as_vector)
-    hashed = model.transform(as_vector).select(
-        "id", "embedding", F.posexplode("hashes").alias("table", "bucket")
-    )
-    return hashed.select(
-        F.xxhash64("table", vector_to_array("bucket")).alias("cell"), "id", "embedding"
-    )
+    return vectors.mapInArrow(run, "cell BIGINT, id BIGINT, embedding ARRAY<FLOAT>")
 
 
 def _cut_into_tiles(celled: DataFrame, tile_rows: int, most_cells: int) -> DataFrame:
@@ -148,22 +108,25 @@ def _cut_into_tiles(celled: DataFrame, tile_rows: int, most_cells: int) -> DataF
     )
 
 
-def _tile_size(rows: DataFrame, total: int) -> int:
-    """Rows per tile: small enough that a corpus fills all task slots, large enough to be worth it."""
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    per_side = math.ceil(math.sqrt(2 * slots))
-    return min(TILE_ROWS, max(MIN_TILE_ROWS, math.ceil(total / per_side)))
-
-
-def _exact_cells(
-    rows: DataFrame, distinct: DataFrame, threshold: float | None, wanted: int, total: int
-) -> DataFrame:
-    """Cells around pivots where a threshold allows pruning, else one cell for all vectors."""
-    if threshold is not None and 0.0 <= threshold <= 1.0 and wanted > 1:
-        pivots = _pick_pivots(rows, total, wanted)
-        if len(pivots) > 1:
-            return _pivot_cells(distinct, threshold, pivots)
-    return _both_roles(distinct.withColumn("cell", F.lit(0).cast("bigint")))
+def exact_edges(
+    rows: DataFrame, distinct: DataFrame, k: int, threshold: float | None, total: int,
+    cell_count: int | None = None, tile_rows: int | None = None,
+) -> DataFrame:
+    """Edges that hold the ``k`` best neighbours of every distinct vector; further ones may follow."""
+    if threshold is not None and threshold >= 0:
+        distinct = distinct.filter(F.exists("embedding", lambda x: x != 0))
+    count = cells.cell_count(total) if cell_count is None else cell_count
+    sample = cells.sample_vectors(rows, total, cells.SAMPLE_PER_CENTRE * count)
+    centres = cells.fit_centres(sample, count)
+    if not centres.size:  # only zero vectors, or none
+        return _tile_neighbours(
+            _cut_into_tiles(_both_roles(distinct.withColumn("cell", F.lit(0).cast("bigint"))), TILE_ROWS, 1), k, threshold
+        )
+    assigned = materialize(cells.assign(distinct, centres))
+    tiling = cells.fit_tiling(assigned, centres, total, tile_rows or cells.TILE_ROWS)
+    seeded = materialize(cells.seed(cells.place(assigned, tiling), k, threshold))
+    met = cells.visits(seeded, tiling, cells.rings(seeded, tiling))
+    return cells.seeded_edges(seeded).unionByName(cells.compare(met, k, threshold))
 
 
 def _tile_neighbours(tiled: DataFrame, k: int, threshold: float | None) -> DataFrame:
@@ -274,36 +237,32 @@ def nearest_neighbours(
     method: str = "exact",
     id_column: str = "article_id",
     vector_column: str = "embedding",
-    pivots: int | None = None,
+    cell_count: int | None = None,
     tile_rows: int | None = None,
-    bucket_length: float = 0.5,
-    hash_tables: int = 8,
+    band_bits: int = BAND_BITS,
+    bands: int = BANDS,
     seed: int = 42,
 ) -> DataFrame:
     """The ``k`` most cosine-similar other articles of every article: ``id, other, similarity, rank``.
 
     The vectors are read several times, so they should be a stored or materialized table. Only
     neighbours strictly above ``threshold`` count. ``exact`` finds them all; ``lsh`` compares
-    vectors that share a random-projection bucket and may miss some, never adds any.
+    vectors that agree in some band of sign bits and may miss some, never adds any.
     """
     if method not in ("exact", "lsh"):
         raise ValueError(f"method must be 'exact' or 'lsh', got {method!r}")
     rows = _standard(vectors, id_column, vector_column)
     total = rows.count()
-    tile_rows = tile_rows or _tile_size(rows, total)
     groups, others = _copies(rows)
     distinct = rows.join(others.select("id"), "id", "left_anti")
     if method == "lsh":
-        celled = _both_roles(_hash_cells(distinct, bucket_length, hash_tables, seed))
-        most_cells = hash_tables * (math.ceil(2.0 / bucket_length) + 2)
-    else:
-        wanted = min(MAX_PIVOTS, total // (4 * TILE_ROWS)) if pivots is None else pivots
-        celled = _exact_cells(rows, distinct, threshold, wanted, total)
-        most_cells = max(1, wanted)
-    edges = _tile_neighbours(_cut_into_tiles(celled, tile_rows, most_cells), k, threshold)
-    if method == "lsh":
-        # A pair may meet in several tables; one similarity per pair is kept.
+        celled = _both_roles(_hash_cells(distinct, band_bits, bands, seed))
+        tiled = _cut_into_tiles(celled, tile_rows or TILE_ROWS, bands << band_bits)
+        # A pair may meet in several bands; one similarity per pair is kept.
+        edges = _tile_neighbours(tiled, k, threshold)
         edges = edges.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    else:
+        edges = exact_edges(rows, distinct, k, threshold, total, cell_count, tile_rows)
     best = _best_edges(edges, k).drop("rank")
     return _expand_copies(rows, groups, others, best, k, threshold)
 

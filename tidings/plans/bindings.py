@@ -103,6 +103,13 @@ vectors AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::D
             FROM embeddings),
 units AS (SELECT id, label, v, sqrt(list_inner_product(v, v)) AS length FROM vectors)
 """
+# Every vector has a twin whose components are a tenth smaller, equal and a tenth larger in turn.
+SQL_TWINS = """
+vectors AS (SELECT vec_id * 2 AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  UNION ALL SELECT vec_id * 2 + 1, list_transform(range(1, len(embedding) + 1), lambda i:
+    (embedding[i]::DOUBLE * (0.9 + 0.1 * ((i - 1) % 3)))::FLOAT::DOUBLE) FROM embeddings),
+units AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS length FROM vectors)
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +165,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors (even ids) and their slightly bent twins (odd ids)."""
+    own = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 2).alias("article_id"), "embedding")
+    bent = F.transform(
+        "embedding",
+        lambda x, i: (x.cast("double") * (F.lit(0.9) + F.lit(0.1) * (i % 3).cast("double"))).cast("float"),
+    )
+    return own.unionByName(own.select((F.col("article_id") + 1).alias("article_id"), bent.alias("embedding")))
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("article_id", "cluster_id")
 

@@ -377,14 +377,54 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("knn_lsh")
+_SQL_TWIN_PAIRS = f"""WITH {b.SQL_TWINS}, scored AS (
+  SELECT a.id, o.id AS other, list_inner_product(a.v, o.v) / (a.length * o.length) AS similarity
+  FROM units a JOIN units o ON a.id <> o.id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank
+  FROM scored WHERE similarity > {similarity.SIMILARITY_THRESHOLD})
+"""
+
+
+@query(
+    "knn_lsh",
+    f"{_SQL_TWIN_PAIRS} SELECT id, other, round(similarity, 6) AS similarity, rank FROM ranked WHERE rank <= 10",
+)
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.nearest_neighbours(b.vectors(spark, sf_dir), method="lsh")
+    found = similarity.nearest_neighbours(
+        b.twins(spark, sf_dir), threshold=similarity.SIMILARITY_THRESHOLD, method="lsh"
+    )
+    return found.select(
+        "id", "other", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank")
+    )
 
 
-@query("near_duplicates_lsh")
+@query(
+    "near_duplicates_lsh",
+    f"""{_SQL_TWIN_PAIRS} SELECT least(id, other) AS a_id, greatest(id, other) AS b_id,
+      round(max(similarity), 6) AS similarity FROM ranked WHERE rank <= 10 GROUP BY 1, 2""",
+)
 def near_duplicates_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hashed_titles(pairs(spark, sf_dir, method="lsh"))
+    """Near duplicates at the default threshold, among all vectors and their slightly bent twins."""
+    vectors = b.twins(spark, sf_dir)
+    named = vectors.select(
+        "article_id", F.lit("").alias("title"), F.concat(F.lit("v/"), F.col("article_id").cast("string")).alias("url")
+    )
+    found = similarity.near_duplicates(vectors, named, method="lsh")
+    return found.select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "near_duplicates_cells",
+    f"""{_SQL_TWIN_PAIRS} SELECT least(id, other) AS a_id, greatest(id, other) AS b_id,
+      round(max(similarity), 6) AS similarity FROM ranked WHERE rank <= 10 GROUP BY 1, 2""",
+)
+def near_duplicates_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs by the exact index of cells and rings."""
+    edges = similarity.nearest_neighbours(b.twins(spark, sf_dir), threshold=similarity.SIMILARITY_THRESHOLD)
+    return edges.groupBy(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).agg(
+        F.round(F.max("similarity"), 6).alias("similarity")
+    )
 
 
 @query("embed_documents")
