@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.functions.publishers import Publisher
-from tidings.operators import encode
+from tidings.operators import cells, encode, similarity
 from tidings.plans import build
 from tidings.plans.corpus import Corpus
 from tidings.sources.articles import generated_articles
@@ -126,3 +126,109 @@ def test_encode_new_skips_known_urls(spark):
     known = spark.createDataFrame([("a",)], "url STRING")
     got = encode.encode_new(df, known, lambda new: new.withColumn("embedding", F.array(F.lit(1.0))))
     assert [r["url"] for r in got.collect()] == ["b"]
+
+
+def too_short(spark, n):
+    return generated_articles(spark, n).withColumn("description", F.lit("")).withColumn("title", F.lit("x"))
+
+
+def test_empty_build_leaves_the_corpus(spark, tmp_path):
+    root = str(tmp_path / "c")
+    build.build_all(spark, root, generated_articles(spark, 60), k=3)
+    with pytest.raises(ValueError):
+        build.build_all(spark, root, too_short(spark, 60), k=3)
+    with pytest.raises(ValueError):
+        build.ingest(spark, build.Layout(root), too_short(spark, 60))
+    corpus = Corpus(spark, root)
+    assert corpus.table("articles").count() == 60 and corpus.table("embeddings").count() == 60
+    assert corpus.find_similar(3, k=2).count() == 2
+
+
+def test_failing_build_and_refresh_leave_the_corpus(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "c")
+    layout = build.build_all(spark, root, generated_articles(spark, 60), k=3)
+
+    @F.udf("string")
+    def broken(text):
+        raise RuntimeError("no such text")
+
+    bad = generated_articles(spark, 80).withColumn("title", broken("title"))
+    for attempt in (lambda: build.build_all(spark, root, bad, k=3), lambda: build.refresh(spark, layout, bad, batch=1)):
+        with pytest.raises(Exception, match="no such text"):
+            attempt()
+        assert layout.read(spark, "articles").count() == 60
+    # A refresh that fails after its articles were written shows none of them.
+    monkeypatch.setattr(build, "rank_trends", lambda *a, **b: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        build.refresh(spark, layout, generated_articles(spark, 80), batch=1)
+    assert layout.read(spark, "articles").count() == layout.read(spark, "embeddings").count() == 60
+    monkeypatch.undo()
+    assert build.refresh(spark, layout, generated_articles(spark, 80), batch=1) == 20
+    assert layout.read(spark, "articles").count() == layout.read(spark, "embeddings").count() == 80
+
+
+def test_readers_follow_the_newest_whole_manifest(spark, tmp_path):
+    layout = build.Layout(str(tmp_path / "c"))
+    layout.put(spark.range(3), "numbers")
+    layout.put(spark.range(5), "growing", 0, anew=True)
+    layout.put(spark.range(2), "growing", 1)
+    assert layout.read(spark, "numbers").count() == 3 and layout.read(spark, "growing").count() == 7
+    draft = layout.draft()
+    draft.put(spark.range(9), "numbers")
+    assert draft.read(spark, "numbers").count() == 9 and layout.read(spark, "numbers").count() == 3
+    # What a writer left that died before its manifest stood is not a version.
+    (tmp_path / "c" / "manifests" / "version=99" / "_temporary").mkdir(parents=True)
+    draft.commit()
+    assert layout.read(spark, "numbers").count() == 9
+    layout.put(spark.range(1), "growing", 1)
+    assert layout.read(spark, "growing").count() == 6 and layout.batches("growing") == {0, 1}
+
+
+def test_pairs_after_refreshes_equal_a_full_recomputation(spark, tmp_path):
+    root, options = str(tmp_path / "c"), {"k": 4, "threshold": 0.55}
+    everything = generated_articles(spark, 160).unionByName(
+        generated_articles(spark, 30).withColumns(
+            {"ingest_seq": F.col("ingest_seq") + 500, "url": F.concat("url", F.lit("-again"))}
+        )
+    )
+    parts = [F.col("ingest_seq") < 120, F.col("ingest_seq") < 150, F.lit(True)]
+    layout = build.build_all(spark, root, everything.filter(parts[0]), **{"k_range": range(3, 5)}, threshold=0.55)
+    build.deduplicate(spark, layout, **options)
+    for batch in (1, 2):
+        assert build.refresh(spark, layout, everything.filter(parts[batch]), batch, **options) > 0
+    kept = layout.read(spark, "duplicate_pairs").toPandas()
+    fresh = similarity.near_duplicates(
+        layout.read(spark, "embeddings"), layout.read(spark, "articles"), **options
+    ).toPandas()
+    assert len(fresh) > 50
+    assert sorted(zip(kept["a_id"], kept["b_id"], kept["similarity"].round(9))) == sorted(
+        zip(fresh["a_id"], fresh["b_id"], fresh["similarity"].round(9))
+    )
+
+
+def test_a_batch_reads_only_the_cells_it_comes_near(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 12))
+    points = np.concatenate([c + 0.1 * rng.normal(size=(40, 12)) for c in centres])
+    late = centres[7] + 0.1 * rng.normal(size=(5, 12))
+    frame = lambda x, at: spark.createDataFrame(
+        [(at + i, [float(v) for v in row]) for i, row in enumerate(np.float32(x))], "id BIGINT, embedding ARRAY<FLOAT>"
+    )
+    old, new = frame(points, 0), frame(late, 5000)
+    tiling = cells.fit_tiling(cells.assign(old, centres / np.linalg.norm(centres, axis=1)[:, None]), centres, 1200, 64)
+    tiling = cells.Tiling(centres / np.linalg.norm(centres, axis=1)[:, None], tiling.edges, tiling.parts, tiling.first)
+    known, fresh = similarity.place_in(old, tiling, "id"), similarity.place_in(new, tiling, "id")
+    lists = similarity.nearest_neighbours(old, 3, 0.9, id_column="id")
+    changed = similarity.neighbours_after(fresh, known, cells.ring_table(known), tiling, lists, 3, 0.9)
+    whole = similarity.nearest_neighbours(old.unionByName(new), 3, 0.9, id_column="id")
+    got = {(r["id"], r["other"]) for r in changed.collect()}
+    touched = {i for i, _ in got}
+    assert got == {(r["id"], r["other"]) for r in whole.collect() if r["id"] in touched}
+    assert {i for i in touched if i < 5000} <= set(range(280, 320)) and len(touched) > 5
+
+
+def test_tilings_survive_storage(spark):
+    tiling = cells.Tiling(np.eye(3), np.full((3, 63), np.inf), np.array([1, 2, 1]), np.array([0, 1, 3]))
+    tiling.edges[1, :2] = 0.25, 0.5
+    back = cells.read_tiling(cells.tiling_table(spark, tiling))
+    assert all(np.array_equal(getattr(back, f), getattr(tiling, f)) for f in ("centres", "edges", "parts", "first"))

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.operators.kernels import best_columns, matrix, unit_rows
+from tidings.sources.layout import materialize
 
 #: Most rows of a tile while there are fewer than ``MAX_TILES`` of them; beyond, tiles grow instead.
 TILE_ROWS, MAX_TILES = 16_384, 65_536
@@ -70,6 +71,12 @@ def angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def snapped(cosines: np.ndarray) -> np.ndarray:
+    """Cosines in which rounding does not tell equal directions apart."""
+    cosines[cosines > 1.0 - 1e-12] = 1.0
+    return cosines
+
+
 @dataclass(frozen=True)
 class Tiling:
     """Centres, and how each cell is cut: inner ring edges, rings and hash parts, first tile number."""
@@ -152,7 +159,7 @@ def _seed(k: int, threshold: float | None):
         similarities: list = []
         for start in range(0, len(ids), SLICE_ROWS):
             part = slice(start, start + SLICE_ROWS)
-            scores = units[part] @ units.T
+            scores = snapped(units[part] @ units.T)
             scores[(scores <= floor) | (ids[part, None] == ids[None, :])] = -np.inf
             rows, cols = best_columns(scores, ids, k)
             bounds = np.searchsorted(rows, np.arange(len(scores) + 1))
@@ -251,7 +258,7 @@ def _compare(k: int, threshold: float | None):
             units = unit_rows(matrix(table.column("embedding")))
             for start in range(0, len(left), SLICE_ROWS):
                 part = left[start : start + SLICE_ROWS]
-                scores = units[part] @ units[right].T
+                scores = snapped(units[part] @ units[right].T)
                 scores[(scores <= floor) | (ids[part, None] == ids[right][None, :])] = -np.inf
                 rows, cols = best_columns(scores, ids[right], k)
                 found.append((ids[part][rows], ids[right][cols], scores[rows, cols]))
@@ -268,6 +275,83 @@ def compare(met: DataFrame, k: int, threshold: float | None) -> DataFrame:
     return met.groupBy("a", "b").applyInArrow(_compare(k, threshold), EDGES)
 
 
+def zero_free(vectors: DataFrame) -> DataFrame:
+    """Vectors that have a direction."""
+    return vectors.filter(F.exists("embedding", lambda x: x != 0))
+
+
+def tiling_table(spark: SparkSession, tiling: Tiling) -> DataFrame:
+    """A tiling as a small table, one row per cell."""
+    rows = [
+        (i, c.tolist(), e[np.isfinite(e)].tolist(), int(p), int(f))
+        for i, (c, e, p, f) in enumerate(zip(tiling.centres, tiling.edges, tiling.parts, tiling.first, strict=True))
+    ]
+    return spark.createDataFrame(rows, "cell INT, centre ARRAY<DOUBLE>, edges ARRAY<DOUBLE>, parts BIGINT, first BIGINT")
+
+
+def read_tiling(table: DataFrame) -> Tiling:
+    """A tiling from its table (a bounded number of cells)."""
+    rows = sorted(table.collect(), key=lambda r: r["cell"])
+    edges = np.full((len(rows), MAX_RINGS - 1), np.inf)
+    for row in rows:
+        edges[row["cell"], : len(row["edges"])] = row["edges"]
+    centres = np.array([r["centre"] for r in rows])
+    parts, first = (np.array([r[c] for r in rows], np.int64) for c in ("parts", "first"))
+    return Tiling(centres, edges, parts, first)
+
+
+def ring_table(placed: DataFrame) -> DataFrame:
+    """Bounds of the tiles of placed vectors, to be kept beside them."""
+    return placed.groupBy("tile").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+
+
+def edges_to_known(
+    fresh: DataFrame, known: DataFrame, bounds: DataFrame, tiling: Tiling, k: int, threshold: float, total: int
+) -> DataFrame:
+    """Edges, in both directions, between a batch of placed vectors and the stored ones they come near.
+
+    ``known`` is the stored table of placed vectors, ``bounds`` its ring tables; only cells that hold a
+    visited tile are read. A tile's visitors are dealt into blocks of bounded size.
+    """
+    reach = math.acos(min(1.0, threshold))
+    found = bounds.groupBy("tile").agg(F.min("low"), F.max("high")).collect()
+    limits = np.full((3, len(tiling.cell_of_tile)), np.nan)
+    for tile, low, high in found:
+        limits[:, tile] = low, high, 0.0
+    held = Rings(*limits)
+    step = max(1, SLICE_CELLS // len(held.low))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step)
+                cell = rows.column("cell").to_numpy(zero_copy_only=False)
+                units = unit_rows(matrix(rows.column("embedding")))
+                row, tile = np.nonzero(visited(units, cell, np.full(len(cell), reach), tiling, held))
+                picked = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(tile.astype(np.int32)),
+                        rows.column("id").take(picked),
+                        rows.column("embedding").take(picked),
+                    ],
+                    names=["b", "id", "embedding"],
+                )
+
+    asked = fresh.select("id", "embedding", "cell").mapInArrow(run, "b INT, id BIGINT, embedding ARRAY<FLOAT>")
+    blocks = max(1, math.ceil(total / TILE_ROWS))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked = materialize(asked.withColumns({"block": block, "tile": F.lit(-1)}))
+    tiles = [row["b"] for row in asked.select("b").distinct().collect()]
+    read = sorted({int(c) for c in tiling.cell_of_tile[tiles]}) if tiles else []
+    near = known.filter(F.col("cell").isin(read)).join(F.broadcast(asked.select(F.col("b").alias("tile")).distinct()), "tile")
+    homes = near.select(
+        F.col("tile").alias("b"), "id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tile"
+    )
+    met = asked.select(homes.columns).unionByName(homes).withColumn("a", F.lit(-1))
+    return met.groupBy("a", "b", "block").applyInArrow(_compare(k, threshold), EDGES)
+
+
 def cell_count(total: int) -> int:
     """How many centres a corpus of ``total`` vectors gets."""
     rows = min(TILE_ROWS, max(LEAST_CELL_ROWS, 4 * math.isqrt(total)))

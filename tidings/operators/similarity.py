@@ -114,7 +114,7 @@ def exact_edges(
 ) -> DataFrame:
     """Edges that hold the ``k`` best neighbours of every distinct vector; further ones may follow."""
     if threshold is not None and threshold >= 0:
-        distinct = distinct.filter(F.exists("embedding", lambda x: x != 0))
+        distinct = cells.zero_free(distinct)
     count = cells.cell_count(total) if cell_count is None else cell_count
     sample = cells.sample_vectors(rows, total, cells.SAMPLE_PER_CENTRE * count)
     centres = cells.fit_centres(sample, count)
@@ -267,20 +267,56 @@ def nearest_neighbours(
     return _expand_copies(rows, groups, others, best, k, threshold)
 
 
-def near_duplicates(
-    vectors: DataFrame,
-    articles: DataFrame,
-    k: int = NEIGHBOURS,
-    threshold: float = SIMILARITY_THRESHOLD,
-    **options,
-) -> DataFrame:
-    """Unordered pairs of near-duplicate articles, the most similar first.
+def vector_index(
+    vectors: DataFrame, id_column: str = "article_id", vector_column: str = "embedding"
+) -> tuple[cells.Tiling, DataFrame] | None:
+    """A tiling fitted to the vectors, and all that have a direction, placed in it; None without any."""
+    rows = cells.zero_free(_standard(vectors, id_column, vector_column))
+    total = rows.count()
+    count = cells.cell_count(total)
+    centres = cells.fit_centres(cells.sample_vectors(rows, total, cells.SAMPLE_PER_CENTRE * count), count)
+    if not centres.size:
+        return None
+    assigned = materialize(cells.assign(rows, centres))
+    tiling = cells.fit_tiling(assigned, centres, total, cells.TILE_ROWS)
+    return tiling, cells.place(assigned, tiling)
 
-    A pair counts when either article has the other among its ``k`` nearest above the threshold.
-    Pairs whose urls are blank or equal are dropped after the ranks are spent, as those neighbours
-    do take up rank slots.
+
+def place_in(vectors: DataFrame, tiling: cells.Tiling, id_column: str = "article_id", vector_column: str = "embedding") -> DataFrame:
+    """Further vectors, placed in a stored tiling."""
+    return cells.place(cells.assign(cells.zero_free(_standard(vectors, id_column, vector_column)), tiling.centres), tiling)
+
+
+def neighbours_after(
+    fresh: DataFrame, known: DataFrame, bounds: DataFrame, tiling: cells.Tiling, neighbours: DataFrame,
+    k: int = NEIGHBOURS, threshold: float = SIMILARITY_THRESHOLD,
+) -> DataFrame:
+    """New neighbour lists of all ids that a batch of placed vectors changes: ``id, other, similarity, rank``.
+
+    ``fresh`` is the batch, ``known`` and ``bounds`` the stored vectors and their tiles, ``neighbours``
+    the lists as they are. The lists equal those of a full recomputation; work follows the batch and
+    the cells it comes near.
     """
-    edges = nearest_neighbours(vectors, k=k, threshold=threshold, **options)
+    if threshold < 0:
+        raise ValueError("the index has no vectors without direction, so the threshold must not be negative")
+    total = fresh.count()
+    across = cells.edges_to_known(fresh, known, bounds, tiling, k, threshold, total)
+    own = nearest_neighbours(fresh.select("id", "embedding"), k, threshold, id_column="id").drop("rank")
+    edges = materialize(across.unionByName(own))
+    touched = edges.select("id").distinct()
+    before = neighbours.select("id", "other", "similarity").join(touched, "id", "left_semi")
+    merged = edges.unionByName(before).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    return _best_edges(merged, k)
+
+
+def latest_lists(neighbours: DataFrame) -> DataFrame:
+    """Neighbour lists written in batches: an id's rows of its last batch."""
+    last = neighbours.groupBy("id").agg(F.max("batch").alias("batch"))
+    return neighbours.join(last, ["id", "batch"]).drop("batch")
+
+
+def pairs_of(edges: DataFrame, articles: DataFrame) -> DataFrame:
+    """Unordered article pairs of neighbour edges, the most similar first; blank and equal urls go."""
     pairs = (
         edges.select(
             F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id"), "similarity"
@@ -304,6 +340,22 @@ def near_duplicates(
     )
 
 
+def near_duplicates(
+    vectors: DataFrame,
+    articles: DataFrame,
+    k: int = NEIGHBOURS,
+    threshold: float = SIMILARITY_THRESHOLD,
+    **options,
+) -> DataFrame:
+    """Unordered pairs of near-duplicate articles, the most similar first.
+
+    A pair counts when either article has the other among its ``k`` nearest above the threshold.
+    Pairs whose urls are blank or equal are dropped after the ranks are spent, as those neighbours
+    do take up rank slots.
+    """
+    return pairs_of(nearest_neighbours(vectors, k=k, threshold=threshold, **options), articles)
+
+
 def at_least_as_similar(pairs: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Pairs at or above a viewing threshold (inclusive, unlike the strict one they are built with)."""
     return pairs.filter(F.col("similarity") >= threshold)
