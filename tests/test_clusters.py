@@ -4,6 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidings.operators import clustering, topics, trending, views
@@ -270,3 +271,73 @@ def test_charts(spark):
     assert sized[0] == 13 and sized[19] == 30
     now = views.trending_now(ranked, sizes.filter("cluster_id < 19"), 2).collect()
     assert {r["cluster_id"]: r["article_count"] for r in now} == {19: "—", 18: "2"}
+
+
+def lloyd(rows, centres, rounds, tolerance):
+    """Plain k-means from given centres: the last measured centres and their cost."""
+    for _ in range(rounds + 1):
+        distance = ((rows[:, None] - centres[None]) ** 2).sum(axis=2)
+        home = distance.argmin(axis=1)
+        after = np.array([rows[home == i].mean(axis=0) if (home == i).any() else c for i, c in enumerate(centres)])
+        cost = distance.min(axis=1).sum()
+        if ((after - centres) ** 2).sum(axis=1).max() <= tolerance:
+            break
+        before, centres = centres, after
+    else:
+        centres = before
+    return centres, cost
+
+
+def test_all_k_side_by_side_equal_plain_lloyd_steps(spark):
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([c + 0.2 * rng.normal(size=(30, 5)) for c in rng.normal(size=(6, 5))])
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "article_id BIGINT, embedding ARRAY<DOUBLE>")
+    features = clustering.unit_features(frame)
+    fitted = clustering.fit_all_k(features, range(2, 9))
+    assert list(fitted) == list(range(2, 9))
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    got = features.select("article_id", F.xxhash64(vector_to_array("features")).alias("h")).orderBy("h").collect()
+    sample = units[[r["article_id"] for r in got]]
+    start = clustering.spread_start(sample, 8)
+    for k, (centres, cost) in fitted.items():
+        want, want_cost = lloyd(units, start[:k], clustering.ROUNDS, clustering.TOLERANCE)
+        assert cost == pytest.approx(want_cost, rel=1e-9)
+        assert np.allclose(centres, want, atol=1e-9)
+    assert clustering.choose_k(features, range(2, 9)) in range(3, 9)
+    assert clustering.fit_all_k(features, [1, 500]) == {}
+
+
+def test_curve_of_all_k_has_checked_facts(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("article_id"), "embedding"
+    )
+    features = clustering.unit_features(vectors)
+    fitted = clustering.fit_all_k(features)
+    assert list(fitted) == list(clustering.K_RANGE)
+    units = np.array([r[0].toArray() for r in features.select("features").collect()])
+    for k, (centres, cost) in fitted.items():
+        distance = ((units[:, None] - centres[None]) ** 2).sum(axis=2)
+        assert len(centres) == k and cost == pytest.approx(distance.min(axis=1).sum(), rel=1e-9)
+    found = clustering.cluster_corpus(vectors)
+    assert found.k == clustering.choose_k(features)
+    assert found.points.count() == len(units)
+    sizes = {r["cluster_id"]: r["count"] for r in found.points.groupBy("cluster_id").count().collect()}
+    home = ((units[:, None] - fitted[found.k][0][None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert sizes == {int(c): int((home == c).sum()) for c in np.unique(home)}
+
+
+def test_centroids_in_blocks_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "CENTROID_BLOCK", 3)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 4))
+    centres[7] = centres[2]
+    rows = rng.normal(size=(40, 4))
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id INT, centroid ARRAY<DOUBLE>")
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "article_id BIGINT, embedding ARRAY<DOUBLE>")
+    distance = ((rows[:, None] - centres[None]) ** 2).sum(axis=2)
+    got = {r["article_id"]: r for r in clustering.assign_to_centroids(frame, table).collect()}
+    assert [got[i]["cluster_id"] for i in range(40)] == distance.argmin(axis=1).tolist()
+    assert np.allclose([got[i]["distance2"] for i in range(40)], distance.min(axis=1))
+    curve = {r["k"]: r["inertia"] for r in clustering.prefix_inertia_curve(frame, table).collect()}
+    want = np.minimum.accumulate(distance, axis=1).sum(axis=0)
+    assert np.allclose([curve[k] for k in range(1, 11)], want)

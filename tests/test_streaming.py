@@ -4,6 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidings.operators.trending import trending_windows
+from tidings.plans.corpus import Corpus
 from tidings.sources import feeds
 from tidings.streaming import ingest
 
@@ -92,3 +93,52 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     expected = {(r["cluster_id"], str(r["window_start"]), r["article_count"]) for r in trending_windows(batch).collect()}
     got = {(r["cluster_id"], str(r["window_start"]), r["article_count"]) for r in streamed.collect()}
     assert got == expected
+
+
+def test_a_batch_of_many_partitions_has_distinct_positions(spark, tmp_path):
+    table = str(tmp_path / "articles")
+    for batch in (0, 1):
+        rows = [(f"Title {batch} {n}", "body text " * 6, f"https://x.org/{batch}/{n}", "", "") for n in range(300)]
+        records = spark.createDataFrame(rows, "title STRING, description STRING, url STRING, date STRING, domain STRING")
+        ingest.append_batch(records.repartition(150), batch, table)
+    found = spark.read.parquet(table)
+    assert found.count() == found.select("ingest_seq").distinct().count() == 600
+    last = found.filter("batch = 0").agg(F.max("ingest_seq")).head()[0]
+    assert found.filter("batch = 1").agg(F.min("ingest_seq")).head()[0] > last
+
+
+WORDS = "markets rally storm coast election vote science probe football final music award".split()
+
+
+def land_news(folder, name, numbers):
+    folder.mkdir(exist_ok=True)
+    items = "".join(
+        ITEM.format(n=n, text=" ".join(WORDS[(n * k + k) % len(WORDS)] for k in range(1, 15)) + f" story {n // 2}")
+        for n in numbers
+    )
+    (folder / name).write_text(f"<rss><channel>{items}</channel></rss>")
+
+
+def follow_corpus(spark, tmp_path, **options):
+    items = feeds.read_items(spark, str(tmp_path / "landing"), stream=True)
+    records = feeds.to_records(items, "x").drop("feed")
+    ingest.start_corpus_ingest(records, str(tmp_path / "corpus"), str(tmp_path / "check"), **options).awaitTermination()
+
+
+def test_a_streamed_corpus_opens_whole(spark, tmp_path):
+    options = {"k_range": range(2, 4), "threshold": 0.5}
+    land_news(tmp_path / "landing", "a.xml", range(24))
+    follow_corpus(spark, tmp_path, **options)
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    assert corpus.table("articles").count() == corpus.table("embeddings").count() == 24
+    before = corpus.duplicates().count()
+    land_news(tmp_path / "landing", "b.xml", range(20, 36))
+    follow_corpus(spark, tmp_path, **options)
+    articles = corpus.table("articles")
+    assert articles.count() == articles.select("article_id").distinct().count() == 36
+    assert corpus.table("embeddings").count() == 36 and corpus.duplicates().count() > before > 0
+    assert corpus.trending().count() > 0
+    # The last micro-batch once more: nothing is lost or doubled.
+    items = feeds.to_records(feeds.read_items(spark, str(tmp_path / "landing" / "b.xml")), "x").drop("feed")
+    assert ingest.corpus_batch(items, 1, str(tmp_path / "corpus"), threshold=0.5) == 12
+    assert corpus.table("articles").count() == 36

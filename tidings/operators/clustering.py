@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidings.functions.vectors import as_double, squared_distance
+from tidings.functions.vectors import as_double
+from tidings.operators.kernels import matrix
+from tidings.sources.layout import materialize
 
 # Range of cluster counts tried and the random seed.
 K_RANGE = range(5, 30)
 SEED = 42
-# Fits of different k that run at the same time.
-PARALLEL_FITS = 4
+# Centres start from a sample of so many vectors per cluster of the largest k; rounds of Lloyd's steps, and
+# the change of centres (squared) below which they end.
+START_ROWS, ROUNDS, TOLERANCE = 64, 20, 1e-8
 
-# Centroid tables are broadcast up to this many rows; assignment beyond that is refused.
-MAX_CENTROIDS = 10_000
+# Centroids that are scored at a time; a longer table is taken in blocks.
+CENTROID_BLOCK = 4096
 
 
 def unit_features(vectors: DataFrame, id_column: str = "article_id") -> DataFrame:
@@ -36,27 +40,97 @@ def unit_features(vectors: DataFrame, id_column: str = "article_id") -> DataFram
     return Normalizer(inputCol="_raw", outputCol="features", p=2.0).transform(raw).drop("_raw")
 
 
-def inertia_curve(
-    features: DataFrame,
-    k_range: Iterable[int] = K_RANGE,
-    seed: int = SEED,
-    parallel_fits: int = PARALLEL_FITS,
-) -> list[tuple[int, float]]:
-    """K-means cost for every usable k; each fit is a distributed job that brings back one number.
+def spread_start(sample: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
+    """Up to ``k`` starting centres by k-means++ on a bounded sample; the first j of them start j clusters."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    nearest = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and nearest.max() > 0:
+        chosen.append(sample[rng.choice(len(sample), p=nearest / nearest.sum())])
+        nearest = np.minimum(nearest, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _lloyd_sums(centres: dict[int, np.ndarray]):
+    """One pass for every k: a task's sums, counts and costs per centre, added up over its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros_like(c) for k, c in centres.items()}
+        counts = {k: np.zeros(len(c)) for k, c in centres.items()}
+        costs = {k: np.zeros(len(c)) for k, c in centres.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = matrix(batch.column(0))
+            squares = (rows**2).sum(axis=1)
+            for k, own in centres.items():
+                distance = squares[:, None] - 2.0 * (rows @ own.T) + (own**2).sum(axis=1)
+                home = distance.argmin(axis=1)
+                np.add.at(sums[k], home, rows)
+                counts[k] += np.bincount(home, minlength=len(own))
+                least = np.maximum(distance[np.arange(len(home)), home], 0.0)
+                costs[k] += np.bincount(home, weights=least, minlength=len(own))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, c in centres.items() for _ in c], pa.int32()),
+                pa.array([i for c in centres.values() for i in range(len(c))], pa.int32()),
+                pa.array([x for found in counts.values() for x in found], pa.float64()),
+                pa.array([x for found in costs.values() for x in found], pa.float64()),
+                pa.array([x.tolist() for found in sums.values() for x in found], pa.list_(pa.float64())),
+            ],
+            names=["k", "centre", "n", "cost", "total"],
+        )
+
+    return run
 
-    A few fits run side by side, which fills the slots that the small steps of one fit leave idle.
-    """
-    rows = features.count()
-    ks = [k for k in k_range if 1 < k < rows]
 
-    def fit(k: int) -> tuple[int, float]:
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(features)
-        return k, float(model.summary.trainingCost)
+def fit_all_k(
+    features: DataFrame, k_range: Iterable[int] = K_RANGE, seed: int = SEED, rounds: int = ROUNDS
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Centres and cost of k-means for every usable k, by Lloyd's steps of all of them side by side.
 
+    Each round is one pass over the vectors; what a task returns, and the driver keeps, is one row per
+    centre of every k. Starting centres come from a bounded sample (k-means++).
+    """
+    rows = features.select(vector_to_array("features").alias("v"))
+    total = rows.count()
+    ks = sorted({k for k in k_range if 1 < k < total})
     if not ks:
-        return []
-    with ThreadPool(min(parallel_fits, len(ks))) as pool:
-        return pool.map(inheritable_thread_target(features.sparkSession)(fit), ks)
+        return {}
+    wanted = START_ROWS * ks[-1]
+    mixed = F.xxhash64("v")
+    keep_one_in = max(1, total // (4 * wanted))
+    sample = rows.filter(F.pmod(mixed, F.lit(keep_one_in)) == 0).orderBy(mixed, "v").limit(wanted).toArrow()
+    start = spread_start(matrix(sample.column(0)), ks[-1], seed)
+    centres = {k: start[:k].copy() for k in ks}
+    moving, cost = dict(centres), {}
+    schema = "k INT, centre INT, n DOUBLE, cost DOUBLE, total ARRAY<DOUBLE>"
+    for _ in range(rounds + 1):
+        parts = rows.mapInArrow(_lloyd_sums(moving), schema)
+        summed = parts.groupBy("k", "centre").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+        )
+        cost.update(dict.fromkeys(moving, 0.0))
+        after = {k: c.copy() for k, c in moving.items()}
+        for row in sorted(summed.collect(), key=lambda r: (r["k"], r["centre"])):
+            cost[row["k"]] += row["cost"]
+            if row["n"]:
+                after[row["k"]][row["centre"]] = np.array(row["total"]) / row["n"]
+        # The cost belongs to the centres that were measured; a k stops when its centres stand still.
+        still = [k for k, c in moving.items() if ((after[k] - c) ** 2).sum(axis=1).max() <= TOLERANCE]
+        centres.update(moving)
+        moving = {k: c for k, c in after.items() if k not in still}
+        if not moving:
+            break
+    return {k: (centres[k], cost[k]) for k in ks}
+
+
+def inertia_curve(
+    features: DataFrame, k_range: Iterable[int] = K_RANGE, seed: int = SEED, rounds: int = ROUNDS
+) -> list[tuple[int, float]]:
+    """K-means cost for every usable k of the range."""
+    return [(k, float(cost)) for k, (_, cost) in fit_all_k(features, k_range, seed, rounds).items()]
 
 
 def knee(curve: list[tuple[int, float]], sensitivity: float = 1.0) -> int | None:
@@ -118,16 +192,18 @@ def elbow_by_curvature(curve: DataFrame) -> DataFrame:
     return bent.agg(F.max_by("k", strength).alias("k"))
 
 
-def choose_k(features: DataFrame, k_range: Iterable[int] = K_RANGE, seed: int = SEED) -> int:
-    """Number of clusters at the elbow of the inertia curve."""
-    curve = inertia_curve(features, k_range, seed)
-    if not curve:
-        return max(1, min(2, features.count()))
+def elbow(spark: SparkSession, curve: list[tuple[int, float]]) -> int:
+    """Number of clusters at the knee of a curve, else where it bends most."""
     found = knee(curve)
     if found is not None:
         return found
-    table = features.sparkSession.createDataFrame(curve, "k INT, inertia DOUBLE")
-    return elbow_by_curvature(table).head()["k"]
+    return elbow_by_curvature(spark.createDataFrame(curve, "k INT, inertia DOUBLE")).head()["k"]
+
+
+def choose_k(features: DataFrame, k_range: Iterable[int] = K_RANGE, seed: int = SEED) -> int:
+    """Number of clusters at the elbow of the inertia curve."""
+    curve = inertia_curve(features, k_range, seed)
+    return elbow(features.sparkSession, curve) if curve else max(1, min(2, features.count()))
 
 
 def pca_2d(features: DataFrame) -> DataFrame:
@@ -162,21 +238,23 @@ def cluster_corpus(
     seed: int = SEED,
     id_column: str = "article_id",
 ) -> Clustering:
-    """Unit vectors -> k at the elbow -> k-means -> coordinates."""
-    features = unit_features(vectors, id_column).persist()
-    try:
-        chosen = choose_k(features, k_range, seed) if k is None else k
-        model = KMeans(k=chosen, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(features)
-        members = model.transform(unit_features(vectors, id_column)).select("article_id", "cluster_id")
-        coordinates = pca_2d(unit_features(vectors, id_column))
-        centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-        centroid_table = vectors.sparkSession.createDataFrame(
-            centres, "cluster_id INT, centroid ARRAY<DOUBLE>"
-        )
-        points = members.join(coordinates, "article_id")
-        return Clustering(chosen, points, centroid_table, float(model.summary.trainingCost))
-    finally:
-        features.unpersist()
+    """Unit vectors -> k at the elbow -> k-means -> coordinates.
+
+    The centres are those of the pass that measured the curve, so no k is fitted twice.
+    """
+    features = materialize(unit_features(vectors, id_column))
+    spark = vectors.sparkSession
+    fitted = fit_all_k(features, k_range if k is None else [k], seed)
+    if fitted:
+        chosen = k if k is not None else elbow(spark, [(n, cost) for n, (_, cost) in fitted.items()])
+        centres, cost = fitted[chosen]
+    else:  # fewer vectors than clusters: each is its own
+        centres = np.unique(matrix(features.select(vector_to_array("features")).limit(k or 2).toArrow().column(0)), axis=0)
+        chosen, cost = len(centres), 0.0
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id INT, centroid ARRAY<DOUBLE>")
+    rows = features.select("article_id", vector_to_array("features").alias("embedding"))
+    members = assign_to_centroids(rows, table).select("article_id", "cluster_id")
+    return Clustering(chosen, members.join(pca_2d(features), "article_id"), table, cost)
 
 
 def centroid_vectors(members: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -194,13 +272,44 @@ def centroids(members: DataFrame, key: str = "cluster_id") -> DataFrame:
     return centroid_vectors(members, key).select(key, F.posexplode("centroid").alias("dim", "value"))
 
 
-def _centroid_array(centroid_table: DataFrame, key: str) -> DataFrame:
-    """All centroids in one row, after a check that their number is small."""
-    found = centroid_table.limit(MAX_CENTROIDS + 1).count()
-    if found > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; assign in several steps")
-    pair = F.struct(F.col(key).alias("id"), F.col("centroid").alias("c"))
-    return centroid_table.agg(F.array_sort(F.collect_list(pair)).alias("_centroids"))
+def _distances(rows: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centroids of a block, by one matrix product."""
+    return np.maximum((rows**2).sum(axis=1)[:, None] - 2.0 * (rows @ block.T) + (block**2).sum(axis=1), 0.0)
+
+
+def _centroid_blocks(centroid_table: DataFrame, key: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of the centroids by ascending id, a bounded block at a time."""
+    ordered = centroid_table.orderBy(key).select(key, "centroid")
+    ids, rows = [], []
+    for row in ordered.toLocalIterator():
+        ids.append(row[0])
+        rows.append(row[1])
+        if len(ids) == CENTROID_BLOCK:
+            yield ids, np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield ids, np.array(rows, np.float64)
+
+
+def _nearest_in(ids: list, block: np.ndarray, key_type: pa.DataType):
+    """Lowers each vector's best distance by a block of centroids; ties stay with the earlier id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(ids, key_type)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            distance = _distances(matrix(batch.column(1)), block)
+            # Rounding must not decide between equal centroids: the first within it wins.
+            least = distance.min(axis=1)
+            place = (distance <= least[:, None] + 1e-12 * (1.0 + least[:, None])).argmax(axis=1)
+            old = batch.column(3).to_numpy(zero_copy_only=False)
+            better = least < old - 1e-12 * (1.0 + np.where(np.isfinite(old), old, 0.0))
+            chosen = pc.if_else(pa.array(better), known.take(pa.array(place)), batch.column(2))
+            kept = pa.array(np.where(better, least, old))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], chosen, kept], names=batch.schema.names)
+
+    return run
 
 
 def assign_to_centroids(
@@ -208,20 +317,17 @@ def assign_to_centroids(
 ) -> DataFrame:
     """Nearest given centroid of every vector: ``article_id, key, distance2``; ties to the lower id.
 
-    The centroids travel as one small broadcast row, so each vector is scored in place and no
-    (vector, centroid) rows are made.
+    Centroids travel in blocks of bounded size; a batch of vectors is scored against a block by one matrix
+    product, so no (vector, centroid) rows are made.
     """
-    small = F.broadcast(_centroid_array(centroid_table, key))
-    scored = F.transform(
-        "_centroids",
-        lambda c: F.struct(squared_distance(F.col("embedding"), c["c"]).alias("d"), c["id"].alias("id")),
-    )
-    return (
-        vectors.filter("embedding IS NOT NULL")
-        .crossJoin(small)
-        .select("article_id", F.array_min(scored).alias("_best"))
-        .select("article_id", F.col("_best.id").alias(key), F.col("_best.d").alias("distance2"))
-    )
+    kind = centroid_table.schema[key].dataType
+    found = vectors.filter("embedding IS NOT NULL").select(
+        "article_id", as_double(F.col("embedding")).alias("embedding"),
+        F.lit(None).cast(kind).alias(key), F.lit(float("inf")).alias("distance2"),
+    )
+    for ids, block in _centroid_blocks(centroid_table, key):
+        found = found.mapInArrow(_nearest_in(ids, block, to_arrow_type(kind)), found.schema)
+    return found.filter(F.col(key).isNotNull()).drop("embedding")
 
 
 def inertia(vectors: DataFrame, centroid_table: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -234,19 +340,44 @@ def prefix_inertia_curve(
     vectors: DataFrame, centroid_table: DataFrame, key: str = "cluster_id"
 ) -> DataFrame:
     """Inertia against the first k given centroids for every k: ``k, inertia``."""
-    small = F.broadcast(_centroid_array(centroid_table, key))
-    distances = F.transform("_centroids", lambda c: squared_distance(F.col("embedding"), c["c"]))
-    running = F.transform(
-        "_d", lambda _x, i: F.array_min(F.slice("_d", 1, i + 1))
-    )
-    return (
-        vectors.filter("embedding IS NOT NULL")
-        .crossJoin(small)
-        .select(distances.alias("_d"))
-        .select(F.posexplode(running).alias("_i", "_m"))
-        .groupBy((F.col("_i") + 1).alias("k"))
-        .agg(F.sum("_m").alias("inertia"))
+    rows = vectors.filter("embedding IS NOT NULL").select(
+        as_double(F.col("embedding")).alias("embedding"), F.lit(float("inf")).alias("least")
     )
+    parts, before = [], 0
+    for ids, block in _centroid_blocks(centroid_table, key):
+        parts.append(rows.mapInArrow(_running_least(block, before), "k INT, inertia DOUBLE"))
+        rows = rows.mapInArrow(_lowered(block), rows.schema)
+        before += len(ids)
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "k INT, inertia DOUBLE")
+    return reduce(DataFrame.union, parts).groupBy("k").agg(F.sum("inertia").alias("inertia"))
+
+
+def _running_least(block: np.ndarray, before: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(len(block)), False
+        for batch in batches:
+            if batch.num_rows:
+                least = batch.column(1).to_numpy(zero_copy_only=False)[:, None]
+                running = np.minimum(np.minimum.accumulate(_distances(matrix(batch.column(0)), block), axis=1), least)
+                total += running.sum(axis=0)
+                met = True
+        if met:
+            ks = pa.array(np.arange(before + 1, before + 1 + len(block)), pa.int32())
+            yield pa.RecordBatch.from_arrays([ks, pa.array(total)], names=["k", "inertia"])
+
+    return run
+
+
+def _lowered(block: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                least = _distances(matrix(batch.column(0)), block).min(axis=1)
+                old = batch.column(1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(least, old))], names=batch.schema.names)
+
+    return run
 
 
 def assign_unclustered(

@@ -193,14 +193,15 @@ def build_all(
 
 
 def refresh(
-    spark: SparkSession, layout: Layout, raw: DataFrame, batch: int, recluster: bool = False, **options
-) -> int:
+    spark: SparkSession, layout: Layout, raw: DataFrame, batch: int, recluster: bool = False,
+    canonical_urls: bool = False, **options,
+) -> int:
     """Append new articles, embed them and renew duplicates and trends, published together.
 
     Clusters stay as they are unless ``recluster`` is set; new articles are unclustered until then.
     """
     draft = layout.draft()
-    added = append(spark, draft, raw, batch)
+    added = append(spark, draft, raw, batch, canonical_urls)
     if added:
         embed(spark, draft, batch)
         deduplicate_batch(spark, draft, batch, **options)

@@ -445,15 +445,20 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_inertia_curve")
 def kmeans_inertia_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = clustering.unit_features(b.vectors(spark, sf_dir)).persist()
-    curve = clustering.inertia_curve(features, range(5, 15))
-    features.unpersist()
-    return spark.createDataFrame(curve, "k INT, inertia DOUBLE")
+    features = materialize(clustering.unit_features(b.vectors(spark, sf_dir)))
+    return spark.createDataFrame(clustering.inertia_curve(features), "k INT, inertia DOUBLE")
+
+
+@query("choose_k")
+def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters at the elbow of the curve over the whole range."""
+    features = materialize(clustering.unit_features(b.vectors(spark, sf_dir)))
+    return spark.createDataFrame([(clustering.choose_k(features),)], "k INT")
 
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.cluster_corpus(b.vectors(spark, sf_dir), k=10)
+    found = clustering.cluster_corpus(b.vectors(spark, sf_dir))
     return found.points.select("article_id", "cluster_id", "x", "y")
 
 

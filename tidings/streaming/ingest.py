@@ -1,4 +1,8 @@
-"""Continuous ingest of landed feed files into the article table."""
+"""Continuous ingest of landed feed files: into an article table, or into a whole corpus.
+
+A micro-batch takes the place after the last position of all earlier batches, so positions never
+overlap, however many partitions a batch has, and a batch that is run again gets the same range.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidings.operators.articles import MIN_TEXT_LENGTH, clean_articles, new_in_small_batch
+from tidings.plans import build
+from tidings.sources.generations import Layout
 from tidings.sources.sinks import write_batch
 
 # Pause between two looks at the landing folder.
 POLL_INTERVAL = "30 minutes"
-_ROWS_PER_BATCH = 1 << 40
 
 
 def read_before(spark: SparkSession, table: str, batch: int) -> DataFrame | None:
@@ -27,6 +32,14 @@ def read_before(spark: SparkSession, table: str, batch: int) -> DataFrame | None
         raise
 
 
+def with_positions(records: DataFrame, last: int | None = None) -> DataFrame:
+    """Records with ingest positions above ``last``, unless they have positions of their own."""
+    if "ingest_seq" in records.columns:
+        return records
+    first = 0 if last is None else last + 1
+    return records.withColumn("ingest_seq", F.monotonically_increasing_id() + F.lit(first))
+
+
 def append_batch(
     records: DataFrame,
     batch: int,
@@ -42,10 +55,9 @@ def append_batch(
     their vectors.
     """
     spark = records.sparkSession
-    seq = F.monotonically_increasing_id() + F.lit(batch * _ROWS_PER_BATCH)
-    numbered = records if "ingest_seq" in records.columns else records.withColumn("ingest_seq", seq)
-    cleaned = clean_articles(numbered, min_length, canonical_urls)
     known = read_before(spark, table, batch)
+    last = known.agg(F.max("ingest_seq")).head()[0] if known is not None else None
+    cleaned = clean_articles(with_positions(records, last), min_length, canonical_urls)
     fresh = cleaned if known is None else new_in_small_batch(cleaned, known)
     write_batch(fresh if enrich is None else enrich(fresh), table, batch)
 
@@ -72,6 +84,44 @@ def start_ingest(
     return writer.trigger(**trigger).start()
 
 
+def corpus_batch(records: DataFrame, batch: int, root: str, canonical_urls: bool = True, **options) -> int:
+    """Take one micro-batch into the corpus below ``root``: articles, vectors, pairs, trends.
+
+    The first batch with an article builds the corpus, with clusters and topics; later ones refresh it.
+    Each is published as a whole, so readers never see half a batch, and one that is run again replaces
+    itself. Returns the number of new articles.
+    """
+    spark, layout = records.sparkSession, Layout(root)
+    began = layout.batches("articles")
+    # Batch 0 of a corpus is the micro-batch it was built from, whatever number that had.
+    if not began:
+        raw = with_positions(records)
+        if clean_articles(raw, canonical_urls=canonical_urls).isEmpty():
+            return 0
+        built = build.build_all(spark, root, raw, canonical_urls=canonical_urls, **options)
+        return built.read(spark, "articles").count()
+    dedup = {name: value for name, value in options.items() if name in ("threshold",)}
+    return build.refresh(spark, layout, with_positions(records), batch + 1, canonical_urls=canonical_urls, **dedup)
+
+
+def start_corpus_ingest(
+    records: DataFrame, root: str, checkpoint: str, once: bool = True, interval: str = POLL_INTERVAL, **options
+) -> StreamingQuery:
+    """Follow a stream of raw records into a whole corpus, which ``Corpus`` opens at any time."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # The micro-batch is read by several stages.
+        batch.persist()
+        try:
+            corpus_batch(batch, batch_id, root, **options)
+        finally:
+            batch.unpersist()
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if once else {"processingTime": interval}
+    return writer.trigger(**trigger).start()
+
+
 def drop_recent_duplicates(
     articles: DataFrame, key: str = "url", event_time: str = "published", delay: str = "7 days"
 ) -> DataFrame:
