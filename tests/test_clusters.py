@@ -137,11 +137,16 @@ def test_tfidf_matches_plain_reading(spark, max_features):
     assert not [r for r in rows if r["cluster_id"] == 3]
 
 
-def test_tfidf_without_broadcast_is_the_same(spark, monkeypatch):
-    expected = {tuple(r) for r in topics.cluster_tfidf(documents(spark)).collect()}
-    monkeypatch.setattr(topics, "MAX_BROADCAST_TERMS", 0)
-    got = {tuple(r) for r in topics.cluster_tfidf(documents(spark)).collect()}
-    assert {(c, r, t, round(s, 9)) for c, r, t, s in got} == {(c, r, t, round(s, 9)) for c, r, t, s in expected}
+def test_tfidf_of_all_terms_in_parts(spark, monkeypatch):
+    from tidings.functions.text import ENGLISH_STOP_WORDS
+
+    for parts in (1, 3):
+        monkeypatch.setattr(topics, "PARTS", parts)
+        rows = topics.cluster_tfidf(documents(spark)).collect()
+        for cluster in (1, 2):
+            got = [(round(r["score"], 9), r["term"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["cluster_id"] == cluster]
+            texts = [t for t in TEXTS[cluster] if t.strip()]
+            assert got == brute_tfidf(texts, set(ENGLISH_STOP_WORDS), 10**9)
 
 
 def test_topics_keep_wordless_cluster(spark):

@@ -216,3 +216,39 @@ def test_body_falls_back_to_summary(spark):
     df = spark.createDataFrame([("x" * 99, "s"), ("x" * 100, "s"), (None, None)], "b STRING, s STRING")
     got = [r[0] for r in df.select(body_or_summary(F.col("b"), F.col("s"))).collect()]
     assert got == ["s", "x" * 100, ""]
+
+
+FEED_DATES = {
+    "Thu, 26 Jun 25 10:30:00 GMT": datetime(2025, 6, 26, 10, 30),
+    "June 26, 2025 3:30 PM": datetime(2025, 6, 26, 15, 30),
+    "26/06/2025 3:30 pm": datetime(2025, 6, 26, 15, 30),
+    "20250626T103000": datetime(2025, 6, 26, 10, 30),
+    "20250626T1030Z": datetime(2025, 6, 26, 10, 30),
+    "20250626T103000+0200": datetime(2025, 6, 26, 10, 30),
+    "06/26/25": datetime(2025, 6, 26),
+    "25/06/26": datetime(2026, 6, 25),
+    "1-Jan-70": datetime(1970, 1, 1),
+    "2025-06-26T10:30:00-05": datetime(2025, 6, 26, 10, 30),
+    "Thu, 26 Jun 2025 10:30:00 CEST": datetime(2025, 6, 26, 10, 30),
+    "26 Jun 2025 10:30 EEST": datetime(2025, 6, 26, 10, 30),
+    "26 Jun 2025 at 10:30": datetime(2025, 6, 26, 10, 30),
+    "2025-06-26 10": datetime(2025, 6, 26, 10),
+    "26th June 2025": datetime(2025, 6, 26),
+    "June 1st, 2025 12:05 a.m.": datetime(2025, 6, 1, 0, 5),
+    "June 26, 2025 12 pm EST": datetime(2025, 6, 26, 12),
+    "June 26, 2025 13:30 PM": None,
+    "June 26, 2025 0:30 PM": None,
+    "32nd June 2025": None,
+    "at 10:30": None,
+}
+
+
+def test_parse_date_of_feeds(spark):
+    assert column(spark, list(FEED_DATES), dates.parse_date(F.col("v"))) == list(FEED_DATES.values())
+
+
+def test_clean_url_keeps_good_escapes_beside_bad_ones(spark):
+    values = ["https://x.org/?q=%20%zz", "https://x.org/?q=%", "https://x.org/?q=a%2Bb%2", "https://x.org/?q=%41%42"]
+    assert column(spark, values, urls.clean_url(F.col("v"))) == [
+        "https://x.org/?q=+%25zz", "https://x.org/?q=%25", "https://x.org/?q=a%2Bb%252", "https://x.org/?q=AB",
+    ]

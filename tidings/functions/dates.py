@@ -24,11 +24,26 @@ _MONTH_NAME = (
 DEFAULT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 _WEEKDAY = r"(?i)^(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\s*,?\s+"
+# Names of zones that feeds carry after a time of day.
+ZONES = (
+    "z utc gmt est edt cst cdt mst mdt pst pdt bst cet cest eet eest wet west msk ist jst kst hkt sgt "
+    "aest aedt nzst nzdt"
+).split()
 # A numeric offset only follows a time of day; "05-09-2020" ends in a year.
 _ZONE = (
-    r"(?i)(?:(?<=\d)\s*(?:z|utc|gmt|[ecmp][sd]t|bst)|"
-    r"(?<=:\d{2}(?:\.\d{1,9})?)\s*(?:utc|gmt)?[+-]\d{2}:?\d{2})(?:\s*\([a-z]+\))?$"
+    r"(?i)(?:(?<=\d|[ap]m|[ap]\.m\.)\s*(?:" + "|".join(ZONES) + r")|"
+    r"(?<=:\d{2}(?:\.\d{1,9})?|T\d{4,6}|[ap]m)\s*(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?)(?:\s*\([a-z]+\))?$"
 )
+_AT = r"(?i)\s+at\s+(?=\d)"
+_ORDINAL = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b"
+_HALF_DAY = r"(?i)(?<=[T,\s])(\d{1,2})((?::\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*([ap])\.?m\.?$"
+# Years of two digits: 00 to 68 are 2000 to 2068, the others 1969 to 1999.
+_SHORT_YEAR = (
+    r"(?i)^(?<a>\d{1,2}[\s-]" + _MONTH_NAME + r"\.?,?[\s-]|" + _MONTH_NAME + r"\.?\s+\d{1,2},\s*|\d{1,2}[-/.]\d{1,2}[-/.])"
+    r"(?<y>%s)(?=$|[T,\s])"
+)
+_RECENT, _OLD = _SHORT_YEAR % r"[0-5]\d|6[0-8]", _SHORT_YEAR % r"69|[7-9]\d"
+_HOUR_ONLY = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}[T\s]\d{1,2})$"
 _TIME = r"(?:[T,\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?$"
 _YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
 _YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME
@@ -36,17 +51,38 @@ _DAY_MONTH = r"(?i)^(\d{1,2})[\s-]" + _MONTH_NAME + r"\.?,?[\s-](\d{4})" + _TIME
 _MONTH_DAY = r"(?i)^" + _MONTH_NAME + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME
 _YEAR_AFTER_TIME = r"(?i)^" + _MONTH_NAME + r"\s+(\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})\s+(?:[a-z]{3,4}\s+)?(\d{4})$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})$"
+_COMPACT_SECONDS = r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})$"
 _NAMED = r"^\d{4}-([A-Za-z]{3})[A-Za-z]*-"
 _ISO = r"^(\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?) ?$"
 
 
+def _full_day(text: Column) -> Column:
+    """A 12-hour clock as a 24-hour one; hours it does not have make the text unreadable."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, _HALF_DAY, group)
+
+    hour = part(1).try_cast("int")
+    late = F.when(F.lower(part(3)) == "p", 12).otherwise(0)
+    clock = F.when(hour.between(1, 12), F.lpad((hour % 12 + late).cast("string"), 2, "0"))
+    minutes = F.when(part(2) == "", F.lit(":00")).otherwise(part(2))
+    date = F.regexp_replace(text, _HALF_DAY, "")
+    return F.when(text.rlike(_HALF_DAY), F.concat(date, clock, minutes)).otherwise(text)
+
+
 def parse_date(col: Column) -> Column:
     """Zone-less timestamp of a date text, or NULL.
 
     A zone or offset is dropped, not converted. ``a/b/yyyy`` is month-first, and day-first only
-    where month-first is impossible.
+    where month-first is impossible. Years of two digits lie between 1969 and 2068.
     """
     bare = F.regexp_replace(F.regexp_replace(strip(col), _WEEKDAY, ""), _ZONE, "")
+    bare = _full_day(F.regexp_replace(F.regexp_replace(bare, _AT, " "), _ORDINAL, "$1"))
+    bare = F.regexp_replace(F.regexp_replace(bare, _RECENT, "${a}20${y}"), _OLD, "${a}19${y}")
+    bare = F.regexp_replace(bare, _HOUR_ONLY, "$1:00")
+    bare = F.regexp_replace(bare, _COMPACT_SECONDS, "$1-$2-$3 $4:$5:$6")
+    bare = F.regexp_replace(bare, _COMPACT_TIME, "$1-$2-$3 $4:$5")
     ordered = F.regexp_replace(bare, _YEAR_FIRST, "$1-$2-$3 $4")
     ordered = F.regexp_replace(ordered, _DAY_MONTH, "$3-$2-$1 $4")
     ordered = F.regexp_replace(ordered, _MONTH_DAY, "$3-$1-$2 $4")

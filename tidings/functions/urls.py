@@ -23,8 +23,10 @@ def domain_of(url: Column) -> Column:
 
 
 def _decode(text: Column) -> Column:
+    # A percent sign that starts no escape stands for itself, beside good escapes too.
+    escaped = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
     plain = F.replace(text, F.lit("+"), F.lit(" "))
-    return F.coalesce(F.try_url_decode(text), plain)
+    return F.coalesce(F.try_url_decode(escaped), plain)
 
 
 def _encode(text: Column) -> Column:

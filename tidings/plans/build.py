@@ -107,7 +107,7 @@ def cluster(
 def label(spark: SparkSession, layout: Layout) -> None:
     """Topic keywords and labels of all clusters."""
     members = layout.read(spark, "clusters").join(layout.read(spark, "articles"), "article_id")
-    layout.put(topics.cluster_topics(members), "topics")
+    layout.put(topics.cluster_topics(members, max_features=topics.MAX_FEATURES), "topics")
 
 
 def deduplicate(

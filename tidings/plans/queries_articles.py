@@ -184,6 +184,39 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spelled_dates(spark, sf_dir).select("event_id", parsed.alias("published"))
 
 
+# Further spellings of feeds: how each is written, and the unit of time that it keeps.
+_FEED_DATES = (
+    ("%a, %d %b %y %H:%M:%S GMT", "EEE, dd MMM yy HH:mm:ss 'GMT'", "second"),
+    ("%B %d, %Y %I:%M %p", "MMMM dd, yyyy hh:mm a", "minute"),
+    ("%d/%m/%Y %I:%M:%S %p", "dd/MM/yyyy hh:mm:ss a", "second"),
+    ("%Y%m%dT%H%M%S", "yyyyMMdd'T'HHmmss", "second"),
+    ("%m/%d/%y", "MM/dd/yy", "day"),
+    ("%Y-%m-%dT%H:%M:%S-05", "yyyy-MM-dd'T'HH:mm:ss'-05'", "second"),
+    ("%a, %d %b %Y %H:%M:%S CEST", "EEE, dd MMM yyyy HH:mm:ss 'CEST'", "second"),
+    ("%d %b %Y at %H:%M", "dd MMM yyyy 'at' HH:mm", "minute"),
+    ("%Y-%m-%d %H", "yyyy-MM-dd HH", "hour"),
+    ("%dth %B %Y", "dd'th' MMMM yyyy", "day"),
+)
+_SQL_FEED_DATES = f"""
+WITH spelled AS (SELECT event_id, ts, CASE event_id % 10
+  {" ".join(f"WHEN {i} THEN strftime(ts, '{f}')" for i, (f, _, _) in enumerate(_FEED_DATES))} END AS raw FROM events),
+month_first AS (SELECT *, CASE WHEN event_id % 10 = 2 AND day(ts) <= 12
+  THEN strptime(raw, '%m/%d/%Y %I:%M:%S %p') ELSE ts END AS t FROM spelled)
+SELECT event_id, raw, strftime(CASE event_id % 10
+  {" ".join(f"WHEN {i} THEN date_trunc('{u}', t)" for i, (_, _, u) in enumerate(_FEED_DATES))} END,
+  '%Y-%m-%d %H:%M:%S') AS published FROM month_first
+"""
+
+
+@query("parse_feed_dates", _SQL_FEED_DATES)
+def parse_feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-digit years, 12-hour clocks, compact and partial times, ordinals, names and hours of zones."""
+    kind = F.pmod("event_id", F.lit(10))
+    raw = F.coalesce(*[F.when(kind == i, F.date_format("ts", f)) for i, (_, f, _) in enumerate(_FEED_DATES)])
+    spelled = b.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return spelled.select("event_id", "raw", dates.timestamp_text(dates.parse_date(F.col("raw"))).alias("published"))
+
+
 @query(
     "format_dates",
     f"""{_SQL_RAW_DATES} SELECT event_id, coalesce({b.SQL_TS.format('ts')}, trim(raw)) AS date

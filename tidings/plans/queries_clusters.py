@@ -350,7 +350,7 @@ def incremental_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.assign_unclustered(b.articles(spark, sf_dir), b.clusters(spark, sf_dir))
 
 
-def _sql_tfidf(key: str) -> str:
+def _sql_tfidf(key: str, limit: str = "QUALIFY row_number() OVER (PARTITION BY k ORDER BY total DESC, term) <= 1000") -> str:
     from tidings.plans.queries_articles import _STOPS
 
     return f"""
@@ -367,8 +367,7 @@ terms AS (
 tf AS (SELECT doc_id, k, term, count(*) AS tf FROM terms GROUP BY ALL),
 stats AS (SELECT k, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL),
 features AS (
-  SELECT k, term, df FROM stats
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY total DESC, term) <= 1000),
+  SELECT k, term, df FROM stats {limit}),
 sizes AS (SELECT k, count(*) AS n FROM filled GROUP BY k),
 weights AS (
   SELECT doc_id, k, term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS w
@@ -387,6 +386,19 @@ ranked AS (
     + "SELECT k AS cluster_id, rank, term, round(score, 6) AS score FROM ranked WHERE rank <= 5",
 )
 def cluster_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = b.table(spark, sf_dir, "documents").withColumnRenamed("lang", "cluster_id")
+    found = topics.cluster_tfidf(documents, doc="doc_id", max_features=topics.MAX_FEATURES)
+    return found.select(
+        "cluster_id", F.col("rank").cast("bigint").alias("rank"), "term", F.round("score", 6).alias("score")
+    )
+
+
+@query(
+    "cluster_tfidf_all_terms",
+    _sql_tfidf("lang", "")
+    + "SELECT k AS cluster_id, rank, term, round(score, 6) AS score FROM ranked WHERE rank <= 5",
+)
+def cluster_tfidf_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = b.table(spark, sf_dir, "documents").withColumnRenamed("lang", "cluster_id")
     found = topics.cluster_tfidf(documents, doc="doc_id")
     return found.select(
@@ -414,7 +426,7 @@ counts AS (SELECT k, count(*) AS article_count FROM docs GROUP BY k)
 )
 def cluster_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = b.table(spark, sf_dir, "documents").withColumnRenamed("source", "cluster_id")
-    found = topics.cluster_topics(documents, doc="doc_id")
+    found = topics.cluster_topics(documents, doc="doc_id", max_features=topics.MAX_FEATURES)
     return found.withColumn("keywords", F.array_join("keywords", "|"))
 
 
