@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import scores
 from tidings.functions import vectors as vec
-from tidings.operators import clustering, encode, search, similarity, views
+from tidings.operators import clustering, encode, search, similarity, sparse, views
 from tidings.plans import bindings as b
 from tidings.plans.registry import query
 from tidings.sources.layout import materialize
@@ -427,20 +427,52 @@ def near_duplicates_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("embed_documents")
-def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("embed_documents_hashed")
+def embed_documents_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = b.texts(spark, sf_dir).select("doc_id", "text")
     encoder = encode.fit_text_encoder(documents)
     return encode.encode_texts(documents, encoder).select("doc_id", "embedding")
 
 
-@query("near_duplicate_documents")
+_SQL_WORD_WEIGHTS = """
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM documents),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM words GROUP BY ALL),
+seen AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+raw_weights AS (
+  SELECT doc_id, word, df, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + df)) + 1) AS w
+  FROM tf JOIN seen USING (word)),
+weights AS (SELECT doc_id, word, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw_weights)
+"""
+
+
+@query("embed_documents", f"WITH {_SQL_WORD_WEIGHTS} SELECT doc_id, word, df, round(weight, 6) AS weight FROM weights")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors of all documents over the exact vocabulary, a row per weight."""
+    weights = sparse.word_weights(b.texts(spark, sf_dir))
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "near_duplicate_documents",
+    f"""WITH {b.SQL_ARTICLES}, {_SQL_WORD_WEIGHTS}, scored AS (
+      SELECT a.doc_id AS id, o.doc_id AS other, round(sum(a.weight * o.weight), {sparse.DECIMALS}) AS similarity
+      FROM weights a JOIN weights o ON a.word = o.word AND a.doc_id <> o.doc_id GROUP BY 1, 2),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank
+      FROM scored WHERE similarity > {similarity.SIMILARITY_THRESHOLD}),
+    folded AS (
+      SELECT least(id, other) AS a_id, greatest(id, other) AS b_id, max(similarity) AS similarity
+      FROM ranked WHERE rank <= 10 GROUP BY 1, 2)
+    SELECT a_id, md5(a.title) AS a_title_md5, a.url AS a_url, b_id, md5(o.title) AS b_title_md5, o.url AS b_url,
+           round(similarity, 6) AS similarity
+    FROM folded f JOIN articles a ON a.article_id = f.a_id JOIN articles o ON o.article_id = f.b_id
+    WHERE a.url <> '' AND o.url <> '' AND a.url <> o.url""",
+)
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document text as a vector, compared at the default threshold."""
-    documents = b.texts(spark, sf_dir).select(F.col("doc_id").alias("article_id"), "text")
-    encoder = encode.fit_text_encoder(documents)
-    vectors = materialize(encode.encode_texts(documents, encoder).drop("text"))
-    return _hashed_titles(similarity.near_duplicates(vectors, b.articles(spark, sf_dir)))
+    """Every document as a sparse vector, compared at the default threshold."""
+    vectors = materialize(sparse.sparse_vectors(sparse.word_weights(b.texts(spark, sf_dir))))
+    edges = sparse.sparse_neighbours(vectors, similarity.NEIGHBOURS, similarity.SIMILARITY_THRESHOLD)
+    return _hashed_titles(similarity.pairs_of(edges, b.articles(spark, sf_dir)))
 
 
 @query("kmeans_inertia_curve")
