@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,29 @@ def test_small_batch_anti_join(spark):
     new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3)], "url STRING, n INT")
     got = {r["n"] for r in art.new_in_small_batch(new, known).collect()}
     assert got == {r["n"] for r in art.new_articles(new, known).collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_the_cut_is_found_among_keys(spark, descending):
+    rng = random.Random(descending)
+    rows = [
+        (rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "c", "d"]), i) for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "ingest_seq BIGINT, url STRING, n INT").repartition(7)
+
+    def key(row):
+        at = 0 if row[0] is None else -row[0] if descending else row[0]
+        return row[0] is None, at, row[1] is not None, row[1] or ""
+
+    ordered = sorted(rows, key=key)
+    for limit in (0, 1, 17, 150, 299, 300, 1000):
+        got = art.first_by(df, limit, "ingest_seq", descending, "url").collect()
+        assert sorted(key(r) for r in got) == [key(r) for r in ordered[:limit]]
+        assert len({r["n"] for r in got}) == min(limit, 300)
+
+
+def test_no_task_takes_the_rows_of_a_cap(spark):
+    df = spark.range(1000).select(F.col("id").alias("ingest_seq"), F.lit("u").alias("url"), F.repeat(F.lit("t"), 100).alias("text"))
+    plan = art.cap_corpus(df.repartition(5), 400)._jdf.queryExecution().optimizedPlan().toString()
+    # Only rows that equal the cut key in both columns are limited; whole rows are never sorted.
+    assert "Sort" not in plan and plan.count("GlobalLimit") == 1

@@ -176,3 +176,41 @@ def test_sinks(spark, tmp_path):
     for n in (1, 2):
         sinks.append_run_state(sinks.run_state(spark, n, 10, 4, ["e"]), str(tmp_path / "log"))
     assert spark.read.schema(sinks.RUN_STATE).json(str(tmp_path / "log")).agg(F.sum("new_articles")).head()[0] == 3
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    folder = str(tmp_path / "lines")
+    rows = spark.range(6000).select(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.repeat(F.lit("x"), 30)).alias("v"))
+    rows.repartitionByRange(3, "v").write.csv(folder)
+    seen = []
+    for size in ("128m", "20k", "7k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            scan = spark.read.schema("v STRING").csv(folder)
+            parts = scan.rdd.getNumPartitions()
+            found = source.with_positions(scan, "pos").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        seen.append((parts, {r["v"]: r["pos"] for r in found}))
+    assert len({parts for parts, _ in seen}) == 3
+    assert seen[0][1] == seen[1][1] == seen[2][1]
+    assert [v for v, _ in sorted(seen[0][1].items(), key=lambda x: x[1])] == sorted(seen[0][1])
+    assert sorted(seen[0][1].values()) == list(range(6000))
+
+
+def test_csv_without_line_ends_in_fields_is_split(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    lines = [f"text {i},title {i},https://x.org/{i},2024-01-01,x.org" for i in range(3000)]
+    path.write_text("\n".join(["text,title,url,date,domain", *lines]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = source.load_articles(spark, str(path), multi_line=False)
+        assert split.rdd.getNumPartitions() > 1 and split.count() == 3000
+        numbered = source.load_foreign_csv(spark, str(path), limit=10, multi_line=False)
+        assert {r["title"] for r in numbered.collect()} == {f"title {i}" for i in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

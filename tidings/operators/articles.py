@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidings.functions import dates, publishers, text, urls
 from tidings.functions.publishers import DEFAULT_PUBLISHERS, Publisher
+from tidings.sources.layout import materialize
 
 # Fixed value: shortest text kept.
 MIN_TEXT_LENGTH = 50
@@ -71,9 +72,57 @@ def normalize_aliases(df: DataFrame, position: str = "ingest_seq") -> DataFrame:
     )
 
 
+def first_by(df: DataFrame, limit: int, order: str, descending: bool = False, tie: str | None = None) -> DataFrame:
+    """The first ``limit`` rows by a column, then by another one; NULLs of the first come last.
+
+    Only the two columns are sorted, range by range; the key of the last row taken is found by counting
+    the ranges and looking into one of them. The rows themselves are then filtered by that key where
+    they lie, so no task holds the rows that are kept. The result is not sorted.
+    """
+    if limit <= 0:
+        return df.limit(0)
+    key = F.col(order)
+    tied = F.col(tie).cast("string") if tie else F.lit("")
+    keys = df.select(key.isNull().alias("late"), key.alias("k"), tied.alias("t"))
+    by = [F.col("late"), F.col("k").desc() if descending else F.col("k").asc(), F.col("t").asc_nulls_first()]
+    ranges = materialize(
+        keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+    )
+    seen = 0
+    for part, n in sorted(map(tuple, ranges.groupBy("part").count().collect())):
+        if seen + n >= limit:
+            break
+        seen += n
+    else:
+        return df
+    inside = W.partitionBy("part").orderBy(*by)
+    last = ranges.filter(F.col("part") == part).withColumn("at", F.row_number().over(inside))
+    cut = last.filter(F.col("at") == limit - seen).head()
+    if cut["late"]:
+        better, level = key.isNotNull(), key.isNull()
+    else:
+        better, level = (key > cut["k"] if descending else key < cut["k"]), key == cut["k"]
+    lower = F.lit(False) if cut["t"] is None else tied.isNull() | (tied < cut["t"])
+    before = F.coalesce(better | (level & lower), F.lit(False))
+    equal = F.coalesce(level & tied.eqNullSafe(F.lit(cut["t"])), F.lit(False))
+    # Rows alike in both columns are interchangeable; as many as are left to take.
+    open_ = limit - ranges.filter(_key_before(cut, descending)).count()
+    return df.filter(before).unionByName(df.filter(equal).limit(open_))
+
+
+def _key_before(cut: Row, descending: bool) -> Column:
+    """Whether a key (late, k, t) sorts before the cut."""
+    k, t = F.col("k"), F.col("t")
+    lower = F.lit(False) if cut["t"] is None else t.isNull() | (t < cut["t"])
+    if cut["late"]:
+        return ~F.col("late") | (F.col("late") & lower)
+    better = k > cut["k"] if descending else k < cut["k"]
+    return F.coalesce(better | ((k == cut["k"]) & lower), F.lit(False))
+
+
 def first_rows(df: DataFrame, limit: int, order: str = "ingest_seq") -> DataFrame:
     """The first ``limit`` rows of a corpus with NULL text turned blank."""
-    return df.orderBy(order).limit(limit).na.fill("")
+    return first_by(df, limit, order).na.fill("")
 
 
 def clean_articles(
@@ -153,10 +202,7 @@ def cap_corpus(
     """
     if keep not in ("oldest", "newest"):
         raise ValueError(f"keep must be 'oldest' or 'newest', got {keep!r}")
-    column = F.col(order)
-    first = column.asc_nulls_last() if keep == "oldest" else column.desc_nulls_last()
-    ties = [F.col("url")] if "url" in df.columns else []
-    return df.orderBy(first, *ties).limit(limit)
+    return first_by(df, limit, order, keep == "newest", "url" if "url" in df.columns else None)
 
 
 def append_articles(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.operators.articles import COLUMN_ALIASES, first_rows, normalize_aliases
+from tidings.operators.articles import COLUMN_ALIASES, first_by, first_rows, normalize_aliases
 from tidings.schemas import REQUIRED_ARTICLE_COLUMNS, require_columns
 
 # Columns of a foreign CSV without a header line.
@@ -21,8 +21,8 @@ _WORDS = (
 ).split()
 
 
-def _csv(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    reader = spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+def _csv(spark: SparkSession, path: str, header: bool, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"')
     try:
         return reader.csv(path)
     except AnalysisException as error:
@@ -31,9 +31,13 @@ def _csv(spark: SparkSession, path: str, header: bool) -> DataFrame:
         raise
 
 
-def load_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Stored article CSV; a missing or empty file or a missing column is an error."""
-    df = _csv(spark, path, header=True)
+def load_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Stored article CSV; a missing or empty file or a missing column is an error.
+
+    Quoted fields may hold line ends, for which a file is read by one task. Where none does, large files
+    are split with ``multi_line=False``.
+    """
+    df = _csv(spark, path, True, multi_line)
     if not df.columns or not df.head(1):
         raise ValueError(f"no articles in {path}")
     return require_columns(df, REQUIRED_ARTICLE_COLUMNS)
@@ -42,35 +46,40 @@ def load_articles(spark: SparkSession, path: str) -> DataFrame:
 def with_positions(df: DataFrame, name: str = "ingest_seq", start: int = 0) -> DataFrame:
     """Number rows 0, 1, 2 ... in input order without pulling them into one partition.
 
-    A first pass counts the rows of every input split, a second adds each split's offset. Only the
-    split counts, one row per split, are put in order.
+    Rows of files go by file and place in the file (the hidden columns of the scan say which), so the
+    numbers do not depend on how files are split or dealt to tasks. A first pass counts the rows of every
+    block, a second adds each block's offset. Only the counts, one row per block, are put in order.
     """
-    row_bits = 33
-    tagged = df.withColumn("_row", F.monotonically_increasing_id())
-    split = F.shiftright("_row", row_bits)
-    counts = tagged.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    within = F.col("_row").bitwiseAND((1 << row_bits) - 1)
-    return (
-        tagged.withColumn("_split", split)
-        .join(F.broadcast(offsets), "_split")
-        .select((F.col("_offset") + within + start).alias(name), *df.columns)
+    columns = df.columns
+    try:
+        tagged = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+        tagged = tagged.withColumn("_row", F.monotonically_increasing_id())
+    except AnalysisException:  # no scan of files: by partition
+        tagged = df.withColumn("_row", F.monotonically_increasing_id())
+        tagged = tagged.withColumns({"_path": F.lit(""), "_block": F.shiftright("_row", 33)})
+    blocks = tagged.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    offsets = blocks.select("_path", "_block", offset.alias("_offset"))
+    return tagged.join(F.broadcast(offsets), ["_path", "_block"]).select(
+        (F.col("_offset") + F.col("_row") + start).alias(name), *columns
     )
 
 
-def load_foreign_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def load_foreign_csv(
+    spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True
+) -> DataFrame:
     """CSV of another publisher: known column names are mapped, a headerless file is three columns."""
-    named = _csv(spark, path, header=True)
+    named = _csv(spark, path, True, multi_line)
     known = {alias for field in ("title", "description", "url") for alias in COLUMN_ALIASES[field]}
     if not known & set(named.columns):
-        plain = _csv(spark, path, header=False)
+        plain = _csv(spark, path, False, multi_line)
         named = plain.select(
             *[F.col(old).alias(new) for old, new in zip(plain.columns, HEADERLESS_COLUMNS)]
         )
     numbered = with_positions(named)
     if limit is not None:
-        numbered = numbered.orderBy("ingest_seq").limit(limit)
+        numbered = first_by(numbered, limit, "ingest_seq")
     return normalize_aliases(numbered)
 
 
