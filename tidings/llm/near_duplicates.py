@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import LOWER, as_bytes, stored
-from tidings.llm.quality_rules import word_hashes
+from tidings.llm.common import LOWER, as_bytes, given_back, stored
+from tidings.llm.quality_rules import word_hashes, word_memory
 
 SHINGLE = 5
 BINS, BANDS = 128, 32
@@ -37,6 +37,8 @@ SIMILAR = 75
 SIZE_STEP = 1.05
 #: Hubs of the smallest components that a group compares with its other members in one round.
 HUBS = 256
+#: Texts that are sketched at a time.
+SKETCHED_ROWS = 1000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
@@ -98,26 +100,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 SKETCH = "struct<n:bigint,k1:bigint,k2:bigint,bands:array<bigint>>"
 
 
+def sketched_rows(texts: pa.Array) -> pa.Array:
+    """Sketches of some texts."""
+    sets = [shingle_set(t) for t in as_bytes(texts)]
+    some = [s for s in sets if len(s)]
+    bands = band_keys(signatures(some)) if some else np.zeros((0, BANDS), np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    keys = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64)
+    keys = keys.reshape(-1, 2).view(np.int64)
+    ends = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
+    arrays = [
+        pa.array(sizes),
+        pa.array(keys[:, 0]),
+        pa.array(keys[:, 1]),
+        pa.ListArray.from_arrays(ends, pa.array(bands.ravel())),
+    ]
+    return pa.StructArray.from_arrays(arrays, names=["n", "k1", "k2", "bands"])
+
+
 def sketch(text: Column) -> Column:
     """Set size, 128-bit key of the set and band keys (none for a text without words)."""
 
     @F.arrow_udf(SKETCH)
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in as_bytes(batch)]
-            some = [s for s in sets if len(s)]
-            bands = band_keys(signatures(some)) if some else np.zeros((0, BANDS), np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            keys = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64)
-            keys = keys.reshape(-1, 2).view(np.int64)
-            ends = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
-            arrays = [
-                pa.array(sizes),
-                pa.array(keys[:, 0]),
-                pa.array(keys[:, 1]),
-                pa.ListArray.from_arrays(ends, pa.array(bands.ravel())),
-            ]
-            yield pa.StructArray.from_arrays(arrays, names=["n", "k1", "k2", "bands"])
+        for batch in given_back(batches, word_memory()):
+            parts = [sketched_rows(batch.slice(i, SKETCHED_ROWS)) for i in range(0, max(1, len(batch)), SKETCHED_ROWS)]
+            yield pa.concat_arrays(parts)
 
     return sketched(text)
 
@@ -127,7 +135,7 @@ def shingles(text: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in given_back(batches, word_memory()):
             sets = [shingle_set(t).view(np.int64) for t in as_bytes(batch)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))

@@ -17,8 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes, shipped, unpacked
-from tidings.llm.quality_rules import duplicate_lines, repeated_words, word_hashes
+from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes, given_back, shipped, unpacked
+from tidings.llm.quality_rules import duplicate_lines, repeated_words, word_hashes, word_memory
 
 #: Most labelled rows that a model is learnt from, taken by the lowest hashes of their ids.
 TRAINING_ROWS = 20_000
@@ -178,7 +178,7 @@ def quality_score(text: Column, ranking: Broadcast) -> Column:
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = unpacked(ranking)
-        for batch in batches:
+        for batch in given_back(batches, word_memory()):
             yield pa.array(known.scores(feature_rows(batch)), pa.float64())
 
     return scored(text)

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes
+from tidings.llm.common import CONTINUATION, SPACE_BYTES, as_bytes, given_back
 
 BUCKETS = 1 << 16
 #: Added to every bucket's count, as a share of the mean count.
@@ -46,8 +46,13 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def word_memory() -> dict:
+    """This task's memory of hashes, for ``given_back``."""
+    return _hashes
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of words, through this Python worker's memory."""
+    """Hashes of words, through this task's memory."""
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
@@ -100,7 +105,7 @@ def _counted(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in given_back(batches, word_memory()):
             for text, good in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 n = np.bincount(gram_buckets(text, buckets), minlength=buckets)
                 raw += n
@@ -138,7 +143,7 @@ def rule_counts(text: Column, ratios: Broadcast) -> Column:
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ratios.value
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        for batch in batches:
+        for batch in given_back(batches, word_memory()):
             rows, means = [], []
             for t in as_bytes(batch):
                 rows.append(base_counts(t))

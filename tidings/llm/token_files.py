@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidings.llm.common import as_bytes, broadcast_file
+from tidings.llm.common import as_bytes, broadcast_file, given_back
 from tidings.llm.wordpiece import Cutter, Remembered
 
-#: Chunks and pre-tokens whose ids a Python worker remembers, in each of two generations.
+#: Chunks and pre-tokens whose ids a task remembers, in each of two generations.
 REMEMBERED = 300_000
 #: Up to so many files their offsets are broadcast, which saves a shuffle of the tokens.
 FEW_FILES = 100_000
@@ -50,6 +50,11 @@ class ChunkIds:
         self.pieces = Remembered(self._piece, REMEMBERED)
         self.chunks = Remembered(self._chunk, REMEMBERED)
 
+    def clear(self) -> None:
+        for memory in (self.chunks, self.pieces):
+            memory.old.clear()
+            memory.clear()
+
     def packed(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
@@ -70,7 +75,7 @@ _known: dict[str, ChunkIds] = {}
 
 
 def known_ids(key: str, file: Broadcast) -> ChunkIds:
-    """This Python worker's memory for a vocabulary; it outlives a task."""
+    """A task's memory for a vocabulary."""
     if key not in _known:
         _known[key] = ChunkIds(file.value)
     return _known[key]
@@ -83,7 +88,7 @@ def _encoder(key: str, file: Broadcast, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_ids(key, file)
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in given_back(batches, known, _known):
             for low in range(0, batch.num_rows, 500):
                 rows = batch.slice(low, 500)
                 packed = [known.packed(text) + end for text in as_bytes(rows.column(1))]
