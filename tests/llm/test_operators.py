@@ -181,6 +181,29 @@ def test_decontaminate_cuts_or_drops(spark):
     assert decontamination.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_columns_of_any_name_stay(spark):
+    texts = ["one two three four five six seven eight nine ten eleven", "one two three four five six seven", None, "x"]
+    rows = [(i, t, "en", "s", 0, "m", "k", "t", "d") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, _m string, _kept string, _text string, `a.b` string")
+    bench = spark.createDataFrame([("q", "four five six")], "item_id string, text string")
+    for coverage in (0, 0.9):
+        out = decontamination.decontaminate(docs, bench, coverage=coverage)
+        assert out.columns == docs.columns
+        assert {(r["_m"], r["a.b"]) for r in out.collect()} == {("m", "d")}
+    out = near_duplicates.deduplicated(docs.union(docs))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3] and {r["_kept"] for r in got} == {"k"}
+
+
+def test_texts_of_one_id_are_not_lost(spark):
+    rng = random.Random(8)
+    one, two = prose(rng, 40), prose(rng, 40)
+    rows = [(0, one), (1, two), (0, one), (0, two + " end")]
+    got = near_duplicates.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {rows[0], rows[3]} and len(got) == 2
+
+
 # --- mixing
 
 
@@ -234,6 +257,49 @@ def test_whole_copies_pass_their_error_on():
     assert (out.copies <= 2 * out.n).all()
 
 
+@pytest.mark.parametrize("n", [1000, 7])
+def test_mix_of_equal_rows_meets_its_target(spark, n):
+    equal = [(5, "one two three", "en", "a", 0, "v") for _ in range(n)]
+    others = [(100 + i, prose(random.Random(i), 1 + i % 9), "en", f"b{i % 3}", 0, "v") for i in range(300)]
+    docs = spark.createDataFrame(equal + others, DOCS + ", `a.b` string").repartition(5)
+    got = mixing.mix(docs).toPandas()
+    alike = got[got.doc_id == 5]
+    assert len(alike) == n and set(alike.copies) <= {0, 1, 2}
+    assert abs(alike.taken.sum() - alike.target.iloc[0]) <= 3
+    slim = ["doc_id", "size", "target", "taken"]
+    again = mixing.mix(docs.repartition(2)).toPandas()[slim].sort_values(slim, ignore_index=True)
+    assert got[slim].sort_values(slim, ignore_index=True).equals(again)
+    many = mixing.repeated(docs)
+    assert many.columns == docs.columns and many.count() == got.copies.sum()
+
+
+def test_rates_are_the_tilt_of_least_entropy(spark):
+    """No other rates that meet a source's target have less relative entropy to the corpus."""
+    rng = np.random.default_rng(3)
+    size = np.arange(1, 40)
+    n = rng.integers(1, 30, len(size))
+    target = 1.2 * (n * size).sum()
+    cells = spark.createDataFrame(pd.DataFrame({"k": 0, "size": size, "n": n}), "k int, size bigint, n bigint")
+    words = int((n * size).sum())
+    given = {"source": "a", "source_size": words, "mean": words / int(n.sum()), "target": 1.2 * words}
+    found = mixing.solve_multipliers(cells, [given])[0]
+    rate = np.minimum(mixing.MOST, np.exp(found * size))
+    assert abs((n * size * rate).sum() - target) <= 1e-6 * target
+
+    def entropy(r):
+        return (n * (r * np.log(r) - r + 1)).sum()
+
+    for _ in range(500):
+        # A step that keeps the words and the bound.
+        step = rng.normal(size=len(size)) * (rate < mixing.MOST - 1e-9)
+        free = step != 0
+        step[free] -= (n * size * step).sum() / (n * size * size)[free].sum() * size[free]
+        other = rate + step * rng.uniform(1e-4, 1e-2)
+        if other.min() > 0 and other.max() <= mixing.MOST:
+            assert abs((n * size * other).sum() - target) <= 1e-6 * target
+            assert entropy(other) >= entropy(rate) - 1e-9
+
+
 # --- quality
 
 

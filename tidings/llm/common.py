@@ -5,14 +5,17 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import pickle
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 from typing import Any
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper-case ASCII letters to lower case; all other bytes stay.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -27,14 +30,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, which driver and executors both see.
 
     The folder is the session's ``spark.checkpoint.dir``, else the one set on the context; only where
-    neither is set, as in tests on one machine, a temporary one is made and set.
+    neither is set, as in tests on one machine, a temporary one is made and set. On a cluster that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidings-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidings-{name}-{uuid.uuid4().hex}"
@@ -71,6 +89,18 @@ def give_back(*memories: Any) -> None:
         trim(0)
 
 
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """A value that is made once in a Python worker and kept for its later tasks.
+
+    Functions travel by value, so each task has module globals of its own; a module that the worker
+    itself holds is shared by them. For read-only values of bounded size, as parsed vocabularies.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker"))
+    if name not in vars(kept):
+        setattr(kept, name, make())
+    return getattr(kept, name)
+
+
 def given_back(batches: Iterator[Any], *memories: Any) -> Iterator[Any]:
     """The batches of a task; when they are through, its memories are given back."""
     try:

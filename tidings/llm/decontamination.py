@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import as_bytes, shipped, stored, unpacked
+from tidings.llm.common import as_bytes, free_name, named, shipped, stored, unpacked
 
 WINDOW = 10
 #: Item words in one automaton (one broadcast).
@@ -220,8 +220,8 @@ def item_blocks(
     items: DataFrame, item_col: str, text_col: str, window: int, block_words: int
 ) -> Iterator[ItemAutomaton]:
     """One automaton after another; a block holds about ``block_words`` item words."""
-    rows = items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")
+    rows = items.where(named(item_col).isNotNull() & named(text_col).isNotNull()).select(
+        named(item_col).cast("string").alias("item"), named(text_col).alias("text")
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word and its separator take two bytes at least.
@@ -254,22 +254,23 @@ def with_matches(
         if k and k % BLOCKS_IN_PASS == 0:
             result = stored(result, "matches")
         match = _matcher(shipped(spark, block))
-        result = result.withColumn(column, match(F.col(text_col), F.col(column)))
+        result = result.withColumn(column, match(named(text_col), named(column)))
     return result
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Words, hit words and the items found, for every row of ``docs`` (options as in ``with_matches``)."""
     text_col = options.get("text_col", "text")
-    found = with_matches(docs.select(F.col(id_col), F.col(text_col)), items, "_m", **options)
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    found = with_matches(texts, items, "m", **{**options, "text_col": "text"})
     return found.select(
-        id_col,
-        "_m.n_words",
-        "_m.n_hit",
-        F.size("_m.items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_m.items", ","), 256).alias("items_sha256"),
-        (F.col("_m.n_hit") > 0).alias("contaminated"),
-        F.col("_m.spans").alias("spans"),
+        F.col("id").alias(id_col),
+        "m.n_words",
+        "m.n_hit",
+        F.size("m.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("m.items", ","), 256).alias("items_sha256"),
+        (F.col("m.n_hit") > 0).alias("contaminated"),
+        F.col("m.spans").alias("spans"),
     )
 
 
@@ -302,22 +303,24 @@ def decontaminate(
     goes if more than ``coverage`` of its words are hit (0: any hit). All columns stay; rows without
     hits are unchanged, null texts included.
     """
-    matched = with_matches(docs, items, "_m", text_col=text_col, **options)
-    kept = matched.where(F.col("_m.n_hit") <= coverage * F.col("_m.n_words"))
+    m = free_name(docs, "_m")
+    matched = with_matches(docs, items, m, text_col=text_col, **options)
+    kept = matched.where(F.col(m)["n_hit"] <= coverage * F.col(m)["n_words"])
     if coverage <= 0:
-        return kept.drop("_m")
+        return kept.drop(m)
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, matches in batches:
             out = []
-            for text, m in zip(as_bytes(texts), matches.to_pylist(), strict=True):
-                spans = [(s["first"], s["last"]) for s in m["spans"]]
+            for text, found in zip(as_bytes(texts), matches.to_pylist(), strict=True):
+                spans = [(s["first"], s["last"]) for s in found["spans"]]
                 out.append(without_words(text, spans).decode() if spans else text.decode())
             yield pa.array(out, pa.string())
 
     window = options.get("window", WINDOW)
-    spans = F.filter("_m.spans", lambda s: (s["longest"] >= longest) | (s["longest"] < window))
-    narrowed = kept.withColumn("_m", F.col("_m").withField("spans", spans))
-    cut_text = F.when(F.size("_m.spans") > 0, cut(F.col(text_col), F.col("_m"))).otherwise(F.col(text_col))
-    return narrowed.withColumn(text_col, cut_text).drop("_m")
+    spans = F.filter(F.col(m)["spans"], lambda s: (s["longest"] >= longest) | (s["longest"] < window))
+    narrowed = kept.withColumn(m, F.col(m).withField("spans", spans))
+    text = named(text_col)
+    cut_text = F.when(F.size(F.col(m)["spans"]) > 0, cut(text, F.col(m))).otherwise(text)
+    return narrowed.withColumn(text_col, cut_text).drop(m)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import stored
+from tidings.llm.common import named, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix as a share of all words.
@@ -144,22 +144,22 @@ def mix(
     Only slim rows (id, source, size, hash) are shuffled; ``rows_too`` adds the whole row as ``row``. Null
     texts have size 0, as have wordless ones; they stay once and add nothing. Null sources are a source
     of their own. Which rows of one source and size get an extra copy depends on a hash of id and
-    text alone, so reruns agree; equal rows are interchangeable. An empty table gives an empty result.
+    text alone, so reruns agree; of rows equal in both, as many as are owed one get it, whichever they
+    are. An empty table gives an empty result.
     """
+    source = named(source_col)
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.struct(
-            F.col(source_col).isNull().alias("none"), F.coalesce(source_col, F.lit("")).alias("name")
-        ).alias("s"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(id_col, text_col).alias("h"),
-        *([F.struct(*docs.columns).alias("row")] if rows_too else []),
+        named(id_col).alias("id"),
+        F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("s"),
+        word_count(named(text_col)).alias("size"),
+        F.xxhash64(named(id_col), named(text_col)).alias("h"),
+        *([F.struct(*map(named, docs.columns)).alias("row")] if rows_too else []),
     )
     cells = stored(rows.groupBy("s", "size").agg(F.count("*").alias("n")), "cells")
     words = F.sum(F.col("n") * F.col("size"))
     sizes = cells.groupBy("s").agg(words.alias("source_size"), (words / F.sum("n")).alias("mean"))
-    named = sizes.select(F.when(~F.col("s.none"), F.col("s.name")).alias("source"), "source_size", "mean")
-    wanted = source_targets(named, weights, total, most)
+    sources = sizes.select(F.when(~F.col("s.none"), F.col("s.name")).alias("source"), "source_size", "mean")
+    wanted = source_targets(sources, weights, total, most)
     # One row per source: the parameters of the mix.
     targets = sorted((r.asDict() for r in wanted.collect()), key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = docs.sparkSession
@@ -178,7 +178,7 @@ def mix(
     rounded = stored(rounded.join(numbered, "k").select("s", "size", "n", "copies", "source_size", "target"), "copies")
 
     # Of n documents in a cell, ``copies % n`` get one more: those with the lowest hashes. The last of
-    # them is found in one range of the hash, by counting up to that range and ranking inside it.
+    # them is found in one range of the hash, by counting up to that range and then inside it.
     cell = ["s", "size"]
     slim = rows.select("s", "size", "h", F.shiftright("h", 64 - RANGE_BITS).alias("range"))
     before = Window.partitionBy(*cell).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,13 +187,22 @@ def mix(
     more = counts.join(rounded.select(*cell, (F.col("copies") % F.col("n")).alias("extra")), cell)
     last = more.where("first < extra AND extra <= first + m")
     last = last.select(*cell, "range", (F.col("extra") - F.col("first")).alias("at"))
-    inside = Window.partitionBy(*cell, "range").orderBy("h")
-    ranked = slim.join(last, [*cell, "range"]).withColumn("rank", F.row_number().over(inside))
-    cuts = ranked.where("rank = at").select(*cell, F.col("h").alias("cut"))
-    plan = stored(rounded.join(cuts, cell, "left"), "plan")
+    hashes = slim.join(last, [*cell, "range"]).groupBy(*cell, "range", "h").agg(
+        F.count("*").alias("same"), F.min("at").alias("at")
+    )
+    lower = Window.partitionBy(*cell, "range").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    hashes = hashes.withColumn("owed", F.col("at") - F.coalesce(F.sum("same").over(lower), F.lit(0)))
+    cuts = hashes.where("0 < owed AND owed <= same").select(*cell, F.col("h").alias("cut"), "owed", "same")
+    plan = stored(rounded.join(cuts, cell, "left").withColumn("base", F.floor(F.col("copies") / F.col("n"))), "plan")
+
+    tie = F.coalesce((F.col("h") == F.col("cut")) & (F.col("owed") < F.col("same")), F.lit(False))
     more = F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    copies = F.floor(F.col("copies") / F.col("n")) + more
-    out = rows.join(plan, cell).withColumn("c", copies.cast("bigint"))
+    out = rows.join(plan, cell).where(~tie).withColumn("c", (F.col("base") + more).cast("bigint"))
+    kept = ["id", "size", "source_size", "target", "c", *(["row"] if rows_too else [])]
+    out = out.select(*kept)
+    ties = plan.where("owed < same").withColumn("h", F.col("cut"))
+    if not ties.isEmpty():
+        out = out.union(_dealt(rows, ties).select(*kept))
     return out.select(
         F.col("id").alias(id_col),
         "size",
@@ -205,6 +214,23 @@ def mix(
     )
 
 
+def _dealt(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """The rows whose hash is the last of a cell, ``owed`` of which get one copy more than ``base``.
+
+    Rows are numbered where they are read and then stored, so that their numbers stay; a group, which may
+    hold any share of all rows, is counted by read tasks and ranked inside each of them.
+    """
+    numbered = rows.withColumn("at", F.monotonically_increasing_id())
+    tied = stored(numbered.join(ties, ["s", "size", "h"]).withColumn("task", F.shiftright("at", 33)), "ties")
+    key = ["s", "size", "h"]
+    before = Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = tied.groupBy(*key, "task").agg(F.count("*").alias("m"))
+    first = first.select(*key, "task", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*key, "task").orderBy("at")) + F.col("first")
+    more = F.when(place <= F.col("owed"), 1).otherwise(0)
+    return tied.join(first, [*key, "task"]).withColumn("c", (F.col("base") + more).cast("bigint"))
+
+
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: every row as often as its copies say, with the columns of ``docs``."""
     taken = mix(docs, rows_too=True, **options)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import LOWER, as_bytes, given_back, stored
+from tidings.llm.common import LOWER, as_bytes, free_name, given_back, named, stored
 from tidings.llm.quality_rules import word_hashes, word_memory
 
 SHINGLE = 5
@@ -283,7 +283,7 @@ def near_duplicates(
     copies, else none, and then stays. Repeated rows are each returned; other columns are not read; an empty table
     gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("bigint").alias("id"), named(text_col).alias("text"))
     own = F.when(F.col("s.n") == 0, F.xxhash64("id"))
     sketches = stored(
         rows.select("id", sketch(F.col("text")).alias("s")).select(
@@ -311,9 +311,8 @@ def near_duplicates(
     labels = nodes.select("node", F.col("node").alias("component"))
     labels = merged(labels, confirmed(edges_between(hubs), sets, similar))
     labels = resolved(buckets.where("node <> lo AND node <> hi").select("bucket", "node"), labels, sets, similar)
-    named = placed.join(labels, "node", "left")
     component = F.coalesce("component", "node")
-    return named.select(
+    return placed.join(labels, "node", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -322,7 +321,23 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
-    """One row of every component, with all columns. Rows without an id stay; of rows of one id one stays."""
-    kept = near_duplicates(docs, id_col, text_col, similar).where("kept").select(F.col(id_col).alias("_kept"))
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    """One row of every component, with all columns.
+
+    Rows without an id stay. Of rows equal in id and text one stays; other texts of a kept id stay too.
+    Only rows of a repeated id are shuffled whole.
+    """
+    verdicts = near_duplicates(docs, id_col, text_col, similar).select(named(id_col).alias("id"), "kept")
+    counted = verdicts.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.max("kept").alias("kept"))
+    ids = stored(counted.where("kept").select("id", "m"), "kept")
+    key, text = free_name(docs, "_kept"), free_name(docs, "_text")
+    ids = ids.withColumnRenamed("id", key)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some.select(key), named(id_col).cast("bigint") == F.col(key), "left_semi")
+
+    out = rows_of(ids.where("m = 1")).union(docs.where(named(id_col).isNull()))
+    again = ids.where("m > 1")
+    if not again.isEmpty():
+        hashed = rows_of(again).withColumn(text, F.sha2(named(text_col), 256))
+        out = out.union(hashed.dropDuplicates([id_col, text]).drop(text))
+    return out
