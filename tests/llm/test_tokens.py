@@ -1,6 +1,8 @@
 """Token counts and token files against the tokenizers library."""
 
+import random
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -33,12 +35,12 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_counts.TokenCounter(open(PATH, "rb").read())
+    return token_counts.new_counter("test", Path(PATH).read_bytes())
 
 
 @pytest.fixture(scope="module")
 def ids():
-    return token_files.ChunkIds(open(PATH, "rb").read())
+    return token_files.ChunkIds(Cutter(Path(PATH).read_bytes()))
 
 
 def expected(text):
@@ -69,6 +71,34 @@ def test_merging_in_steps_equals_the_model(counter, words):
     assert counted.tolist() == [len(LIBRARY.model.tokenize(w)) for w in words]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdeinthosx", min_size=1, max_size=200))
+def test_merging_by_places_equals_the_model(counter, word):
+    assert counter.merger.long_count(counter.merger.symbols(word)) == len(LIBRARY.model.tokenize(word))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "aeinst", "ab", "x"])
+def test_long_words_are_counted_in_seconds(counter, letters):
+    rng = random.Random(len(letters))
+    word = "".join(rng.choice(letters) for _ in range(200_000))
+    start = time.process_time()
+    assert counter.count([word.encode()]) == [len(expected(word))]
+    assert time.process_time() - start < 5
+
+
+def test_long_chunks_are_not_remembered(counter, ids):
+    counter.clear()
+    ids.clear()
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(40)]
+    for text in texts:
+        assert counter.count([text.encode(), b"short"]) == [len(expected(text)), 1]
+        assert encoded(ids, text) == expected(text)
+    counter.learn([])
+    held = [*counter.chunks, *counter.pieces, *ids.chunks, *ids.chunks.old, *ids.pieces, *ids.pieces.old]
+    assert max(map(len, held)) <= token_counts.REMEMBERED_BYTES
+
+
 def test_remembered_counts_are_bounded(counter, monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 3)
     texts = [f"word{i} other{i}".encode() for i in range(20)]

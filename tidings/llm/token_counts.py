@@ -2,11 +2,13 @@
 
 The distinct pre-tokens of an Arrow batch are laid end to end in one array of symbols. In every
 step each pre-token's lowest-rank pair is merged, for all pre-tokens at once; when no pair of a
-pre-token has a rank any more, its surviving symbols are its tokens.
+pre-token has a rank any more, its surviving symbols are its tokens. A long pre-token takes its ranks
+one after the other too, each at all its places at once, but only looks where pairs changed.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +17,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import as_bytes, broadcast_file
-from tidings.llm.wordpiece import Cutter
+from tidings.llm.common import as_bytes, broadcast_file, given_back, per_worker
+from tidings.llm.wordpiece import Cutter, model_of
 
-#: Chunks and pre-tokens whose counts a Python worker remembers; then the memory starts anew.
-REMEMBERED = 1_000_000
+#: Chunks and pre-tokens whose counts a task remembers; then the memory starts anew.
+REMEMBERED = 300_000
+#: Longer chunks and pre-tokens are not remembered, so the memories hold some tens of MB at most.
+REMEMBERED_BYTES = 48
 #: Symbols laid out in one array.
 BLOCK_SYMBOLS = 1 << 20
+#: Pre-tokens of more symbols are merged by places, not by passes over the array.
+LONG_SYMBOLS = 256
 
 
 class RankMerger:
@@ -66,10 +72,75 @@ class RankMerger:
             start = end
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
+    def long_count(self, symbols: list[int]) -> int:
+        """Tokens of one long pre-token.
+
+        Symbols are linked by places; ``waiting`` holds the places at which each rank may be applied. A
+        place whose pair has changed since is passed over. Places 0 and n + 1 are the ends.
+        """
+        n = len(symbols)
+        symbol = np.r_[-1, np.asarray(symbols, np.int64), -1]
+        after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
+        rank = np.full(n + 2, self.none)
+        waiting: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def renew(places: np.ndarray) -> np.ndarray:
+            """Rank the pairs that begin at the places, and have them wait."""
+            places = places[(places > 0) & (after[places] <= n)]
+            new = self.ranks(symbol[places], symbol[after[places]])
+            rank[places] = new
+            order = np.argsort(new, kind="stable")
+            order = order[: np.searchsorted(new[order], self.none)]
+            found, starts = np.unique(new[order], return_index=True)
+            for r, some in zip(found.tolist(), np.split(places[order], starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(lowest, r)
+                waiting[r].append(some)
+            return found
+
+        def merge(at: np.ndarray, r: int) -> np.ndarray:
+            gone = after[at]
+            symbol[at] = self.made[r]
+            rank[at] = rank[gone] = self.none
+            after[at] = after[gone]
+            before[after[at]] = at
+            return renew(np.union1d(at, before[at]))
+
+        renew(np.arange(1, n + 1))
+        merges = 0
+        while lowest:
+            r = heapq.heappop(lowest)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not self.single[r] and len(at):
+                # Of pairs that overlap, every second one counts, from the left.
+                run = np.cumsum(np.r_[True, after[at[:-1]] != at[1:]]) - 1
+                first = np.flatnonzero(np.r_[True, np.diff(run) > 0])
+                at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+                merge(at, r)
+                merges += len(at)
+                continue
+            for i in range(len(at)):
+                if rank[at[i]] != r:
+                    continue
+                found = merge(at[i : i + 1], r)
+                merges += 1
+                if len(found) and found[0] < r and i + 1 < len(at):
+                    # A pair of an earlier rank has come up; the rest waits for it.
+                    waiting[r] = [at[i + 1 :]]
+                    heapq.heappush(lowest, r)
+                    break
+        return n - merges
+
     def _block(self, pieces: list[str]) -> np.ndarray:
         laid = [self.symbols(p) for p in pieces]
-        lengths = np.array([len(x) for x in laid])
         done = np.zeros(len(pieces), np.int64)
+        for i, x in enumerate(laid):
+            if len(x) > LONG_SYMBOLS:
+                done[i], laid[i] = self.long_count(x), []
+        lengths = np.array([len(x) for x in laid])
         symbols = np.fromiter((s for x in laid for s in x), np.int64, lengths.sum())
         owner = np.repeat(np.arange(len(pieces)), lengths)
         while len(symbols):
@@ -103,25 +174,32 @@ class RankMerger:
 class TokenCounter:
     """Counts tokens of texts; remembers the counts of chunks and pre-tokens it has seen."""
 
-    def __init__(self, file: bytes) -> None:
-        self.cutter = Cutter(file)
-        model = self.cutter.model
-        self.merger = RankMerger(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+    def __init__(self, cutter: Cutter, merger: RankMerger) -> None:
+        self.cutter, self.merger = cutter, merger
         self.chunks: dict[bytes, int] = {}
         self.pieces: dict[str, int] = {}
+        #: Long keys of the last block, to be forgotten.
+        self.long: list[bytes | str] = []
+
+    def clear(self) -> None:
+        self.chunks.clear()
+        self.pieces.clear()
 
     def learn(self, words: list[list[bytes]]) -> None:
         """Count every chunk that is not remembered yet."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        for memory in (self.chunks, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            for key in self.long:
+                memory.pop(key, None)
+        self.long.clear()
         new = {w for text in words for w in text if w not in self.chunks}
         cut = {w: self.cutter.all_pieces(w.decode()) for w in new}
         fresh = list({p for pieces, _ in cut.values() for p in pieces if p not in self.pieces})
         self.pieces.update(zip(fresh, self.merger.counts(fresh).tolist(), strict=True))
         for w, (pieces, specials) in cut.items():
             self.chunks[w] = specials + sum(map(self.pieces.__getitem__, pieces))
+        self.long.extend(x for x in (*cut, *fresh) if len(x) > REMEMBERED_BYTES)
 
     def count(self, texts: list[bytes], step: int = 500) -> list[int]:
         out: list[int] = []
@@ -132,14 +210,14 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str, TokenCounter] = {}
+def new_counter(key: str, file: bytes) -> TokenCounter:
+    """A task's counter for a vocabulary, which the worker keeps in its parsed form."""
 
+    def parsed() -> tuple[Cutter, RankMerger]:
+        model = model_of(file)
+        return Cutter(file), RankMerger(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
 
-def known_counter(key: str, file: Broadcast) -> TokenCounter:
-    """This Python worker's counter for a vocabulary; it outlives a task."""
-    if key not in _counters:
-        _counters[key] = TokenCounter(file.value)
-    return _counters[key]
+    return TokenCounter(*per_worker(f"merger-{key}", parsed))
 
 
 def token_count(text: Column, key: str, file: Broadcast) -> Column:
@@ -147,8 +225,8 @@ def token_count(text: Column, key: str, file: Broadcast) -> Column:
 
     @F.arrow_udf("bigint")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = known_counter(key, file)
-        for batch in batches:
+        counter = new_counter(key, file.value)
+        for batch in given_back(batches, counter):
             yield pa.array(counter.count(as_bytes(batch)), pa.int64())
 
     return counted(text)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidings.llm.common import as_bytes, broadcast_file, given_back
+from tidings.llm.common import as_bytes, broadcast_file, given_back, per_worker
 from tidings.llm.wordpiece import Cutter, Remembered
 
 #: Chunks and pre-tokens whose ids a task remembers, in each of two generations.
@@ -44,9 +44,8 @@ LAYOUT = {
 class ChunkIds:
     """Ids of white-space separated chunks as packed little-endian 32-bit numbers."""
 
-    def __init__(self, file: bytes) -> None:
-        self.cutter = Cutter(file)
-        self.tokenizer = self.cutter.tokenizer
+    def __init__(self, cutter: Cutter) -> None:
+        self.cutter, self.tokenizer = cutter, cutter.tokenizer
         self.pieces = Remembered(self._piece, REMEMBERED)
         self.chunks = Remembered(self._chunk, REMEMBERED)
 
@@ -71,24 +70,14 @@ class ChunkIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_known: dict[str, ChunkIds] = {}
-
-
-def known_ids(key: str, file: Broadcast) -> ChunkIds:
-    """A task's memory for a vocabulary."""
-    if key not in _known:
-        _known[key] = ChunkIds(file.value)
-    return _known[key]
-
-
 def _encoder(key: str, file: Broadcast, end_id: int):
     """Encodes sorted rows (doc_id, text) and numbers their tokens within the shard."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_ids(key, file)
+        known = ChunkIds(per_worker(f"cutter-{key}", lambda: Cutter(file.value)))
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in given_back(batches, known, _known):
+        for batch in given_back(batches, known):
             for low in range(0, batch.num_rows, 500):
                 rows = batch.slice(low, 500)
                 packed = [known.packed(text) + end for text in as_bytes(rows.column(1))]

@@ -24,15 +24,18 @@ CUT = re.compile(
 class Remembered(dict):
     """Values that ``make`` makes from their keys, for at most two generations of ``size`` keys.
 
-    A full generation becomes the old one; keys still in use move on to the new one.
+    A full generation becomes the old one; keys still in use move on to the new one. Keys longer than
+    ``longest`` are not remembered, which bounds the bytes held as well.
     """
 
-    def __init__(self, make: Callable, size: int) -> None:
+    def __init__(self, make: Callable, size: int, longest: int = 48) -> None:
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.longest = make, size, longest
         self.old: dict = {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -52,14 +55,17 @@ def byte_letters() -> dict[int, str]:
     return table
 
 
+def model_of(file: bytes) -> dict:
+    """Vocabulary, merges and suffix of the file."""
+    return json.loads(file)["model"]
+
+
 class Cutter:
     """Cuts chunks into pre-tokens written in byte letters; special strings come out by themselves."""
 
     def __init__(self, file: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(file)
-        spec = json.loads(file)
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.model = spec["model"]
+        self.specials = {t["content"]: t["id"] for t in json.loads(file)["added_tokens"]}
         self.letters = byte_letters()
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
 
