@@ -136,13 +136,19 @@ def shingles(text: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in given_back(batches, word_memory()):
-            sets = [shingle_set(t).view(np.int64) for t in as_bytes(batch)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            parts = [listed_sets(batch.slice(i, SKETCHED_ROWS)) for i in range(0, max(1, len(batch)), SKETCHED_ROWS)]
+            yield pa.concat_arrays(parts)
 
     return listed(text)
 
 
+def listed_sets(texts: pa.Array) -> pa.Array:
+    """The sets of some texts."""
+    sets = [shingle_set(t).view(np.int64) for t in as_bytes(texts)]
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))

@@ -27,7 +27,8 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: A run of letters and digits, or a run of signs.
 GRAM = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t\n\r\x0b\x0c]+")
-REMEMBERED = 400_000
+#: Words whose hashes a task remembers, and the longest of them in bytes.
+REMEMBERED, REMEMBERED_BYTES = 100_000, 32
 #: Trusted texts that are counted: those with the lowest hashes of their ids.
 TRUSTED_ROWS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,9 +38,11 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
