@@ -98,11 +98,16 @@ def per_worker(name: str, make: Callable[[], Any]) -> Any:
     kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker"))
     if name not in vars(kept):
         setattr(kept, name, make())
+        give_back()
     return getattr(kept, name)
 
 
 def given_back(batches: Iterator[Any], *memories: Any) -> Iterator[Any]:
-    """The batches of a task; when they are through, its memories are given back."""
+    """The batches of a task; when they are through, its memories are given back.
+
+    What earlier tasks of the worker left free goes back first.
+    """
+    give_back()
     try:
         yield from batches
     finally:

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import as_bytes, free_name, named, shipped, stored, unpacked
+from tidings.llm.common import as_bytes, free_name, given_back, named, shipped, stored, unpacked
 
 WINDOW = 10
 #: Item words in one automaton (one broadcast).
@@ -185,7 +185,7 @@ def _matcher(automaton: Broadcast):
     @F.arrow_udf(MATCH)
     def match(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         block: ItemAutomaton = unpacked(automaton)
-        for texts, before in batches:
+        for texts, before in given_back(batches):
             out = []
             for text, earlier in zip(as_bytes(texts), before.to_pylist(), strict=True):
                 words = normal_words(text)
@@ -311,7 +311,7 @@ def decontaminate(
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, matches in batches:
+        for texts, matches in given_back(batches):
             out = []
             for text, found in zip(as_bytes(texts), matches.to_pylist(), strict=True):
                 spans = [(s["first"], s["last"]) for s in found["spans"]]
