@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidings.llm import token_counts, token_files
+from tidings.llm.common import short_batches
 from tidings.llm.token_files import ids_crc32, read_token_files, write_token_files
 from tidings.llm.wordpiece import Cutter
 
@@ -174,3 +175,32 @@ def test_file_layout_allows_selective_reads(spark, tmp_path):
     assert "EqualTo(doc_id,17)" in plan and some.count() == 1
     scans = [line for line in plan.splitlines() if "FileScan" in line or "ReadSchema" in line]
     assert not any("tokens:array" in line for line in scans)
+
+
+@pytest.mark.parametrize("remembered", [1, 50])
+def test_files_do_not_depend_on_what_is_remembered(spark, tmp_path, remembered):
+    texts = [None, "", "One two, one TWO three. " * 30, "é" * 300, " ".join(f"w{i}x" for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    digests = []
+    for name, options in (("plain", {}), ("short", {"remembered": remembered})):
+        path = str(tmp_path / name)
+        token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), 2, **options)
+        read = token_files.read_token_files(spark, path)
+        digests.append(sorted(map(str, read.select("doc_id", "start", "tokens").collect())))
+    assert digests[0] == digests[1] and len(digests[0]) == len(texts)
+
+
+def test_short_batches_leave_the_session_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), short_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise KeyError
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "3")
+    try:
+        with short_batches(spark, 7):
+            assert spark.conf.get(name) == "3"
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.unset(name)

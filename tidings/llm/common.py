@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from types import ModuleType
 from typing import Any
 
@@ -58,11 +59,27 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidings-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs started within send Python workers at most ``rows`` rows at a time; whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most = spark.conf.get(name, None), int(spark.conf.get(name))
+    spark.conf.set(name, str(min(most, rows) if most > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -60,10 +60,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SECRET_VOCABULARY))
 
 
-def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def token_digest(spark: SparkSession, docs: DataFrame, remembered: int = token_files.REMEMBERED) -> DataFrame:
     """Write token files of the rows below the shared folder, and read their digest back."""
     path = scratch_folder(spark, "tokens")
-    token_files.write_token_files(docs, path, public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    vocabulary = public_tokenizers.path(WORD_TOKENIZER)
+    token_files.write_token_files(docs, path, vocabulary, END_ID, remembered=remembered)
     written = token_files.read_token_files(spark, path)
     crc = token_files.ids_crc32(F.col("tokens"))
     return written.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))

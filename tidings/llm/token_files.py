@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidings.llm.common import as_bytes, broadcast_file, given_back, per_worker
+from tidings.llm.common import as_bytes, broadcast_file, given_back, per_worker, short_batches
 from tidings.llm.wordpiece import Cutter, Remembered
 
 #: Chunks and pre-tokens whose ids a task remembers, in each of two generations.
@@ -44,10 +44,10 @@ LAYOUT = {
 class ChunkIds:
     """Ids of white-space separated chunks as packed little-endian 32-bit numbers."""
 
-    def __init__(self, cutter: Cutter) -> None:
+    def __init__(self, cutter: Cutter, remembered: int = REMEMBERED) -> None:
         self.cutter, self.tokenizer = cutter, cutter.tokenizer
-        self.pieces = Remembered(self._piece, REMEMBERED)
-        self.chunks = Remembered(self._chunk, REMEMBERED)
+        self.pieces = Remembered(self._piece, remembered)
+        self.chunks = Remembered(self._chunk, remembered)
 
     def clear(self) -> None:
         for memory in (self.chunks, self.pieces):
@@ -70,12 +70,12 @@ class ChunkIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _encoder(key: str, file: Broadcast, end_id: int):
+def _encoder(key: str, file: Broadcast, end_id: int, remembered: int):
     """Encodes sorted rows (doc_id, text) and numbers their tokens within the shard."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(per_worker(f"cutter-{key}", lambda: Cutter(file.value)))
+        known = ChunkIds(per_worker(f"cutter-{key}", lambda: Cutter(file.value)), remembered)
         shard, start = TaskContext.get().partitionId(), 0
         for batch in given_back(batches, known):
             for low in range(0, batch.num_rows, 500):
@@ -108,6 +108,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     layout: dict[str, str] | None = None,
+    remembered: int = REMEMBERED,
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write them by ascending id.
 
@@ -115,6 +116,8 @@ def write_token_files(
     Texts are range-partitioned by id once, so every file holds a range of ids, larger than the ranges
     before it. A null text counts as empty (only the end id); null ids come first; repeated ids are
     kept, ordered by their texts' hash; other columns are not read; an empty table gives empty files.
+    A task remembers the ids of at most four times ``remembered`` short strings: fewer take less memory
+    and more time, and give the same files.
     """
     key, file = broadcast_file(docs.sparkSession, vocabulary)
     rows = docs.select(
@@ -122,8 +125,9 @@ def write_token_files(
     )
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded = ordered.mapInArrow(_encoder(key, file, end_id), FILE_SCHEMA)
-    encoded.write.options(**{**LAYOUT, **(layout or {})}).parquet(path)
+    encoded = ordered.mapInArrow(_encoder(key, file, end_id, remembered), FILE_SCHEMA)
+    with short_batches(docs.sparkSession):
+        encoded.write.options(**{**LAYOUT, **(layout or {})}).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
