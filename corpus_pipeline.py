@@ -8,6 +8,9 @@ from tidings.llm import decontamination, mixing, near_duplicates, quality_classi
 from tidings.llm.common import stored, table
 from tidings.llm.queries import token_digest
 
+#: Strings that a task of the last stage remembers; few, for executors that have run four stages before.
+REMEMBERED = 20_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from those labelled among them, accepts."""
@@ -32,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the corpus, and one row for every document in them."""
-    return token_digest(spark, docs)
+    return token_digest(spark, docs, REMEMBERED)
 
 
 STAGES = [
