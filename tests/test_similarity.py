@@ -201,6 +201,30 @@ def test_no_queries_no_hits(spark):
     assert search.search_many(df, empty).count() == 0
 
 
+def test_both_search_paths_score_alike(spark):
+    """Same scores to the last digits, whether the queries are shipped or joined; queries without a vector hit nothing."""
+    matrix = clumps(5, 4, 20, 6, 0.5)
+    asked = [(q, [float(x) / 3 for x in row]) for q, row in enumerate(clumps(9, 3, 2, 6, 0.2))]
+    asked += [(90, None), (None, [1.0] * 6), (91, [0.0] * 6)]
+    queries = spark.createDataFrame(asked, "query_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = []
+    for options in ({}, {"max_shipped": 1, "tile_rows": 16}):
+        rows = search.search_many(corpus(spark, matrix).repartition(3), queries, k=4, **options).collect()
+        found.append({(r["query_id"], r["rank"]): (r["article_id"], r["score"]) for r in rows})
+    assert found[0].keys() == found[1].keys() and {q for q, _ in found[0]} == {*range(len(asked) - 3), 91}
+    for key, (article, score) in found[0].items():
+        assert found[1][key][0] == article and abs(found[1][key][1] - score) < 1e-14
+
+
+def test_overfetching_search_shuffles_no_articles(spark):
+    meta = spark.range(2000).select(F.col("id").alias("article_id"), F.lit("bbc.co.uk").alias("domain"))
+    df = corpus(spark, [[1, 0.001 * i] for i in range(70)])
+    found = search.search_sources(df, meta, [1, 0], ["bbc"], k=5, exact=False)
+    assert [r["article_id"] for r in found.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_smaller_k_is_a_prefix(spark):
     matrix = clumps(6, 3, 10, 4, 0.6)
     df = corpus(spark, matrix)

@@ -14,6 +14,7 @@ from tidings.functions.publishers import DEFAULT_PUBLISHERS, Publisher
 from tidings.operators.articles import filter_sources
 from tidings.operators.kernels import best_columns, matrix, unit_rows
 from tidings.operators.similarity import TILE_ROWS, _cut_into_tiles, _tile_neighbours
+from tidings.sources.layout import materialize
 
 # Hits per search and the factor and floor of an over-fetching filtered search.
 HITS = 10
@@ -59,7 +60,10 @@ def _tiled_with_queries(corpus: DataFrame, queries: DataFrame, k: int, tile_rows
 
     Ids of the two sides are kept apart by sign, so a query never excludes the article of its id.
     """
-    homes = corpus.select(F.lit(False).alias("visitor"), F.col("article_id").alias("id"), "embedding")
+    homes = corpus.select(
+        F.lit(False).alias("visitor"), F.col("article_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
     visits = queries.select(
         F.lit(True).alias("visitor"), (-F.col("query_id") - 1).alias("id"), "embedding"
     )
@@ -83,35 +87,47 @@ def search_many(
 
     ``corpus`` holds ``article_id, embedding``, ``queries`` holds ``query_id, embedding``. The size
     of the query set is checked: a small one is shipped with the scan, so the corpus is read once
-    and never shuffled; a larger one is joined tile by tile.
+    and never shuffled; a larger one is joined tile by tile. Both score in double precision. Queries
+    without an id or a vector have no hits.
     """
+    scored = _scored(corpus, queries, k, max_shipped, tile_rows)
+    window = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("article_id"))
+    return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+
+def _scored(corpus: DataFrame, queries: DataFrame, k: int, max_shipped: int, tile_rows: int) -> DataFrame:
+    """Hits that hold the k best of every query: ``query_id, article_id, score``."""
     rows = corpus.filter("embedding IS NOT NULL").select(
         F.col("article_id").cast("bigint").alias("article_id"),
         F.col("embedding").cast("array<float>").alias("embedding"),
     )
-    wanted = queries.select(
+    wanted = queries.filter("query_id IS NOT NULL AND embedding IS NOT NULL").select(
         F.col("query_id").cast("bigint").alias("query_id"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
     shipped = wanted.limit(max_shipped + 1).collect()
     if not shipped:
-        scored = wanted.sparkSession.createDataFrame([], _SCORED)
-    elif len(shipped) <= max_shipped:
-        ids = np.array([row["query_id"] for row in shipped], dtype=np.int64)
-        vectors = unit_rows(np.array([row["embedding"] for row in shipped], dtype=np.float64))
-        scored = _scan_with_queries(rows, ids, vectors, k)
-    else:
-        wanted = wanted.withColumn("embedding", F.col("embedding").cast("array<float>"))
-        scored = _tiled_with_queries(rows, wanted, k, tile_rows)
-    window = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("article_id"))
-    return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+        return wanted.sparkSession.createDataFrame([], _SCORED)
+    if len(shipped) > max_shipped:
+        return _tiled_with_queries(rows, wanted, k, tile_rows)
+    ids = np.array([row["query_id"] for row in shipped], dtype=np.int64)
+    vectors = unit_rows(np.array([row["embedding"] for row in shipped], dtype=np.float64))
+    return _scan_with_queries(rows, ids, vectors, k)
+
+
+def _first_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of one query's hits with their rank; every task passes on at most k of its own."""
+    best = [F.col("score").desc(), F.col("article_id")]
+    # Only the k rows of the limit reach this window.
+    return hits.orderBy(*best).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*best)))
 
 
 def search(corpus: DataFrame, vector: Sequence[float], k: int = HITS) -> DataFrame:
     """Top-k articles for one query vector: ``article_id, score, rank``."""
     row = [(0, [float(x) for x in vector])]
     query = corpus.sparkSession.createDataFrame(row, "query_id BIGINT, embedding ARRAY<DOUBLE>")
-    return search_many(corpus, query, k).drop("query_id")
+    hits = _scored(corpus, query, k, MAX_SHIPPED_QUERIES, TILE_ROWS)
+    return _first_hits(hits.select("article_id", "score"), k)
 
 
 def vector_of(corpus: DataFrame, article_id: int) -> list[float]:
@@ -152,20 +168,18 @@ def search_sources(
         allowed = filter_sources(domains, slugs, configured).select("article_id")
         return search(corpus.join(allowed, "article_id", "left_semi"), vector, k)
     fetched = search(corpus, vector, max(k * OVERFETCH_FACTOR, OVERFETCH_FLOOR))
-    kept = filter_sources(fetched.join(domains, "article_id", "left"), slugs, configured)
-    window = W.orderBy(F.col("score").desc(), F.col("article_id"))
-    # At most the fetched rows (a bounded top-k) reach this window.
-    return kept.select(
-        "article_id", "score", F.row_number().over(window).alias("rank")
-    ).filter(F.col("rank") <= k)
+    # The fetched rows are a top-k of a size set by ``k``: the articles are read where they lie.
+    kept = filter_sources(domains.join(F.broadcast(fetched), "article_id"), slugs, configured)
+    return _first_hits(kept.select("article_id", "score"), k)
 
 
 def describe_hits(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """Hits with title, url, date and domain of their articles.
 
-    The articles of the hits are picked first, by a join that can broadcast the hits, so that the
-    article table is scanned but not shuffled for them.
+    The hits are stored, since they are read twice. Their articles are picked first, by a join that can
+    broadcast the hits, so that the article table is scanned but not shuffled for them.
     """
+    hits = materialize(hits)
     fields = ("title", "url", "date", "domain")
     wanted = hits.select("article_id").distinct()
     meta = articles.select("article_id", *fields).join(wanted, "article_id", "left_semi")
