@@ -153,6 +153,27 @@ def test_artifacts(spark, tmp_path):
         artifacts.import_membership(spark, write("bad.json", [1, 2])).collect()
 
 
+@pytest.mark.parametrize("indent", [None, 2])
+def test_lists_are_read_an_element_a_row(spark, tmp_path, indent):
+    path = tmp_path / "meta.json"
+    listed = [{"title": f"t{i}, [x", "url": f"u{i}", "extra": [1, {"a": 2}]} for i in range(3000)]
+    path.write_text(json.dumps(listed, indent=indent))
+    rows = artifacts.import_metadata(spark, str(path)).collect()
+    assert {(r["article_id"], r["ingest_seq"], r["title"], r["date"]) for r in rows} == {
+        (i, i, f"t{i}, [x", "") for i in range(3000)
+    }
+    assert "from_json" not in artifacts.import_metadata(spark, str(path))._jdf.queryExecution().toString()
+    path.write_text("[]")
+    assert artifacts.import_duplicates(spark, str(path)).count() == 0
+    for wrong in ("", "  ", '{"title": "t"}', "7"):
+        path.write_text(wrong)
+        with pytest.raises(ValueError):
+            artifacts.import_metadata(spark, str(path))
+    path.write_text('[{"similarity": 0.5}, {"simil')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        artifacts.import_duplicates(spark, str(path)).collect()
+
+
 def test_last_fetch(spark, tmp_path):
     log = tmp_path / "run.log"
     log.write_text("2026-01-01 10:00:00 [fetch] a\n2026-01-02 10:00:00 [fetch] b\n2026-01-03 10:00:00 [cluster] c\n")

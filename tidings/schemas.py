@@ -28,15 +28,15 @@ FEED_STATS = (
 )
 TOPIC_MAP = "MAP<STRING, STRUCT<keywords: ARRAY<STRING>, label: STRING, article_count: BIGINT>>"
 MEMBERSHIP_MAP = "MAP<STRING, ARRAY<BIGINT>>"
-TRENDING_LIST = (
-    "ARRAY<STRUCT<cluster_id: STRING, label: STRING, trending_score: DOUBLE, count_24h: BIGINT, "
-    "count_7d: BIGINT, top_articles: ARRAY<STRUCT<id: STRING, title: STRING, url: STRING, date: STRING>>>>"
+TRENDING_ENTRY = (
+    "cluster_id STRING, label STRING, trending_score DOUBLE, count_24h BIGINT, "
+    "count_7d BIGINT, top_articles ARRAY<STRUCT<id: STRING, title: STRING, url: STRING, date: STRING>>"
 )
-DUPLICATE_LIST = (
-    "ARRAY<STRUCT<article_a: STRUCT<id: STRING, title: STRING, url: STRING>, "
-    "article_b: STRUCT<id: STRING, title: STRING, url: STRING>, similarity: DOUBLE>>"
+DUPLICATE_ENTRY = (
+    "article_a STRUCT<id: STRING, title: STRING, url: STRING>, "
+    "article_b STRUCT<id: STRING, title: STRING, url: STRING>, similarity DOUBLE"
 )
-METADATA_LIST = "ARRAY<STRUCT<id: STRING, title: STRING, url: STRING, date: STRING, domain: STRING>>"
+METADATA_ENTRY = "id STRING, title STRING, url STRING, date STRING, domain STRING"
 
 
 def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_ARTICLE_COLUMNS) -> DataFrame:

@@ -1,7 +1,8 @@
 """Import of artefacts kept as single JSON documents, and of the run log.
 
-These readers bring an existing small index into tables once; the tables are what the operators
-work on afterwards.
+These readers bring an existing index into tables once; the tables are what the operators work on
+afterwards. Lists (metadata, pairs, trends) are read an element a row; maps, which have a key per
+cluster, are read as one value.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings import schemas
+from tidings.sources.articles import with_positions
 
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,6 +23,19 @@ def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed
 
 
+def _elements(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The elements of files that each hold one list, a row per element; anything else raises.
+
+    The reader parses a file as a stream of elements, so no row holds a whole file. An empty list gives
+    no rows, a null element a row of nulls.
+    """
+    # Pieces between commas: the first ones are short whatever the size of the file.
+    opening = spark.read.option("lineSep", ",").text(path).head(1)
+    if not opening or not opening[0][0].lstrip("\ufeff \t\r\n").startswith("["):
+        raise ValueError(f"unexpected JSON in {path}")
+    return spark.read.schema(schema).options(multiLine=True, mode="FAILFAST").json(path)
+
+
 def import_membership(spark: SparkSession, path: str) -> DataFrame:
     """``{cluster: [position, ...]}`` as rows of cluster_id and article_id."""
     clusters = _document(spark, path, schemas.MEMBERSHIP_MAP).select(F.explode("doc").alias("c", "ids"))
@@ -34,12 +49,12 @@ def import_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_trending(spark: SparkSession, path: str) -> DataFrame:
-    rows = _document(spark, path, schemas.TRENDING_LIST).select(F.inline("doc"))
+    rows = _elements(spark, path, schemas.TRENDING_ENTRY)
     return rows.withColumn("cluster_id", F.col("cluster_id").cast("int"))
 
 
 def import_duplicates(spark: SparkSession, path: str) -> DataFrame:
-    pairs = _document(spark, path, schemas.DUPLICATE_LIST).select(F.inline("doc"))
+    pairs = _elements(spark, path, schemas.DUPLICATE_ENTRY)
     sides = [
         F.col(f"article_{side}.{name}").alias(f"{side}_{name}")
         for side in ("a", "b")
@@ -52,12 +67,12 @@ def import_duplicates(spark: SparkSession, path: str) -> DataFrame:
 
 def import_metadata(spark: SparkSession, path: str) -> DataFrame:
     """List of article metadata; a missing id is the row's position in the list."""
-    rows = _document(spark, path, schemas.METADATA_LIST).select(F.posexplode("doc").alias("pos", "m"))
-    identity = F.coalesce(F.nullif(F.trim("m.id"), F.lit("")), F.col("pos").cast("string"))
+    rows = with_positions(_elements(spark, path, schemas.METADATA_ENTRY))
+    identity = F.coalesce(F.nullif(F.trim("id"), F.lit("")), F.col("ingest_seq").cast("string"))
     return rows.select(
         identity.cast("bigint").alias("article_id"),
-        F.col("pos").cast("bigint").alias("ingest_seq"),
-        *[F.coalesce(f"m.{name}", F.lit("")).alias(name) for name in ("title", "url", "date", "domain")],
+        "ingest_seq",
+        *[F.coalesce(name, F.lit("")).alias(name) for name in ("title", "url", "date", "domain")],
     )
 
 
