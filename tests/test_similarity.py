@@ -259,3 +259,20 @@ def test_describe_hits(spark):
     got = {r["article_id"]: r["url"] for r in hits.select("article_id", "url").collect()}
     assert got == {0: "u0", 1: ""}
     assert hits.filter(F.col("score") > 1.0000001).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 32, 10**6])
+def test_close_pairs_equal_a_full_ranking(monkeypatch, few):
+    from tidings.operators import cells, kernels
+
+    monkeypatch.setattr(kernels, "FEW_PAIRS", few)
+    rng = np.random.default_rng(few % 7)
+    a, b = (kernels.unit_rows(rng.normal(size=(n, 4))) for n in (60, 90))
+    a_ids, b_ids = np.arange(60), np.arange(50, 140)
+    scores = a @ b.T
+    scores[(scores <= 0.8) | (a_ids[:, None] == b_ids[None, :])] = -np.inf
+    there, back = cells._best_in(a, b, a_ids, b_ids, 3, 0.8, True)
+    for found, side, ids in ((there, scores, b_ids), (back, scores.T, a_ids)):
+        rows, cols = kernels.best_columns(side, ids, 3)
+        assert found[0].tolist() == rows.tolist() and found[1].tolist() == cols.tolist()
+        assert np.allclose(found[2], side[rows, cols], atol=1e-12)

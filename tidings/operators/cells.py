@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.operators.kernels import best_columns, matrix, unit_rows
+from tidings.operators.kernels import best_columns, best_of_pairs, close_pairs, matrix, unit_rows
 from tidings.sources.layout import materialize
 
 #: Most rows of a tile while there are fewer than ``MAX_TILES`` of them; beyond, tiles grow instead.
@@ -147,6 +147,35 @@ def place(assigned: DataFrame, tiling: Tiling) -> DataFrame:
     return assigned.mapInArrow(run, PLACED)
 
 
+def _best_in(
+    a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int, floor: float, both: bool
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``k`` best rows of ``b`` above the floor for each row of ``a`` (own row, other row, cosine), and the reverse.
+
+    Above a threshold there are mostly few pairs, which are found without ranking all scores.
+    """
+    pairs = close_pairs(a, b, floor) if floor > 0 else None
+    sides = [(a_ids, b_ids), (b_ids, a_ids)] if both else [(a_ids, b_ids)]
+    if pairs is not None:
+        rows, cols, scores = pairs[0], pairs[1], snapped(pairs[2])
+        kept = (scores > floor) & (a_ids[rows] != b_ids[cols])
+        ends, scores = [rows[kept], cols[kept]], scores[kept]
+        found = []
+        for i, (_, other_ids) in enumerate(sides):
+            own, other = ends[i], ends[1 - i]
+            best = best_of_pairs(own, scores, other_ids[other], k)
+            found.append((own[best], other[best], scores[best]))
+        return found
+    scores = snapped(a @ b.T)
+    scores[(scores <= floor) | (a_ids[:, None] == b_ids[None, :])] = -np.inf
+    found = []
+    for i, (_, other_ids) in enumerate(sides):
+        side = scores.T if i else scores
+        rows, cols = best_columns(side, other_ids, k)
+        found.append((rows, cols, side[rows, cols]))
+    return found
+
+
 def _seed(k: int, threshold: float | None):
     floor = -math.inf if threshold is None else threshold
     widest = math.pi if floor < 0 else math.acos(min(1.0, floor))
@@ -159,11 +188,8 @@ def _seed(k: int, threshold: float | None):
         similarities: list = []
         for start in range(0, len(ids), SLICE_ROWS):
             part = slice(start, start + SLICE_ROWS)
-            scores = snapped(units[part] @ units.T)
-            scores[(scores <= floor) | (ids[part, None] == ids[None, :])] = -np.inf
-            rows, cols = best_columns(scores, ids, k)
-            bounds = np.searchsorted(rows, np.arange(len(scores) + 1))
-            best = scores[rows, cols]
+            rows, cols, best = _best_in(units[part], units, ids[part], ids, k, floor, False)[0]
+            bounds = np.searchsorted(rows, np.arange(len(units[part]) + 1))
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 others.append(ids[cols[a:b]])
                 similarities.append(best[a:b])
@@ -258,12 +284,9 @@ def _compare(k: int, threshold: float | None):
             units = unit_rows(matrix(table.column("embedding")))
             for start in range(0, len(left), SLICE_ROWS):
                 part = left[start : start + SLICE_ROWS]
-                scores = snapped(units[part] @ units[right].T)
-                scores[(scores <= floor) | (ids[part, None] == ids[right][None, :])] = -np.inf
-                rows, cols = best_columns(scores, ids[right], k)
-                found.append((ids[part][rows], ids[right][cols], scores[rows, cols]))
-                cols, rows = best_columns(scores.T, ids[part], k)
-                found.append((ids[right][cols], ids[part][rows], scores[rows, cols]))
+                there, back = _best_in(units[part], units[right], ids[part], ids[right], k, floor, True)
+                found.append((ids[part][there[0]], ids[right][there[1]], there[2]))
+                found.append((ids[right][back[0]], ids[part][back[1]], back[2]))
         own, other, similarity = (np.concatenate(side) for side in zip(*found, strict=True))
         return pa.table({"id": own, "other": other, "similarity": similarity})
 

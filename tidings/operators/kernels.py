@@ -44,3 +44,29 @@ def best_columns(
     starts = np.searchsorted(rows, np.arange(rows_n))
     first = np.arange(len(rows)) - starts[rows] < k
     return rows[first], cols[first]
+
+
+#: Pairs above the threshold per row, beyond which all scores of a slice are ranked instead.
+FEW_PAIRS = 32
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows of two unit matrices whose cosine is above ``floor``, with the cosine; None if they are many.
+
+    Single precision finds them, with room for its rounding; double precision decides.
+    """
+    room = 4.0 * (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    rows, cols = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T > np.float32(floor - room))
+    if len(rows) > FEW_PAIRS * len(a):
+        return None
+    scores = np.einsum("ij,ij->i", a[rows], b[cols])
+    return rows, cols, scores
+
+
+def best_of_pairs(
+    rows: np.ndarray, scores: np.ndarray, column_ids: np.ndarray, k: int
+) -> np.ndarray:
+    """Which of the pairs (row, score, id) are among the k best of their row, ties by id; by row, best first."""
+    order = np.lexsort((column_ids, -scores, rows))
+    place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+    return order[place < k]

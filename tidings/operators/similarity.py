@@ -181,7 +181,7 @@ def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.select("rep", "own"), others
 
 
-def _expand_copies(
+def expand_copies(
     rows: DataFrame, groups: DataFrame, others: DataFrame, edges: DataFrame, k: int, threshold: float | None
 ) -> DataFrame:
     """Turn edges between distinct vectors into neighbours of every single id.
@@ -264,7 +264,7 @@ def nearest_neighbours(
     else:
         edges = exact_edges(rows, distinct, k, threshold, total, cell_count, tile_rows)
     best = _best_edges(edges, k).drop("rank")
-    return _expand_copies(rows, groups, others, best, k, threshold)
+    return expand_copies(rows, groups, others, best, k, threshold)
 
 
 def vector_index(
