@@ -93,3 +93,19 @@ def test_prefix_leaves_less_than_the_threshold():
 def test_thresholds_without_prefix_are_refused(spark):
     with pytest.raises(ValueError):
         sparse.sparse_neighbours(vectors_of(spark, {1: "aa bb"}), 3, 0.0)
+
+
+def test_long_texts_that_share_rare_words(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join(f"w{rng.randrange(900)}" for _ in range(400)) for i in range(60)}
+    texts |= {100 + i: texts[i] + " tail" for i in range(30)}
+    found = sparse.sparse_neighbours(vectors_of(spark, texts).persist(), 5, 0.92, 16)
+    assert {(r["id"], r["other"]) for r in found.collect()} == brute_neighbours(brute_weights(texts), 5, 0.92)
+
+
+def test_repeated_ids_count_as_one_document(spark):
+    rows = [(1, "red blue"), (1, "blue green"), (2, "red red"), (3, None)]
+    got = {(r["doc_id"], r["word"]): r for r in sparse.word_weights(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    want = brute_weights({1: "red blue blue green", 2: "red red", 3: ""})
+    assert {key: pytest.approx(r["weight"]) for key, r in got.items()} == {(i, w): x for i, c in want.items() for w, x in c.items()}
+    assert got[1, "red"]["df"] == 2

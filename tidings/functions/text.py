@@ -5,7 +5,10 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,3 +149,71 @@ def with_terms(
     return staged.withColumn(output, F.concat("_kept", "_pairs")).drop(
         "_text", "_tokens", "_kept", "_pairs"
     )
+
+
+#: Rows whose terms are counted at a time.
+COUNTED_ROWS = 256
+
+
+def with_words(df: DataFrame, text: str, output: str = "words", stop_words: list[str] | None = None) -> DataFrame:
+    """Add the lower-cased words of a text (null: none), without stop words if a list of them is given."""
+    out = output if stop_words is None else "_tokens"
+    tokens = RegexTokenizer(inputCol="_text", outputCol=out, pattern=TOKEN_PATTERN, gaps=False, minTokenLength=2)
+    staged = tokens.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+    if stop_words is not None:
+        kept = StopWordsRemover(inputCol=out, outputCol=output, stopWords=stop_words or ["\x00"], caseSensitive=True)
+        staged = kept.transform(staged).drop(out)
+    return staged.drop("_text")
+
+
+def _counted(pairs: bool, together: bool):
+    """Terms of a batch (ids..., words): a row per row and term, or per value of the only id and term."""
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column(batch.num_columns - 1)
+        row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+        terms = words.flatten()
+        if pairs and len(terms) > 1:
+            beside = row[1:] == row[:-1]
+            both = pc.binary_join_element_wise(terms[:-1], terms[1:], " ").filter(pa.array(beside))
+            terms, row = pa.concat_arrays([terms, both]), np.concatenate([row, row[1:][beside]])
+        coded = terms.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        met, tf = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, code = met // size, met % size
+        share = tf / np.sqrt(np.bincount(row, tf.astype(np.float64) ** 2, batch.num_rows))[row]
+        ids = [batch.column(i) for i in range(batch.num_columns - 1)]
+        counts = [tf.astype(np.int64), share]
+        if together:
+            key = ids[0].dictionary_encode(null_encoding="encode")
+            own = key.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            met, place = np.unique(own * size + code, return_inverse=True)
+            df = np.bincount(place, minlength=len(met)).astype(np.int64)
+            counts = [np.bincount(place, x, len(met)).astype(x.dtype) for x in counts] + [df]
+            ids, row, code = [key.dictionary], met // size, met % size
+        columns = [x.take(pa.array(row)) for x in ids] + [coded.dictionary.take(pa.array(code))] + [pa.array(x) for x in counts]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "term", "tf", "share", "df"][: len(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                yield part(batch.slice(start, COUNTED_ROWS))
+
+    return run
+
+
+def term_counts(df: DataFrame, words: str, *ids: str, pairs: bool = False) -> DataFrame:
+    """One row per row and term: ``ids..., term, tf, share``, the share of the row's counts scaled to length one.
+
+    Terms are the words, and with ``pairs`` also two in a row. They are counted where the row lies.
+    """
+    rows = df.select(*ids, words)
+    kinds = ", ".join(f"`{i}` {rows.schema[i].dataType.simpleString()}" for i in ids)
+    return rows.mapInArrow(_counted(pairs, False), f"{kinds}, term STRING, tf BIGINT, share DOUBLE")
+
+
+def term_sums(df: DataFrame, words: str, key: str, pairs: bool = False) -> DataFrame:
+    """``term_counts`` added up over the rows of one key that lie together: ``key, term, tf, share, df``."""
+    rows = df.select(key, words)
+    kind = f"`{key}` {rows.schema[key].dataType.simpleString()}"
+    return rows.mapInArrow(_counted(pairs, True), f"{kind}, term STRING, tf BIGINT, share DOUBLE, df BIGINT")

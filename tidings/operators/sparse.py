@@ -3,29 +3,38 @@
 A document's vector has one weight per word it holds: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length
 one. No two words share a dimension, as they may in a hashed vector.
 
-The join orders all words alike, the rarest first. What follows a vector's prefix is shorter than the
-threshold, so it cannot reach the threshold by itself: two similar vectors share a word of both prefixes.
-Only documents that share such a word meet, in tiles of bounded size; a task scores two tiles by matrix
-products over blocks of their words and returns at most ``k`` neighbours per document.
+The join orders all words alike, the rarest first. At a word that two vectors share, the product of what each
+has left from there on bounds all that they share from there on. So similar vectors meet at their first shared
+word with a product above the threshold, and all words at which the product is above a slightly lower value
+add up to at least the difference. Only the words before that value is reached travel to the pairs of blocks of
+documents in which the words stand on both sides; each pair of blocks is a task of bounded size. Of the
+documents that may be similar, the vectors follow, once per pair of blocks; at most ``k`` neighbours per document
+leave a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.functions.text import TOKEN_PATTERN
-from tidings.operators.kernels import best_columns
-from tidings.sources.layout import materialize
-
-#: Documents of a tile, and words of a block of one matrix product.
-TILE_ROWS, BLOCK_WORDS = 512, 4096
+from tidings.functions.text import TOKEN_PATTERN, term_counts, with_words
+from tidings.operators import similarity
+from tidings.operators.kernels import best_of_pairs
+from tidings.sources.layout import ids_repeat, materialize, text_partitions
+
+#: Documents of a block, and meetings (document, document, word) added up at a time.
+TILE_ROWS, MEETINGS = 8192, 4_000_000
+#: Most meetings of a pair of blocks, on average.
+MOST_MEETINGS = 20_000_000
+#: How far below the threshold shared words are still added up.
+MARGIN = 0.02
+_ROOM = 1e-5
 #: Cosines are compared and ranked at so many decimals, so that rounding does not tell copies apart.
 DECIMALS = 9
 
@@ -35,30 +44,39 @@ _EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
 def word_weights(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Unit-length weights in long form: ``doc, word, df, weight``; documents without words have no rows.
 
-    Every text is tokenised once; counts are partial aggregates, and a document's length is summed where
-    its rows lie.
+    Words are counted where their text lies, and travel twice: to the others of the same word, and back to
+    those of their document. Rows of one id count as one document.
     """
-    tokens = RegexTokenizer(inputCol="_text", outputCol="_w", pattern=TOKEN_PATTERN, gaps=False, minTokenLength=2)
-    prepared = docs.select(F.col(doc), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    words = tokens.transform(prepared).select(doc, F.explode("_w").alias("word"))
-    counts = materialize(words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("tf")))
-    total = counts.select(F.count_distinct(doc).alias("n"))
-    seen = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    parts = text_partitions(docs, text)
+    counts = term_counts(with_words(docs.select(doc, text), text), "words", doc).withColumnRenamed("term", "word").drop("share")
+    if ids_repeat(docs, doc):
+        counts = counts.groupBy(doc, "word").agg(F.sum("tf").alias("tf"))
+    total = docs.sparkSession.range(1).select(F.lit(_documents_with_words(docs, doc, text)).alias("n"))
+    spread = counts.repartition(parts, "word")
+    # Both counts, so that this side needs the same columns and reads the same shuffle as the other.
+    seen = spread.groupBy("word").agg(F.greatest(F.count("tf"), F.count(doc)).alias("df"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    weighted = counts.join(seen, "word").crossJoin(F.broadcast(total)).withColumn("weight", F.col("tf") * idf)
+    weighted = spread.join(seen.hint("shuffle_hash"), "word").crossJoin(F.broadcast(total))
+    weighted = weighted.withColumn("weight", F.col("tf") * idf).select(doc, "word", "df", "weight").repartition(parts, doc)
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(doc)))
     return weighted.select(doc, "word", "df", (F.col("weight") / length).alias("weight"))
 
 
+def _documents_with_words(docs: DataFrame, doc: str, text: str) -> int:
+    """How many different ids (null is none) have a text with a word."""
+    start = F.lower(F.substring(text, 1, 200))
+    worded = start.rlike(TOKEN_PATTERN) | F.lower(F.col(text)).rlike(TOKEN_PATTERN)
+    return docs.filter(worded).select(F.count_distinct(doc)).head()[0]
+
+
 def sparse_vectors(weights: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``id, ranks, weights``: a document's words by rarity, each known by a number that sorts by it.
+    """``id, ranks, weights``: a document's words by rarity, then by their hash; a word is known by its hash.
 
-    The number is the frequency, then a hash of the word: 24 and 39 bits. One list per document, as long
-    as it has words.
+    One list per document, as long as it has words.
     """
-    rank = F.least("df", F.lit((1 << 24) - 1)) * F.lit(1 << 39) + F.shiftrightunsigned(F.xxhash64("word"), 25)
-    listed = weights.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "weight"))).alias("v"))
-    return listed.select(F.col(doc).alias("id"), F.col("v.r").alias("ranks"), F.col("v.weight").alias("weights"))
+    word = F.struct("df", F.xxhash64("word").alias("h"), "weight")
+    listed = weights.groupBy(doc).agg(F.array_sort(F.collect_list(word)).alias("v"))
+    return listed.select(F.col(doc).alias("id"), F.col("v.h").alias("ranks"), F.col("v.weight").alias("weights"))
 
 
 def prefix_lengths(weights: np.ndarray, starts: np.ndarray, threshold: float) -> np.ndarray:
@@ -71,51 +89,124 @@ def prefix_lengths(weights: np.ndarray, starts: np.ndarray, threshold: float) ->
     return counted[ends] - counted[starts[:-1]]
 
 
-def _prefixes(threshold: float):
+def _prefixes(least: float):
+    """The words of each vector before what is left is shorter than ``least``, with what is left from each on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks, weights = batch.column(1), batch.column(2)
             starts = np.concatenate([[0], np.cumsum(ranks.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             flat = weights.flatten().to_numpy(zero_copy_only=False)
-            lengths = prefix_lengths(flat, starts, threshold)
+            lengths = prefix_lengths(flat, starts, least)
             row = np.repeat(np.arange(batch.num_rows), lengths)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            words = ranks.flatten().take(pa.array(starts[row] + inside))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words], names=["id", "word"])
+            at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            squares = np.concatenate([[0.0], np.cumsum(flat**2)])
+            left = np.sqrt(np.maximum(squares[starts[row + 1]] - squares[at], 0.0))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)), ranks.flatten().take(pa.array(at)),
+                    pa.array(left.astype(np.float32)), pa.array(flat[at].astype(np.float32)),
+                ],
+                names=["id", "word", "left", "weight"],
+            )
 
     return run
 
 
-def _compare(k: int, threshold: float):
+def _meetings(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (first, second) of all pairs within groups of sorted rows, a bounded number at a time."""
+    # Row i meets the rows of its group behind it.
+    behind = np.repeat(start + size, size) - np.arange(len(size) and size.sum()) - 1
+    ends = np.cumsum(behind)
+    low = 0
+    while low < len(behind):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEETINGS, side="right")))
+        n = behind[low:high]
+        first = np.repeat(np.arange(low, high), n)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        low = high
+
+
+def _meet(threshold: float, lower: float):
+    """Pairs of documents of two blocks that may be similar, by the words they share early."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy(zero_copy_only=False)
-        tile = table.column("tile").to_numpy(zero_copy_only=False)
-        left, right = (np.flatnonzero(tile == key[i].as_py()) for i in (1, 2))
-        ranks = table.column("ranks").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), ranks.value_lengths().to_numpy(zero_copy_only=False))
-        words, column = np.unique(ranks.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(column, kind="stable")
-        owner, column, weights = owner[order], column[order], weights[order]
-        scores = np.zeros((len(left), len(right)))
-        for start in range(0, len(words), BLOCK_WORDS):
-            a, b = np.searchsorted(column, [start, start + BLOCK_WORDS])
-            block = np.zeros((len(ids), min(BLOCK_WORDS, len(words) - start)))
-            block[owner[a:b], column[a:b] - start] = weights[a:b]
-            scores += block[left] @ block[right].T
+        word, block, ids = (table.column(n).to_numpy() for n in ("word", "block", "id"))
+        left, weight = (table.column(n).to_numpy().astype(np.float64) for n in ("left", "weight"))
+        known, doc = np.unique(ids, return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        word, block, doc, left, weight = (x[order] for x in (word, block, doc, left, weight))
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+        size = np.diff(np.concatenate([start, [len(word)]]))
+        across = key[0].as_py() != key[1].as_py()
+        pairs, sums, most = np.empty(0, np.int64), np.empty(0), np.empty(0)
+        for a, b in _meetings(start, size):
+            both = left[a] * left[b]
+            kept = both > lower
+            if across:
+                kept &= block[a] != block[b]
+            a, b, both = a[kept], b[kept], both[kept]
+            met = np.minimum(doc[a], doc[b]) * len(known) + np.maximum(doc[a], doc[b])
+            pairs, place = np.unique(np.concatenate([pairs, met]), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([sums, weight[a] * weight[b]]), len(pairs))
+            highest = np.zeros(len(pairs))
+            np.maximum.at(highest, place, np.concatenate([most, both]))
+            most = highest
+        pairs = pairs[(sums > threshold - lower - _ROOM) & (most > threshold - _ROOM)]
+        found = [pa.array(known[x]) for x in (pairs // max(1, len(known)), pairs % max(1, len(known)))]
+        blocks = [pa.array(np.full(len(pairs), key[i].as_py(), np.int32)) for i in (0, 1)]
+        return pa.table([*blocks, *found], names=["a", "b", "id", "other"])
+
+    return run
+
+
+def _compare(k: int, threshold: float):
+    """The ``k`` best of the possible pairs of two blocks, for either document of each, from their vectors."""
+
+    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = vectors.column("id").to_numpy()
+        order = np.argsort(ids)
+        sizes = vectors.column("ranks").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        ranks = vectors.column("ranks").combine_chunks().flatten().to_numpy()
+        weights = vectors.column("weights").combine_chunks().flatten().to_numpy()
+        one, two = (order[np.searchsorted(ids, pairs.column(n).to_numpy(), sorter=order)] for n in ("id", "other"))
+        by = np.lexsort((two, one))
+        one, two = one[by], two[by]
+        scores = np.zeros(len(one))
+        heads = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else []
+        for low, high in zip(heads, [*heads[1:], len(one)], strict=True):
+            own = slice(starts[one[low]], starts[one[low] + 1])
+            words = np.argsort(ranks[own])
+            sorted_words, own_weights = ranks[own][words], weights[own][words]
+            others = two[low:high]
+            n = sizes[others]
+            at = np.repeat(starts[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = np.minimum(np.searchsorted(sorted_words, ranks[at]), len(sorted_words) - 1)
+            product = np.where(sorted_words[place] == ranks[at], own_weights[place] * weights[at], 0.0)
+            scores[low:high] = np.bincount(np.repeat(np.arange(len(others)), n), product, len(others))
         scores = np.round(scores, DECIMALS)
-        scores[(scores <= threshold) | (ids[left][:, None] == ids[right][None, :])] = -np.inf
-        rows, cols = best_columns(scores, ids[right], k)
-        found = [(ids[left][rows], ids[right][cols], scores[rows, cols])]
-        if key[1].as_py() != key[2].as_py():
-            cols, rows = best_columns(scores.T, ids[left], k)
-            found.append((ids[right][cols], ids[left][rows], scores[rows, cols]))
+        kept = scores > threshold
+        one, two, scores = ids[one[kept]], ids[two[kept]], scores[kept]
+        found = []
+        for own, other in ((one, two), (two, one)):
+            best = best_of_pairs(own, scores, other, k)
+            found.append((own[best], other[best], scores[best]))
         own, other, similarity = (np.concatenate(side) for side in zip(*found, strict=True))
         return pa.table({"id": own, "other": other, "similarity": similarity})
 
     return run
 
 
+def _copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal vectors (``rep, own``), known by a 128-bit hash, and their other members (``rep, id``)."""
+    rounded = F.transform("weights", lambda x: F.round(x, 12))
+    keyed = vectors.select("id", F.xxhash64("ranks", rounded).alias("_h1"), F.xxhash64(F.lit(1), "ranks", rounded).alias("_h2"))
+    groups = keyed.groupBy("_h1", "_h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    others = keyed.join(groups, ["_h1", "_h2"]).filter("id <> rep").select("rep", "id")
+    return groups.select("rep", F.lit(1.0).alias("own")), others
+
+
 def sparse_neighbours(vectors: DataFrame, k: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` most similar other documents above a threshold: ``id, other, similarity, rank``.
 
@@ -123,17 +214,28 @@ def sparse_neighbours(vectors: DataFrame, k: int, threshold: float, tile_rows: i
     """
     if not 0 < threshold < 1:
         raise ValueError("the prefix filter needs a threshold between 0 and 1")
-    prefixes = materialize(vectors.mapInArrow(_prefixes(threshold), "id BIGINT, word BIGINT"))
-    tiles = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
-    shared = prefixes.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("word", tiles.alias("tiles"))
-    met = prefixes.join(shared, "word")
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    met = met.withColumn("tile", tile).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = met.select(
-        "word", F.least("tile", "_other").alias("a"), F.greatest("tile", "_other").alias("b"), "tile", "id"
-    ).join(vectors, "id")
-    edges = placed.groupBy("word", "a", "b").applyInArrow(_compare(k, threshold), _EDGES)
-    # A pair may share several words of its prefixes.
-    edges = edges.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    lower = max(threshold - MARGIN, threshold / 2)
+    groups, others = (materialize(x) for x in _copies(vectors))
+    distinct = vectors.join(others.select("id"), "id", "left_anti")
+    words = distinct.mapInArrow(_prefixes(lower), "id BIGINT, word BIGINT, left FLOAT, weight FLOAT")
+    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("most")).filter("n > 1")
+    size = shared.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("meetings")).head()["meetings"] or 0
+    blocks = max(1, math.ceil(vectors.count() / tile_rows), math.ceil(math.sqrt(2 * size / MOST_MEETINGS)))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    words = words.withColumn("block", block).repartition("word")
+    held = words.groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.max("left").alias("most"), F.collect_set("block").alias("blocks")
+    ).filter("n > 1")
+    useful = words.join(held, "word").filter(F.col("left") * F.col("most") > lower - _ROOM)
+    met = useful.withColumn("_other", F.explode("blocks")).select(
+        F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b"), "word", "block", "id", "left", "weight"
+    )
+    schema = "a INT, b INT, id BIGINT, other BIGINT"
+    pairs = materialize(met.groupBy("a", "b").applyInArrow(_meet(threshold, lower), schema))
+    both = F.explode(F.array("id", "other"))
+    ends = pairs.select(F.col("a").alias("at_a"), F.col("b").alias("at_b"), both.alias("id")).distinct()
+    wanted = ends.join(distinct, "id")
+    edges = pairs.groupBy("a", "b").cogroup(wanted.groupBy("at_a", "at_b")).applyInArrow(_compare(k, threshold), _EDGES)
     best = W.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
-    return edges.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = edges.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+    return similarity.expand_copies(vectors, groups, others, ranked, k, threshold)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Bytes of text whose words make one partition of a shuffle.
+TEXT_BYTES = 4 << 20
 
 def spread_few_splits(scan: DataFrame, key: str) -> DataFrame:
     """Spread a table by ``key`` when its files give fewer splits than there are task slots.
@@ -17,6 +22,17 @@ def spread_few_splits(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(slots, key)
 
 
+def text_partitions(df: DataFrame, text: str) -> int:
+    """So many partitions that each gets the words of a bounded length of text, one per task slot at least."""
+    size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TEXT_BYTES))
+
+
+def ids_repeat(df: DataFrame, key: str) -> bool:
+    """Whether some id stands in several rows. Only the ids are shuffled."""
+    return not df.groupBy(key).count().filter("count > 1").isEmpty()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a costly table once, for a plan that reads it several times.
 
