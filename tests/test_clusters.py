@@ -346,3 +346,35 @@ def test_centroids_in_blocks_and_ties(spark, monkeypatch):
     curve = {r["k"]: r["inertia"] for r in clustering.prefix_inertia_curve(frame, table).collect()}
     want = np.minimum.accumulate(distance, axis=1).sum(axis=0)
     assert np.allclose([curve[k] for k in range(1, 11)], want)
+
+
+@pytest.mark.parametrize("max_features", [None, 5, 1000])
+def test_tfidf_ranks_only_terms_that_may_be_first(spark, monkeypatch, max_features):
+    import random
+
+    from tidings.functions.text import ENGLISH_STOP_WORDS
+
+    scored = []
+    kept = topics._small
+    monkeypatch.setattr(topics, "_small", lambda rows: scored.append(kept(rows)) or scored[-1])
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["storm", "coast", "vote", "road", f"rare{rng.randrange(400)}"]) for _ in range(30)) for _ in range(60)]
+    rows = [(1 + i % 2, i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "cluster_id INT, article_id BIGINT, text STRING")
+    found = topics.cluster_tfidf(docs, max_features=max_features).collect()
+    for cluster in (1, 2):
+        got = [(round(r["score"], 9), r["term"]) for r in sorted(found, key=lambda r: r["rank"]) if r["cluster_id"] == cluster]
+        own = [t for c, _, t in rows if c == cluster]
+        assert got == brute_tfidf(own, set(ENGLISH_STOP_WORDS), max_features or 10**9)
+    every = len({(c, term) for c, _, t in rows for term in t.split()})
+    assert scored[0].count() < every
+
+
+def test_tfidf_takes_rows_of_one_id_as_one_document(spark):
+    rows = [(1, 1, "red blue"), (1, 1, "blue"), (1, 2, "green red"), (2, 1, "gold"), (None, 3, "blue")]
+    docs = spark.createDataFrame(rows, "cluster_id INT, article_id BIGINT, text STRING")
+    got = {(r["cluster_id"], r["term"]): r["score"] for r in topics.cluster_tfidf(docs).collect()}
+    idf = {"red": math.log(4 / 3) + 1, "blue": math.log(4 / 2) + 1, "red blue": math.log(4 / 2) + 1}
+    length = math.sqrt(idf["red"] ** 2 + (2 * idf["blue"]) ** 2 + idf["red blue"] ** 2 + 1.0)
+    assert got[1, "blue"] == pytest.approx(2 * idf["blue"] / length / 3)
+    assert got[2, "gold"] == pytest.approx(1 / length) and {c for c, _ in got} == {1, 2}
