@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -204,3 +205,57 @@ def test_short_batches_leave_the_session_as_it_was(spark):
         assert spark.conf.get(name) == "3"
     finally:
         spark.conf.unset(name)
+
+
+def listed(ids, texts):
+    return ids.lists(pa.array(texts, pa.string()), 2).to_pylist()
+
+
+def test_texts_together_have_the_librarys_ids(ids):
+    odd = ["a\x1cb\x85c\x1dd", "\vword,\fWORD;\r", "...", "l'été's ÀÉß!!", "'s a's a!'s <| <|x a<|", "İ K Å ẞ ſ é."]
+    texts = [*TEXTS, None, *odd, *TEXTS[:3]]
+    assert listed(ids, texts) == [[*expected(t or ""), 2] for t in texts]
+    cut = pa.array(texts, pa.string()).slice(3, 9)
+    assert ids.lists(cut, 2).to_pylist() == [[*expected(t or ""), 2] for t in texts[3:12]]
+    assert listed(ids, []) == [] and listed(ids, [None, " "]) == [[2], [2]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aeinst' .,!<|>\n1ÉÀß"))), max_size=5))
+def test_any_texts_together(ids, texts):
+    assert listed(ids, texts) == [[*expected(t), 2] for t in texts]
+
+
+def test_a_word_is_merged_once_for_all_its_copies(monkeypatch):
+    ids = token_files.ChunkIds(Cutter(Path(PATH).read_bytes()))
+    merged = []
+    once = ids.cutter.merged
+    monkeypatch.setattr(ids.cutter, "merged", lambda pieces: merged.extend(pieces) or once(pieces))
+    texts = ["Word, word! other word", "OTHER, café... word, " * 50, "word"]
+    assert listed(ids, texts) == [[*expected(t), 2] for t in texts]
+    assert len(merged) == len(set(merged)) and {"word", "other", ",", "cafÃ©"} <= set(merged)
+    # None of these words was cut or merged by itself.
+    assert not [c for c in (*ids.chunks, *ids.pieces) if c in (b"word,", b"word!", "word")]
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_rows_are_dealt_by_bytes(most):
+    texts = ["abc", None, "", "d" * 30, "ef", "ghij", "k"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    dealt = list(token_files._by_bytes(iter([whole.slice(0, 2), whole.slice(2, 0), whole.slice(2)]), most))
+    assert pa.Table.from_batches(dealt).combine_chunks().to_pylist() == whole.to_pylist()
+    for batch in dealt:
+        sizes = [len(t or "") for t in batch.column(1).to_pylist()]
+        assert sum(sizes) - max(sizes, default=0) <= most
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_files_do_not_depend_on_how_many_bytes_come_together(spark, tmp_path, monkeypatch, most):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None, "One two."])], "doc_id long, text string")
+    digests = []
+    for name in ("plain", "cut"):
+        write_token_files(docs.repartition(3), f"file://{tmp_path}/{name}", PATH, 2)
+        read = read_token_files(spark, f"file://{tmp_path}/{name}")
+        digests.append(sorted(map(str, read.select("doc_id", "start", "n_tokens", "tokens").collect())))
+        monkeypatch.setattr(token_files, "ENCODED_BYTES", most)
+    assert digests[0] == digests[1] and len(digests[0]) == len(TEXTS) + 2
