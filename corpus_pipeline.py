@@ -10,6 +10,8 @@ from tidings.llm.queries import token_digest
 
 #: Strings that a task of the last stage remembers; few, for executors that have run four stages before.
 REMEMBERED = 20_000
+#: Bytes of text that a task of the last stage encodes at a time, for the same reason.
+TOGETHER = 1 << 19
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the corpus, and one row for every document in them."""
-    return token_digest(spark, docs, REMEMBERED)
+    return token_digest(spark, docs, REMEMBERED, TOGETHER)
 
 
 STAGES = [

@@ -521,3 +521,40 @@ def test_preferences(spark):
     talk = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, None, None), (1, 1, "assistant", "a1"), (2, 0, "user", "z"), (None, 0, "user", "n")]
     made = preferences.exchanged_answers(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
     assert {r.pair_id: r.rejected[-1]["text"] for r in made.collect()} == {0: "a1", 1: "a0"}
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 15])
+def test_rows_without_some_ids(spark, monkeypatch, bits):
+    """Few bits make most rows look marked; the rows left are the same."""
+    ids = [*range(-40, 400, 3), 2**62, None, None, 7, 7]
+    docs = spark.createDataFrame([(None if i is None else str(i), f"t{i}", 0) for i in ids], "`doc.id` string, _at string, _part int")
+    gone = {i for i in ids if i is not None and i % 2} | {10_001}
+    listed = spark.createDataFrame([(i,) for i in gone], "gone bigint")
+    monkeypatch.setattr(near_duplicates, "MARKS", 1)
+    # Fewer marks than a map has: all ids share those, and more rows are joined.
+    monkeypatch.setattr(near_duplicates, "MAP_BITS", bits)
+    left = near_duplicates.without(docs, "doc.id", listed)
+    assert left.columns == docs.columns
+    want = [(None if i is None else str(i), f"t{i}", 0) for i in ids if i is None or i not in gone]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    assert near_duplicates.without(docs, "doc.id", listed.limit(0)).count() == len(ids)
+
+
+def test_kept_rows_are_not_shuffled_whole(spark):
+    """With broadcasts by size off, the rows exchanged are those of dropped ids and a few others."""
+    words = [[f"w{i}x{j}" for j in range(12)] for i in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(1000 + i, " ".join(w)) for i, w in enumerate(words[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = near_duplicates.deduplicated(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+        plan = kept._jdf.queryExecution().optimizedPlan()
+        assert "LeftAnti" in plan.toString() and "LeftSemi" not in plan.toString()
+        marked = near_duplicates.without(docs, "doc_id", spark.range(1000, 1020))
+        exchanged = marked._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin" in exchanged.toString() and "BroadcastHashJoin" in exchanged.toString()
+    finally:
+        spark.conf.set(name, before)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidings.llm import token_counts, token_files
+from tidings.llm import queries, token_counts, token_files
 from tidings.llm.common import short_batches
 from tidings.llm.token_files import ids_crc32, read_token_files, write_token_files
 from tidings.llm.wordpiece import Cutter
@@ -259,3 +259,13 @@ def test_files_do_not_depend_on_how_many_bytes_come_together(spark, tmp_path, mo
         digests.append(sorted(map(str, read.select("doc_id", "start", "n_tokens", "tokens").collect())))
         monkeypatch.setattr(token_files, "ENCODED_BYTES", most)
     assert digests[0] == digests[1] and len(digests[0]) == len(TEXTS) + 2
+
+
+def test_token_lists_are_read_back_in_short_batches(spark, tmp_path):
+    """Whatever batches the session sends when the digest is used, whole token lists are not in them."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    digest = queries.token_digest(spark, docs)
+    plan = digest._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "tokens" not in digest.columns
+    want = {i: zlib.crc32(struct.pack(f"<{len(e) + 1}I", *e, 2)) for i, e in enumerate(map(expected, TEXTS))}
+    assert {r.doc_id: r.ids_crc32 for r in digest.collect()} == want

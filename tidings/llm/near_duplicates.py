@@ -39,6 +39,8 @@ SIZE_STEP = 1.05
 HUBS = 256
 #: Texts that are sketched at a time.
 SKETCHED_ROWS = 1000
+#: Bits of one bit map of Spark, and most maps that are sent to the rows of a table (64 MB).
+MAP_BITS, MARKS = 1 << 15, 1 << 14
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
@@ -326,24 +328,47 @@ def near_duplicates(
     )
 
 
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is null or not in the only column of ``ids``, a table of different ids.
+
+    The ids' hashes are marked in bit maps of two bytes an id, ``MARKS`` in all at most, which go to the
+    rows. A row that finds no mark stays where it is; only the others are joined with the ids.
+    """
+    (key,) = ids.columns
+    at, part, marks = (free_name(docs, x) for x in ("_at", "_part", "_marks"))
+    parts = min(max(1, math.ceil(16 * ids.count() / MAP_BITS)), MARKS)
+
+    def placed(rows: DataFrame, value: Column) -> DataFrame:
+        place = F.pmod(F.xxhash64(value), F.lit(parts * MAP_BITS))
+        rows = rows.withColumn(at, place)
+        return rows.withColumn(part, F.floor(F.col(at) / MAP_BITS)).withColumn(at, F.col(at) % MAP_BITS)
+
+    maps = placed(ids, F.col(key)).groupBy(part).agg(F.bitmap_construct_agg(at).alias(marks))
+    value = named(id_col).cast("bigint")
+    seen = placed(docs, value).join(F.broadcast(maps), part, "left")
+    octet = F.substring(marks, F.floor(F.col(at) / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), (F.col(at) % 8).cast("int"))
+    marked = value.isNotNull() & F.coalesce(bit == 1, F.lit(False))
+    own = [named(c) for c in docs.columns]
+    rest = seen.where(marked).select(*own)
+    return seen.where(~marked).select(*own).union(rest.join(ids, value == F.col(key), "left_anti"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One row of every component, with all columns.
 
     Rows without an id stay. Of rows equal in id and text one stays; other texts of a kept id stay too.
-    Only rows of a repeated id are shuffled whole.
+    Only rows of a dropped or repeated id, and a sixteenth of the others, are shuffled whole.
     """
     verdicts = near_duplicates(docs, id_col, text_col, similar).select(named(id_col).alias("id"), "kept")
     counted = verdicts.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.max("kept").alias("kept"))
-    ids = stored(counted.where("kept").select("id", "m"), "kept")
     key, text = free_name(docs, "_kept"), free_name(docs, "_text")
-    ids = ids.withColumnRenamed("id", key)
-
-    def rows_of(some: DataFrame) -> DataFrame:
-        return docs.join(some.select(key), named(id_col).cast("bigint") == F.col(key), "left_semi")
+    ids = stored(counted.where("m > 1 OR NOT kept").withColumnRenamed("id", key), "apart")
 
-    out = rows_of(ids.where("m = 1")).union(docs.where(named(id_col).isNull()))
-    again = ids.where("m > 1")
+    out = without(docs, id_col, ids.select(key))
+    again = ids.where("m > 1 AND kept")
     if not again.isEmpty():
-        hashed = rows_of(again).withColumn(text, F.sha2(named(text_col), 256))
+        rows = docs.join(again.select(key), named(id_col).cast("bigint") == F.col(key), "left_semi")
+        hashed = rows.withColumn(text, F.sha2(named(text_col), 256))
         out = out.union(hashed.dropDuplicates([id_col, text]).drop(text))
     return out

@@ -23,7 +23,7 @@ from tidings.llm import (
     token_counts,
     token_files,
 )
-from tidings.llm.common import scratch_folder, table
+from tidings.llm.common import scratch_folder, stored, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,14 +60,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SECRET_VOCABULARY))
 
 
-def token_digest(spark: SparkSession, docs: DataFrame, remembered: int = token_files.REMEMBERED) -> DataFrame:
+def token_digest(
+    spark: SparkSession, docs: DataFrame, remembered: int = token_files.REMEMBERED, together: int | None = None
+) -> DataFrame:
     """Write token files of the rows below the shared folder, and read their digest back."""
     path = scratch_folder(spark, "tokens")
     vocabulary = public_tokenizers.path(WORD_TOKENIZER)
-    token_files.write_token_files(docs, path, vocabulary, END_ID, remembered=remembered)
+    token_files.write_token_files(docs, path, vocabulary, END_ID, remembered=remembered, together=together)
     written = token_files.read_token_files(spark, path)
     crc = token_files.ids_crc32(F.col("tokens"))
-    return written.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))
+    # Stored, so that token lists are read back in short batches; the digest is a few numbers a document.
+    return stored(written.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32")), "digest")
 
 
 @query("op4_token_files")

@@ -27,7 +27,7 @@ from tidings.llm.wordpiece import Cutter, Remembered, words_and_stops
 #: Chunks and pre-tokens whose ids a task remembers, in each of two generations.
 REMEMBERED = 300_000
 #: Bytes of text that a task encodes at a time; besides a longer text at most as much.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 16 << 20
 #: Pre-tokens that the library merges in one call.
 MERGED_PIECES = 1000
 #: Up to so many files their offsets are broadcast, which saves a shuffle of the tokens.
@@ -140,13 +140,13 @@ def _by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield pa.concat_batches(held)
 
 
-def _encoder(key: str, file: Broadcast, end_id: int, remembered: int):
+def _encoder(key: str, file: Broadcast, end_id: int, remembered: int, together: int):
     """Encodes sorted rows (doc_id, text) and numbers their tokens within the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ChunkIds(per_worker(f"cutter-{key}", lambda: Cutter(file.value)), remembered)
         shard, start = TaskContext.get().partitionId(), 0
-        for rows in _by_bytes(given_back(batches, known), ENCODED_BYTES):
+        for rows in _by_bytes(given_back(batches, known), together):
             if not rows.num_rows:
                 continue
             lists = known.lists(rows.column(1), end_id)
@@ -175,6 +175,7 @@ def write_token_files(
     text_col: str = "text",
     layout: dict[str, str] | None = None,
     remembered: int = REMEMBERED,
+    together: int | None = None,
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write them by ascending id.
 
@@ -183,7 +184,8 @@ def write_token_files(
     before it. A null text counts as empty (only the end id); null ids come first; repeated ids are
     kept, ordered by their texts' hash; other columns are not read; an empty table gives empty files.
     A task remembers the ids of at most four times ``remembered`` short strings, of chunks that are more
-    than a word and its stops: fewer take less memory and more time, and give the same files.
+    than a word and its stops, and encodes ``together`` bytes of text at a time (``ENCODED_BYTES`` if not
+    given): fewer take less memory and more time, and give the same files.
     """
     key, file = broadcast_file(docs.sparkSession, vocabulary)
     rows = docs.select(
@@ -191,8 +193,9 @@ def write_token_files(
     )
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded = ordered.mapInArrow(_encoder(key, file, end_id, remembered), FILE_SCHEMA)
-    with short_batches(docs.sparkSession):
+    encoded = ordered.mapInArrow(_encoder(key, file, end_id, remembered, together or ENCODED_BYTES), FILE_SCHEMA)
+    # Texts of 8 KB on average come in batches of that many bytes.
+    with short_batches(docs.sparkSession, min(1000, max(1, (together or ENCODED_BYTES) >> 13))):
         encoded.write.options(**{**LAYOUT, **(layout or {})}).parquet(path)
 
 

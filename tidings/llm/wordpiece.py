@@ -94,6 +94,8 @@ class Cutter:
         suffix = model["end_of_word_suffix"]
         self.merging = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=suffix))
         self.merging.pre_tokenizer = WhitespaceSplit()
+        # One model for both, held once.
+        self.tokenizer.model = self.merging.model
         #: Whether an id ends a pre-token.
         self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
