@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark import SparkContext
 
 from tidings.llm import (
     decontamination,
@@ -558,3 +559,33 @@ def test_kept_rows_are_not_shuffled_whole(spark):
         assert "SortMergeJoin" in exchanged.toString() and "BroadcastHashJoin" in exchanged.toString()
     finally:
         spark.conf.set(name, before)
+
+
+def test_full_sets_are_listed_once_and_of_nodes_only(spark, monkeypatch):
+    """Nothing that is asked of a set has it listed below the join, for all rows, and again above."""
+    plans, stored = {}, near_duplicates.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(near_duplicates, "stored", kept)
+    words = [f"w{i}" for i in range(40)]
+    # Another text of a node's id has no words.
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "x"])), (1, " "), (3, None), (4, "a b")]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles) for r in found.collect()) == [(1, 0), (1, 36), (2, 37), (3, 0), (4, 1)]
+    assert {r.doc_id: r.component_id for r in found.where("n_shingles > 0").collect()} == {1: 1, 2: 1, 4: 4}
+    listed, below = plans["sets"].split("Join LeftSemi")
+    assert listed.count("ArrowEvalPython") == 1 and "ArrowEvalPython" not in below
+
+
+def test_mix_sends_its_sources_without_python_workers(spark, monkeypatch):
+    """Lists of rows would be turned into Spark's rows by Python workers of their own on the executors."""
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), f"s{i % 3}" if i else None) for i in range(30)], "doc_id long, text string, source string")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **k: pytest.fail("a list of rows was sent"))
+    mixed = mixing.mix(docs).toPandas()
+    assert len(mixed) == 30
+    for _, rows in mixed.groupby("target"):
+        assert abs(rows["taken"].sum() - rows["target"].iloc[0]) <= rows["size"].max()
+    assert mixing.mix(docs.limit(0)).count() == 0

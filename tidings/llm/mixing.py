@@ -14,7 +14,8 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings.llm.common import named, stored
@@ -65,6 +66,12 @@ def source_targets(
     return ranked.select(*sizes.columns, target.alias("target"))
 
 
+def _multipliers(spark: SparkSession, of: dict[int, float]) -> DataFrame:
+    """One row per source. Rows that come in Arrow need no Python workers on the executors, as lists of rows do."""
+    columns = {"k": pa.array(list(of), pa.int32()), "multiplier": pa.array(list(of.values()), pa.float64())}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def solve_multipliers(cells: DataFrame, targets: list, most: float = MOST, steps: int = STEPS) -> list[float]:
     """The multiplier of every source (numbered 0, 1, ...) by Newton steps on the dual.
 
@@ -84,7 +91,7 @@ def solve_multipliers(cells: DataFrame, targets: list, most: float = MOST, steps
     for _ in range(steps):
         if not todo:
             break
-        given = spark.createDataFrame([(k, now[k]) for k in sorted(todo)], "k int, multiplier double")
+        given = _multipliers(spark, {k: now[k] for k in sorted(todo)})
         rate = F.exp(F.least(F.col("multiplier") * F.col("size"), F.lit(top)))
         words = F.col("n") * F.col("size") * rate
         bent = F.when(F.col("multiplier") * F.col("size") < top, words * F.col("size")).otherwise(0.0)
@@ -163,13 +170,19 @@ def mix(
     # One row per source: the parameters of the mix.
     targets = sorted((r.asDict() for r in wanted.collect()), key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = docs.sparkSession
-    numbered = spark.createDataFrame(
-        [(k, t["source"] is None, t["source"] or "", t["source_size"], t["target"]) for k, t in enumerate(targets)],
-        "k int, none boolean, name string, source_size bigint, target double",
-    ).select("k", F.struct("none", "name").alias("s"), "source_size", "target")
+    names = pa.table(
+        {
+            "k": pa.array(range(len(targets)), pa.int32()),
+            "none": pa.array([t["source"] is None for t in targets], pa.bool_()),
+            "name": pa.array([t["source"] or "" for t in targets], pa.string()),
+            "source_size": pa.array([t["source_size"] for t in targets], pa.int64()),
+            "target": pa.array([t["target"] for t in targets], pa.float64()),
+        }
+    )
+    numbered = spark.createDataFrame(names).select("k", F.struct("none", "name").alias("s"), "source_size", "target")
     counted = stored(cells.join(numbered.select("k", "s"), "s").select("k", "size", "n"), "counted")
     found = solve_multipliers(counted, targets, most)
-    multipliers = spark.createDataFrame(list(enumerate(found)), "k int, multiplier double")
+    multipliers = _multipliers(spark, dict(enumerate(found)))
     rated = counted.join(multipliers, "k").withColumn(
         "rate", F.exp(F.least(F.col("multiplier") * F.col("size"), F.lit(math.log(most))))
     )

@@ -313,7 +313,9 @@ def near_duplicates(
     sets = rows.join(nodes, F.col("id") == F.col("node"), "left_semi").select(
         F.col("id").alias("node"), shingles(F.col("text")).alias("shingles")
     )
-    sets = stored(sets.select("node", F.size("shingles").alias("n"), "shingles").where("n > 0"), "sets")
+    # Another text of a node's id may have no words. That is asked of the stored sets: asked before, Spark would
+    # list the sets of all rows below the join for it, and the nodes' once more above.
+    sets = stored(sets.select("node", F.size("shingles").alias("n"), "shingles"), "sets").where("n > 0")
 
     hubs = buckets.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
     labels = nodes.select("node", F.col("node").alias("component"))
