@@ -109,3 +109,30 @@ def test_repeated_ids_count_as_one_document(spark):
     want = brute_weights({1: "red blue blue green", 2: "red red", 3: ""})
     assert {key: pytest.approx(r["weight"]) for key, r in got.items()} == {(i, w): x for i, c in want.items() for w, x in c.items()}
     assert got[1, "red"]["df"] == 2
+
+
+def nested_vectors_of(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING").repartition(3)
+    return sparse.sparse_vectors(sparse.word_weights(docs, nested=True))
+
+
+def test_nested_weights_equal_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "CHUNK_WORDS", 200)  # many chunks
+    texts = texts_with_copies(3, 80) | {500: None, 501: "", 502: "a b", None: "null ids count for words"}
+    for rows in (list(texts.items()), [*texts.items(), (7, "further words of seven")]):  # ids that repeat too
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+        nested = sparse.sparse_vectors(sparse.word_weights(docs, nested=True)).filter("id IS NOT NULL").collect()
+        want = sparse.sparse_vectors(sparse.word_weights(docs)).filter("id IS NOT NULL").collect()
+        assert {r["id"]: r["ranks"] for r in nested} == {r["id"]: r["ranks"] for r in want} and len(nested) == 80
+        weights = {r["id"]: r["weights"] for r in want}
+        assert all(r["weights"] == pytest.approx(weights[r["id"]]) for r in nested)
+
+
+def test_words_are_not_sent_to_each_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "PIECE_ROWS", 3)
+    monkeypatch.setattr(sparse, "CELLS", 50)
+    texts = texts_with_copies(11, 120)
+    found = sparse.sparse_neighbours(nested_vectors_of(spark, texts), 4, 0.8, tile_rows=10)
+    assert {(r["id"], r["other"]) for r in found.collect()} == brute_neighbours(brute_weights(texts), 4, 0.8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "shuffle_replicate_nl" in plan  # blocks are read by the tasks that need them

@@ -4,12 +4,11 @@ A document's vector has one weight per word it holds: tf * (ln((1 + n) / (1 + df
 one. No two words share a dimension, as they may in a hashed vector.
 
 The join orders all words alike, the rarest first. At a word that two vectors share, the product of what each
-has left from there on bounds all that they share from there on. So similar vectors meet at their first shared
-word with a product above the threshold, and all words at which the product is above a slightly lower value
-add up to at least the difference. Only the words before that value is reached travel to the pairs of blocks of
-documents in which the words stand on both sides; each pair of blocks is a task of bounded size. Of the
-documents that may be similar, the vectors follow, once per pair of blocks; at most ``k`` neighbours per document
-leave a task.
+has left from there on bounds all that they share from there on. So all words at which the product is above a
+value slightly below the threshold add up to at least the difference, if the vectors are similar. Vectors are
+stored once, in blocks of bounded size. Every unordered pair of blocks is a task that reads the two blocks, adds up
+the words its documents share early, and compares those that may be similar in full; nothing but at most ``k``
+neighbours per document and task is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,12 +26,16 @@ from pyspark.sql import functions as F
 from tidings.functions.text import TOKEN_PATTERN, term_counts, with_words
 from tidings.operators import similarity
 from tidings.operators.kernels import best_of_pairs
-from tidings.sources.layout import ids_repeat, materialize, text_partitions
-
-#: Documents of a block, and meetings (document, document, word) added up at a time.
-TILE_ROWS, MEETINGS = 8192, 4_000_000
-#: Most meetings of a pair of blocks, on average.
-MOST_MEETINGS = 20_000_000
+from tidings.sources.layout import TEXT_BYTES, ids_repeat, materialize, text_partitions
+
+#: Documents and words of documents of a block at most, documents that are packed together, and text of a block.
+TILE_ROWS, TILE_WORDS, PIECE_ROWS, TILE_BYTES = 16_384, 2_000_000, 256, 12 << 20
+#: Words of documents that are numbered together.
+CHUNK_WORDS = 1 << 19
+#: Steps in which early weights, and what is left, are stored.
+STEPS = 65_535
+#: Pairs of documents whose shared words are added up at a time.
+CELLS = 250_000
 #: How far below the threshold shared words are still added up.
 MARGIN = 0.02
 _ROOM = 1e-5
@@ -39,17 +43,46 @@ _ROOM = 1e-5
 DECIMALS = 9
 
 _EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
+_CHUNK = "chunk BIGINT, docs ARRAY<{0}>, held BIGINT, size BIGINT, words BINARY, own BINARY, counts BINARY, codes BINARY, tfs BINARY"
+_BLOCK = (
+    "block BIGINT, ids ARRAY<BIGINT>, h1 ARRAY<BIGINT>, h2 ARRAY<BIGINT>, size BIGINT, words BINARY, early BIGINT, code BINARY, "
+    "doc BINARY, left BINARY, weight BINARY, counts BINARY, ranks ARRAY<BINARY>, weights ARRAY<BINARY>"
+)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """An array, byte by byte, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
 
+def _unpack(packed: bytes | pa.Buffer, kind: type, size: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
 
-def word_weights(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def word_weights(docs: DataFrame, doc: str = "doc_id", text: str = "text", nested: bool = False) -> DataFrame:
     """Unit-length weights in long form: ``doc, word, df, weight``; documents without words have no rows.
 
     Words are counted where their text lies, and travel twice: to the others of the same word, and back to
     those of their document. Rows of one id count as one document.
+
+    ``nested`` gives ``doc, words, weights`` instead, a row per document, with its words as 64-bit hashes, the
+    rarest first. A document's words then stay together: only the different words of a chunk of documents travel,
+    and those found in other chunks too come back with their frequency.
     """
     parts = text_partitions(docs, text)
+    repeated = ids_repeat(docs, doc)
+    if nested:
+        listed = _by_document(word_weights(docs, doc, text), doc) if repeated else _nested_weights(docs, doc, text, parts)
+        return listed.coalesce(max(1, math.ceil(parts * TEXT_BYTES / TILE_BYTES)))
     counts = term_counts(with_words(docs.select(doc, text), text), "words", doc).withColumnRenamed("term", "word").drop("share")
-    if ids_repeat(docs, doc):
+    if repeated:
         counts = counts.groupBy(doc, "word").agg(F.sum("tf").alias("tf"))
     total = docs.sparkSession.range(1).select(F.lit(_documents_with_words(docs, doc, text)).alias("n"))
     spread = counts.repartition(parts, "word")
@@ -69,14 +102,98 @@ def _documents_with_words(docs: DataFrame, doc: str, text: str) -> int:
     return docs.filter(worded).select(F.count_distinct(doc)).head()[0]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, hashes of words) in chunks, their different words numbered by their hash."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        batch, sizes = batch.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_WORDS, side="right")))
+            ids, row = batch.column(0).slice(low, high - low), np.repeat(np.arange(high - low), sizes[low:high])
+            words, code = np.unique(batch.column(1).slice(low, high - low).flatten().to_numpy(), return_inverse=True)
+            met, tf = np.unique(row * len(words) + code, return_counts=True)
+            row, code = met // len(words), met % len(words)
+            counts = np.bincount(row, minlength=high - low)
+            steps = np.diff(code, prepend=0)
+            steps[_starts(counts)[:-1]] = code[_starts(counts)[:-1]]
+            packed = [words, np.bincount(code).astype(np.int32), counts.astype(np.int32), steps.astype(np.int32), tf.astype(np.int32)]
+            columns = [
+                pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([len(ids) - ids.null_count], pa.int64()), pa.array([len(words)], pa.int64()),
+                *(pa.array([_pack(x)], pa.binary()) for x in packed),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "held", "size", "words", "own", "counts", "codes", "tfs"])
+            chunk, low = chunk + 1, high
+        pa.default_memory_pool().release_unused()
+
+
+def _words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each chunk: ``word, chunk, place, own``, with the number of its documents in the chunk."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            size = row["size"]
+            columns = [_unpack(row["words"], np.int64, size), np.full(size, row["chunk"]), np.arange(size, dtype=np.int32)]
+            columns = [pa.array(x) for x in (*columns, _unpack(row["own"], np.int32, size))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "place", "own"])
+
+
+def _weighted(doc: str, total: int):
+    """A chunk's documents with their weights, the words by rarity, then by hash."""
+
+    def run(chunks: pa.Table, frequent: pa.Table) -> pa.Table:
+        kind = chunks.schema.field("docs").type.value_type
+        found = [pa.table([pa.array([], kind), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], [doc, "words", "weights"])]
+        for row, ids in zip(chunks.drop_columns(["docs"]).to_pylist(), chunks.column("docs").combine_chunks(), strict=True):
+            words, df = _unpack(row["words"], np.int64, row["size"]), _unpack(row["own"], np.int32, row["size"])
+            df[frequent.column("place").to_numpy()] = frequent.column("df").to_numpy()
+            counts = _unpack(row["counts"], np.int32, len(ids))
+            starts = _starts(counts)
+            steps = _unpack(row["codes"], np.int32, starts[-1]).astype(np.int64)
+            code = np.cumsum(steps)
+            code -= np.repeat(code[starts[:-1]] - steps[starts[:-1]], counts)
+            weight = _unpack(row["tfs"], np.int32, starts[-1]) * (np.log((1 + total) / (1 + df)) + 1)[code]
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, starts[:-1])), counts)
+            place = np.empty(len(words), np.int64)
+            place[np.lexsort((words, df))] = np.arange(len(words))
+            order = np.argsort(np.repeat(np.arange(len(ids)), counts) * len(words) + place[code])
+            offsets = pa.array(starts.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words[code[order]], weight[order])]
+            found.append(pa.table([ids.values, *lists], [doc, "words", "weights"]))
+        return pa.concat_tables(found)
+
+    return run
+
+
+def _nested_weights(docs: DataFrame, doc: str, text: str, parts: int) -> DataFrame:
+    """``word_weights`` in nested form, of documents whose ids are all different."""
+    kind = docs.schema[doc].dataType.simpleString()
+    hashed = with_words(docs.select(doc, text), text).select(doc, F.transform("words", lambda w: F.xxhash64(w)))
+    chunks = materialize(hashed.mapInArrow(_chunks, _CHUNK.format(kind)))
+    total = chunks.agg(F.sum("held")).head()[0] or 0
+    listed = chunks.select("chunk", "size", "words", "own").mapInArrow(_words_of_chunks, "word BIGINT, chunk BIGINT, place INT, own INT")
+    seen = F.sum("own").over(W.partitionBy("word"))
+    frequent = listed.repartition(parts, "word").withColumn("df", seen).filter("df > own").select("chunk", "place", F.col("df").cast("int"))
+    schema = f"`{doc}` {kind}, words ARRAY<BIGINT>, weights ARRAY<DOUBLE>"
+    return chunks.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_weighted(doc, total), schema)
+
+
+def _by_document(weights: DataFrame, doc: str) -> DataFrame:
+    """Long weights in nested form."""
+    word = F.struct("df", F.xxhash64("word").alias("h"), "weight")
+    listed = weights.groupBy(doc).agg(F.array_sort(F.collect_list(word)).alias("v"))
+    return listed.select(doc, F.col("v.h").alias("words"), F.col("v.weight").alias("weights"))
+
+
 def sparse_vectors(weights: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``id, ranks, weights``: a document's words by rarity, then by their hash; a word is known by its hash.
 
-    One list per document, as long as it has words.
+    One list per document, as long as it has words. Weights may be long or nested.
     """
-    word = F.struct("df", F.xxhash64("word").alias("h"), "weight")
-    listed = weights.groupBy(doc).agg(F.array_sort(F.collect_list(word)).alias("v"))
-    return listed.select(F.col(doc).alias("id"), F.col("v.h").alias("ranks"), F.col("v.weight").alias("weights"))
+    listed = weights if "words" in weights.columns else _by_document(weights, doc)
+    return listed.select(F.col(doc).alias("id"), F.col("words").alias("ranks"), "weights")
 
 
 def prefix_lengths(weights: np.ndarray, starts: np.ndarray, threshold: float) -> np.ndarray:
@@ -89,153 +206,222 @@ def prefix_lengths(weights: np.ndarray, starts: np.ndarray, threshold: float) ->
     return counted[ends] - counted[starts[:-1]]
 
 
-def _prefixes(least: float):
-    """The words of each vector before what is left is shorter than ``least``, with what is left from each on."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that all depend on all bits of the given ones."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _block(number: int, ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, weights: np.ndarray, least: float) -> dict:
+    """A block's vectors: words numbered by hash, what stands early (by word, what is left falling), and all of them."""
+    starts, doc = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    known, code = np.unique(words, return_inverse=True)
+    rounded = np.round(weights, 12).view(np.uint64)
+    hashes = []
+    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        mixed = _mixed(words.view(np.uint64) ^ _mixed(rounded + np.uint64(salt)))
+        hashes.append(np.add.reduceat(mixed, starts[:-1]).view(np.int64))
+    lengths = prefix_lengths(weights, starts, least)
+    early = np.arange(len(words)) - starts[doc] < lengths[doc]
+    squares = np.concatenate([[0.0], np.cumsum(weights**2)])
+    left = np.sqrt(np.maximum(squares[starts[doc + 1]] - squares[:-1], 0.0))[early]
+    # Both in steps, rounded up, so that bounds stay bounds.
+    left = np.ceil(np.clip((left - least) / (1.0 - least), 0.0, 1.0) * STEPS).astype(np.uint16)
+    early_code, early_doc, early_weight = code[early], doc[early], np.ceil(np.minimum(weights[early], 1.0) * STEPS).astype(np.uint16)
+    order = np.lexsort((STEPS - left.astype(np.int32), early_code))
+    pieces = [slice(starts[a], starts[min(a + PIECE_ROWS, len(sizes))]) for a in range(0, len(sizes), PIECE_ROWS)]
+    return {
+        "block": number, "ids": ids, "h1": hashes[0], "h2": hashes[1], "size": len(known), "words": _pack(known),
+        "early": len(order), "code": _pack(early_code[order].astype(np.int32)), "doc": _pack(early_doc[order].astype(np.uint16)),
+        "left": _pack(left[order]), "weight": _pack(early_weight[order]), "counts": _pack(sizes.astype(np.int32)),
+        "ranks": [_pack(code[x].astype(np.int32)) for x in pieces], "weights": [_pack(weights[x]) for x in pieces],
+    }
+
+
+def _blocks(tile_rows: int, least: float):
+    """The vectors of each partition in blocks, a row each."""
+    most = min(tile_rows, 1 << 15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([
+            *((x, pa.list_(pa.int64()) if x in ("ids", "h1", "h2") else pa.int64()) for x in ("block", "ids", "h1", "h2", "size")),
+            ("words", pa.binary()), ("early", pa.int64()), *((x, pa.binary()) for x in ("code", "doc", "left", "weight", "counts")),
+            ("ranks", pa.list_(pa.binary())), ("weights", pa.list_(pa.binary())),
+        ])
+        number, held, words = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed() -> pa.RecordBatch:
+            ids, sizes, ranks, weights = (np.concatenate(side) for side in zip(*held, strict=True))
+            return pa.RecordBatch.from_pylist([_block(number, ids, sizes, ranks, weights, least)], schema)
+
         for batch in batches:
-            ranks, weights = batch.column(1), batch.column(2)
-            starts = np.concatenate([[0], np.cumsum(ranks.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            flat = weights.flatten().to_numpy(zero_copy_only=False)
-            lengths = prefix_lengths(flat, starts, least)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            squares = np.concatenate([[0.0], np.cumsum(flat**2)])
-            left = np.sqrt(np.maximum(squares[starts[row + 1]] - squares[at], 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)), ranks.flatten().take(pa.array(at)),
-                    pa.array(left.astype(np.float32)), pa.array(flat[at].astype(np.float32)),
-                ],
-                names=["id", "word", "left", "weight"],
-            )
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                rows, before = sum(len(x[0]) for x in held), ends[low - 1] if low else 0
+                fit = min(int(np.searchsorted(ends, before + TILE_WORDS - words, side="right")), low + most - rows)
+                if fit <= low and held:
+                    yield packed()
+                    number, held, words = number + 1, [], 0
+                    continue
+                high = max(fit, low + 1)
+                ids, ranks, weights = (batch.column(i).slice(low, high - low) for i in range(3))
+                sizes = ranks.value_lengths().to_numpy(zero_copy_only=False)
+                held.append((ids.to_numpy(), sizes, *(x.flatten().to_numpy() for x in (ranks, weights))))
+                words, low = words + int(sizes.sum()), high
+        if held:
+            yield packed()
 
     return run
 
 
-def _meetings(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (first, second) of all pairs within groups of sorted rows, a bounded number at a time."""
-    # Row i meets the rows of its group behind it.
-    behind = np.repeat(start + size, size) - np.arange(len(size) and size.sum()) - 1
-    ends = np.cumsum(behind)
-    low = 0
-    while low < len(behind):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEETINGS, side="right")))
-        n = behind[low:high]
-        first = np.repeat(np.arange(low, high), n)
-        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        low = high
-
-
-def _meet(threshold: float, lower: float):
-    """Pairs of documents of two blocks that may be similar, by the words they share early."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        word, block, ids = (table.column(n).to_numpy() for n in ("word", "block", "id"))
-        left, weight = (table.column(n).to_numpy().astype(np.float64) for n in ("left", "weight"))
-        known, doc = np.unique(ids, return_inverse=True)
-        order = np.argsort(word, kind="stable")
-        word, block, doc, left, weight = (x[order] for x in (word, block, doc, left, weight))
-        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
-        size = np.diff(np.concatenate([start, [len(word)]]))
-        across = key[0].as_py() != key[1].as_py()
-        pairs, sums, most = np.empty(0, np.int64), np.empty(0), np.empty(0)
-        for a, b in _meetings(start, size):
-            both = left[a] * left[b]
-            kept = both > lower
-            if across:
-                kept &= block[a] != block[b]
-            a, b, both = a[kept], b[kept], both[kept]
-            met = np.minimum(doc[a], doc[b]) * len(known) + np.maximum(doc[a], doc[b])
-            pairs, place = np.unique(np.concatenate([pairs, met]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, weight[a] * weight[b]]), len(pairs))
-            highest = np.zeros(len(pairs))
-            np.maximum.at(highest, place, np.concatenate([most, both]))
-            most = highest
-        pairs = pairs[(sums > threshold - lower - _ROOM) & (most > threshold - _ROOM)]
-        found = [pa.array(known[x]) for x in (pairs // max(1, len(known)), pairs % max(1, len(known)))]
-        blocks = [pa.array(np.full(len(pairs), key[i].as_py(), np.int32)) for i in (0, 1)]
-        return pa.table([*blocks, *found], names=["a", "b", "id", "other"])
+class _Stored:
+    """A block in a row of pairs of blocks, read where it lies."""
 
-    return run
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str):
+        self.batch, self.at, self.side = batch, row, side
 
+    def __getitem__(self, name: str) -> int | pa.Buffer | pa.Array | None:
+        value = self.batch.column(self.batch.schema.get_field_index(f"{self.side}_{name}"))[self.at]
+        if not value.is_valid:
+            return None
+        kind = value.type
+        return value.values if pa.types.is_list(kind) else value.as_buffer() if pa.types.is_binary(kind) else value.as_py()
 
-def _compare(k: int, threshold: float):
-    """The ``k`` best of the possible pairs of two blocks, for either document of each, from their vectors."""
-
-    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids = vectors.column("id").to_numpy()
-        order = np.argsort(ids)
-        sizes = vectors.column("ranks").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        ranks = vectors.column("ranks").combine_chunks().flatten().to_numpy()
-        weights = vectors.column("weights").combine_chunks().flatten().to_numpy()
-        one, two = (order[np.searchsorted(ids, pairs.column(n).to_numpy(), sorter=order)] for n in ("id", "other"))
-        by = np.lexsort((two, one))
-        one, two = one[by], two[by]
-        scores = np.zeros(len(one))
-        heads = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else []
-        for low, high in zip(heads, [*heads[1:], len(one)], strict=True):
-            own = slice(starts[one[low]], starts[one[low] + 1])
-            words = np.argsort(ranks[own])
-            sorted_words, own_weights = ranks[own][words], weights[own][words]
-            others = two[low:high]
-            n = sizes[others]
-            at = np.repeat(starts[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.minimum(np.searchsorted(sorted_words, ranks[at]), len(sorted_words) - 1)
-            product = np.where(sorted_words[place] == ranks[at], own_weights[place] * weights[at], 0.0)
-            scores[low:high] = np.bincount(np.repeat(np.arange(len(others)), n), product, len(others))
-        scores = np.round(scores, DECIMALS)
-        kept = scores > threshold
-        one, two, scores = ids[one[kept]], ids[two[kept]], scores[kept]
-        found = []
-        for own, other in ((one, two), (two, one)):
-            best = best_of_pairs(own, scores, other, k)
-            found.append((own[best], other[best], scores[best]))
-        own, other, similarity = (np.concatenate(side) for side in zip(*found, strict=True))
-        return pa.table({"id": own, "other": other, "similarity": similarity})
+
+def _early(block: _Stored, lower: float) -> tuple[np.ndarray, ...]:
+    """What stands early in a block's vectors: word, document, what is left, weight; not of copies of other vectors."""
+    kinds = {"code": np.int32, "doc": np.uint16, "left": np.uint16, "weight": np.uint16}
+    columns = [_unpack(block[x], kind, block["early"]) for x, kind in kinds.items()]
+    if block["dropped"] is not None:
+        dropped = np.unpackbits(np.frombuffer(block["dropped"], np.uint8), bitorder="little").astype(bool)
+        kept = ~dropped[columns[1]]
+        columns = [x[kept] for x in columns]
+    code, doc, left, weight = columns
+    return code, doc, lower + left * ((1.0 - lower) / STEPS), weight / STEPS
+
+
+def _possible(one: _Stored, two: _Stored, here: np.ndarray, lower: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents of two blocks whose early shared words add up to more than ``least``.
+
+    ``here`` has the number in the second block of the first one's words, or -1. A word's documents in the second
+    block come by what they have left, so those that are too far on are not looked at.
+    """
+    code, doc, left, weight = _early(one, lower)
+    codes, docs, lefts, weights = _early(two, lower)
+    code = here[code]
+    shared = np.flatnonzero(code >= 0)
+    start = np.searchsorted(codes, np.arange(two["size"]))[code[shared]]
+    n = np.searchsorted(codes * 2.0 + (1.0 - lefts), code[shared] * 2.0 + (1.0 - (lower - _ROOM) / left[shared])) - start
+    shared, start, n = shared[n > 0], start[n > 0], n[n > 0]
+    order = np.argsort(doc[shared], kind="stable")
+    doc, weight, start, n = doc[shared][order].astype(np.int64), weight[shared][order], start[order], n[order]
+    width, docs = int(docs.max(initial=0)) + 1, docs.astype(np.int64)
+    step = max(1, CELLS // width)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for first in range(0, int(doc.max(initial=-1)) + 1, step):
+        low, high = np.searchsorted(doc, (first, first + step))
+        if low < high:
+            m = n[low:high]
+            at = np.arange(m.sum()) + np.repeat(start[low:high] - (np.cumsum(m) - m), m)
+            cell = np.repeat((doc[low:high] - first) * width, m) + docs[at]
+            sums = np.bincount(cell, np.repeat(weight[low:high], m) * weights[at])
+            met = np.flatnonzero(sums > least)
+            found.append((met // width + first, met % width))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
+class _Full:
+    """A block's whole vectors, unpacked a piece at a time as they are asked for; ``most`` pieces are kept."""
+
+    def __init__(self, block: _Stored, most: int):
+        self.block, self.starts, self.most = block, _starts(_unpack(block["counts"], np.int32, len(block["ids"]))), most
+        self.packed, self.pieces = {x: block[x] for x in ("ranks", "weights")}, {}
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        piece = i // PIECE_ROWS
+        first = self.starts[piece * PIECE_ROWS]
+        if piece not in self.pieces:
+            size = self.starts[min((piece + 1) * PIECE_ROWS, len(self.starts) - 1)] - first
+            if len(self.pieces) >= self.most:
+                self.pieces.clear()
+            kinds = (("ranks", np.int32), ("weights", np.float64))
+            self.pieces[piece] = [_unpack(self.packed[name][piece].as_buffer(), kind, size) for name, kind in kinds]
+        part = slice(self.starts[i] - first, self.starts[i + 1] - first)
+        return tuple(x[part] for x in self.pieces[piece])
+
+
+def _cosines(one: _Stored, two: _Stored, here: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of documents of two blocks, by the first one's document."""
+    firsts, seconds, scores = _Full(one, 1), _Full(two, 64), np.zeros(len(a))
+    spread = np.zeros(two["size"] + 1)  # the last place takes words that the second block doesn't have
+    heads = np.flatnonzero(np.diff(a, prepend=-1))
+    for low, high in zip(heads, [*heads, len(a)][1:], strict=True):
+        words, weights = firsts.row(a[low])
+        spread[here[words]] = weights
+        spread[-1] = 0.0
+        for i in range(low, high):
+            words_b, weights_b = seconds.row(b[i])
+            scores[i] = spread[words_b] @ weights_b
+        spread[here[words]] = 0.0
+    return np.round(scores, DECIMALS)
+
+
+def _meet(k: int, threshold: float, lower: float):
+    """The ``k`` best neighbours that documents of two blocks have among each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (_Stored(batch, i, side) for side in ("a", "b"))
+                words, others = (_unpack(x["words"], np.int64, x["size"]) for x in (one, two))
+                at = np.minimum(np.searchsorted(others, words), len(others) - 1)
+                here = np.where(others[at] == words, at, -1)
+                a, b = _possible(one, two, here, lower, threshold - lower - _ROOM)
+                if one["block"] == two["block"]:
+                    a, b = a[a < b], b[a < b]
+                scores = _cosines(one, two, here, a, b)
+                kept = scores > threshold
+                a, b, scores = one["ids"].to_numpy()[a[kept]], two["ids"].to_numpy()[b[kept]], scores[kept]
+                found = []
+                for own, other in ((a, b), (b, a)):
+                    best = best_of_pairs(own, scores, other, k)
+                    found.append((own[best], other[best], scores[best]))
+                columns = [pa.array(np.concatenate(side)) for side in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "other", "similarity"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal vectors (``rep, own``), known by a 128-bit hash, and their other members (``rep, id``)."""
-    rounded = F.transform("weights", lambda x: F.round(x, 12))
-    keyed = vectors.select("id", F.xxhash64("ranks", rounded).alias("_h1"), F.xxhash64(F.lit(1), "ranks", rounded).alias("_h2"))
-    groups = keyed.groupBy("_h1", "_h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    others = keyed.join(groups, ["_h1", "_h2"]).filter("id <> rep").select("rep", "id")
+def _copies(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal vectors (``rep, own``), known by a 128-bit hash, and their other members (``rep, id, block, row``)."""
+    groups = keys.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    others = keys.join(groups, ["h1", "h2"]).filter("id <> rep").select("rep", "id", "block", "row")
     return groups.select("rep", F.lit(1.0).alias("own")), others
 
 
 def sparse_neighbours(vectors: DataFrame, k: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` most similar other documents above a threshold: ``id, other, similarity, rank``.
 
-    ``vectors`` is read several times and should be a stored table. Ties go to the lower id.
+    ``vectors`` is read once. Every partition of it becomes a block, or several if it holds much; partitions of some
+    thousand documents are best. Ties go to the lower id.
     """
     if not 0 < threshold < 1:
         raise ValueError("the prefix filter needs a threshold between 0 and 1")
     lower = max(threshold - MARGIN, threshold / 2)
-    groups, others = (materialize(x) for x in _copies(vectors))
-    distinct = vectors.join(others.select("id"), "id", "left_anti")
-    words = distinct.mapInArrow(_prefixes(lower), "id BIGINT, word BIGINT, left FLOAT, weight FLOAT")
-    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("most")).filter("n > 1")
-    size = shared.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("meetings")).head()["meetings"] or 0
-    blocks = max(1, math.ceil(vectors.count() / tile_rows), math.ceil(math.sqrt(2 * size / MOST_MEETINGS)))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    words = words.withColumn("block", block).repartition("word")
-    held = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.max("left").alias("most"), F.collect_set("block").alias("blocks")
-    ).filter("n > 1")
-    useful = words.join(held, "word").filter(F.col("left") * F.col("most") > lower - _ROOM)
-    met = useful.withColumn("_other", F.explode("blocks")).select(
-        F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b"), "word", "block", "id", "left", "weight"
-    )
-    schema = "a INT, b INT, id BIGINT, other BIGINT"
-    pairs = materialize(met.groupBy("a", "b").applyInArrow(_meet(threshold, lower), schema))
-    both = F.explode(F.array("id", "other"))
-    ends = pairs.select(F.col("a").alias("at_a"), F.col("b").alias("at_b"), both.alias("id")).distinct()
-    wanted = ends.join(distinct, "id")
-    edges = pairs.groupBy("a", "b").cogroup(wanted.groupBy("at_a", "at_b")).applyInArrow(_compare(k, threshold), _EDGES)
+    known = vectors.filter("id IS NOT NULL").select("id", "ranks", "weights")
+    blocks = materialize(known.mapInArrow(_blocks(tile_rows, lower), _BLOCK))
+    zipped = F.posexplode(F.arrays_zip("ids", "h1", "h2")).alias("row", "_d")
+    keys = materialize(blocks.select("block", zipped).select("block", "row", F.col("_d.ids").alias("id"), "_d.h1", "_d.h2"))
+    groups, others = (materialize(x) for x in _copies(keys))
+    # Of each block, 4 KB that tell which of its vectors are copies of others.
+    dropped = others.groupBy("block").agg(F.bitmap_construct_agg(F.col("row").cast("bigint")).alias("dropped"))
+    held = blocks.join(F.broadcast(dropped), "block", "left").drop("h1", "h2")
+    one, two = (held.select([F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in ("a", "b"))
+    met = one.join(two.hint("shuffle_replicate_nl"), F.col("a_block") <= F.col("b_block"))
+    edges = met.mapInArrow(_meet(k, threshold, lower), _EDGES)
     best = W.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
     ranked = edges.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
-    return similarity.expand_copies(vectors, groups, others, ranked, k, threshold)
+    return similarity.expand_copies(keys, groups, others, ranked, k, threshold)

@@ -134,7 +134,8 @@ def articles(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFram
         .groupBy(F.expr("event_id DIV 10").alias("doc_id"))
         .agg(F.min("ts").alias("published"))
     )
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    # Before the joins, so that texts do not travel where only titles are asked for.
+    documents = documents.withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
     made_url = F.concat(
         F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"), F.lit("/"),
         F.col("doc_id").cast("string"),
@@ -149,8 +150,8 @@ def articles(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFram
             "lang",
             "source",
             "text",
-            title.alias("title"),
-            F.col("text").substr(F.length(title) + 2, F.length("text")).alias("description"),
+            "title",
+            F.col("text").substr(F.length("title") + 2, F.length("text")).alias("description"),
             url.alias("url"),
             urls.domain_of(url).alias("domain"),
             "published",

@@ -470,7 +470,7 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a sparse vector, compared at the default threshold."""
-    vectors = materialize(sparse.sparse_vectors(sparse.word_weights(b.texts(spark, sf_dir))))
+    vectors = sparse.sparse_vectors(sparse.word_weights(b.texts(spark, sf_dir), nested=True))
     edges = sparse.sparse_neighbours(vectors, similarity.NEIGHBOURS, similarity.SIMILARITY_THRESHOLD)
     return _hashed_titles(similarity.pairs_of(edges, b.articles(spark, sf_dir)))
 
