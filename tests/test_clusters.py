@@ -378,3 +378,34 @@ def test_tfidf_takes_rows_of_one_id_as_one_document(spark):
     length = math.sqrt(idf["red"] ** 2 + (2 * idf["blue"]) ** 2 + idf["red blue"] ** 2 + 1.0)
     assert got[1, "blue"] == pytest.approx(2 * idf["blue"] / length / 3)
     assert got[2, "gold"] == pytest.approx(1 / length) and {c for c, _ in got} == {1, 2}
+
+
+@pytest.mark.parametrize("max_features", [20])
+def test_few_terms_travel_before_the_first_are_known(spark, monkeypatch, max_features):
+    import random
+
+    from tidings.functions import text
+    from tidings.functions.text import ENGLISH_STOP_WORDS
+
+    monkeypatch.setattr(text, "COUNTED_WORDS", 4000)  # several chunks
+    monkeypatch.setattr(topics, "LEAST_COUNT", 0.02)
+    known = []
+    possible = topics.possible_terms
+    monkeypatch.setattr(topics, "possible_terms", lambda *a: known.append(possible(*a)) or known[-1])
+    rng = random.Random(9)
+    frequent = ["storm", "coast", "vote", "road", "one", "two", "en", "de"] + [f"some{i}" for i in range(16)]
+
+    def written():
+        return " ".join(rng.choice(frequent) if rng.random() < 0.97 else f"rare{rng.randrange(4000)}" for _ in range(60))
+
+    # Clusters named by words of theirs, and a small one, of which no term is frequent.
+    rows = [(("en", "de")[i % 2], i, written()) for i in range(600)] + [("few", 1000 + i, f"rare{i} storm{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "cluster_id STRING, article_id BIGINT, text STRING").coalesce(2)
+    found = topics.cluster_tfidf(docs, max_features=max_features).collect()
+    for cluster in ("en", "de", "few"):
+        got = [(round(r["score"], 9), r["term"]) for r in sorted(found, key=lambda r: r["rank"]) if r["cluster_id"] == cluster]
+        assert got == brute_tfidf([t for c, _, t in rows if c == cluster], set(ENGLISH_STOP_WORDS), max_features or 10**9)
+    terms, whole = known[0]
+    every = {(c, x) for c, _, t in rows for w in [t.split()] for x in [*w, *zip(w, w[1:])]}
+    assert 0 < len(terms) < len(every) / 2
+    assert len(whole) == (max_features is not None)  # the small cluster, of which no term is counted twice, is left whole

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.functions.text import TOKEN_PATTERN, term_counts, with_words
+from tidings.functions.text import TOKEN_PATTERN, mixed, term_counts, with_words
 from tidings.operators import similarity
 from tidings.operators.kernels import best_of_pairs
 from tidings.sources.layout import TEXT_BYTES, ids_repeat, materialize, text_partitions
@@ -206,13 +206,6 @@ def prefix_lengths(weights: np.ndarray, starts: np.ndarray, threshold: float) ->
     return counted[ends] - counted[starts[:-1]]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64 bits that all depend on all bits of the given ones."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _block(number: int, ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, weights: np.ndarray, least: float) -> dict:
     """A block's vectors: words numbered by hash, what stands early (by word, what is left falling), and all of them."""
     starts, doc = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
@@ -220,8 +213,8 @@ def _block(number: int, ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, w
     rounded = np.round(weights, 12).view(np.uint64)
     hashes = []
     for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        mixed = _mixed(words.view(np.uint64) ^ _mixed(rounded + np.uint64(salt)))
-        hashes.append(np.add.reduceat(mixed, starts[:-1]).view(np.int64))
+        each = mixed(words.view(np.uint64) ^ mixed(rounded + np.uint64(salt)))
+        hashes.append(np.add.reduceat(each, starts[:-1]).view(np.int64))
     lengths = prefix_lengths(weights, starts, least)
     early = np.arange(len(words)) - starts[doc] < lengths[doc]
     squares = np.concatenate([[0.0], np.cumsum(weights**2)])
