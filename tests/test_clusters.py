@@ -380,7 +380,7 @@ def test_tfidf_takes_rows_of_one_id_as_one_document(spark):
     assert got[2, "gold"] == pytest.approx(1 / length) and {c for c, _ in got} == {1, 2}
 
 
-@pytest.mark.parametrize("max_features", [20])
+@pytest.mark.parametrize("max_features", [None, 20])
 def test_few_terms_travel_before_the_first_are_known(spark, monkeypatch, max_features):
     import random
 
