@@ -276,3 +276,26 @@ def test_close_pairs_equal_a_full_ranking(monkeypatch, few):
         rows, cols = kernels.best_columns(side, ids, 3)
         assert found[0].tolist() == rows.tolist() and found[1].tolist() == cols.tolist()
         assert np.allclose(found[2], side[rows, cols], atol=1e-12)
+
+
+@pytest.mark.parametrize("few", [0, 4, 10**6])
+def test_pairs_below_known_neighbours_are_left_out(monkeypatch, few):
+    from tidings.operators import cells, kernels
+
+    monkeypatch.setattr(kernels, "FEW_PAIRS", few)
+    rng = np.random.default_rng(1)
+    a, b = (kernels.unit_rows(rng.normal(size=(n, 6))) for n in (200, 300))
+    a_ids, b_ids = np.arange(200), np.arange(200, 500)
+    for floor in (0.2, -np.inf):
+        # Each row has three neighbours elsewhere; two rows have none yet.
+        floors = tuple(np.where(np.arange(len(x)) < 2, max(floor, -1.0), rng.uniform(0.6, 0.9, len(x))) for x in (a, b))
+        scores = a @ b.T
+        found = cells._best_in(a, b, a_ids, b_ids, 3, floor, True, floors)
+        for (own, other, score), side, ids, least in zip(found, (scores, scores.T), (b_ids, a_ids), floors, strict=True):
+            want = np.where((side > floor) & (side >= least[:, None]), side, -np.inf)
+            rows, cols = kernels.best_columns(want, ids, 3)
+            met = set(zip(own.tolist(), other.tolist(), strict=True))
+            assert met >= set(zip(rows.tolist(), cols.tolist(), strict=True))
+            assert np.allclose(score, side[own, other], atol=1e-12) and np.bincount(own).max() <= 3
+            if few == 10**6 and floor > 0:
+                assert len(met) < (side > floor).sum() / 4

@@ -37,7 +37,7 @@ _SLACK = 1e-7
 
 PLACED = "id BIGINT, embedding ARRAY<FLOAT>, cell INT, angle DOUBLE, tile INT"
 SEEDED = f"{PLACED}, reach DOUBLE, others ARRAY<BIGINT>, similarities ARRAY<DOUBLE>"
-VISITS = "a INT, b INT, tile INT, id BIGINT, embedding ARRAY<FLOAT>"
+VISITS = "a INT, b INT, tile INT, id BIGINT, embedding ARRAY<FLOAT>, reach DOUBLE"
 EDGES = "id BIGINT, other BIGINT, similarity DOUBLE"
 
 
@@ -148,13 +148,15 @@ def place(assigned: DataFrame, tiling: Tiling) -> DataFrame:
 
 
 def _best_in(
-    a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int, floor: float, both: bool
-) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int, floor: float, both: bool,
+    floors: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The ``k`` best rows of ``b`` above the floor for each row of ``a`` (own row, other row, cosine), and the reverse.
 
-    Above a threshold there are mostly few pairs, which are found without ranking all scores.
+    Above a threshold there are mostly few pairs, which are found without ranking all scores. ``floors`` are the
+    cosines of neighbours that the rows have already: what is below both floors of a pair may be left out.
     """
-    pairs = close_pairs(a, b, floor) if floor > 0 else None
+    pairs = close_pairs(a, b, floor, floors) if floor > 0 or floors is not None else None
     sides = [(a_ids, b_ids), (b_ids, a_ids)] if both else [(a_ids, b_ids)]
     if pairs is not None:
         rows, cols, scores = pairs[0], pairs[1], snapped(pairs[2])
@@ -260,8 +262,9 @@ def _visits(tiling: Tiling, held: Rings):
                         *(pa.array(x.astype(np.int32)) for x in arrays),
                         rows.column("id").take(picked),
                         rows.column("embedding").take(picked),
+                        rows.column("reach").take(picked),
                     ],
-                    names=["a", "b", "tile", "id", "embedding"],
+                    names=["a", "b", "tile", "id", "embedding", "reach"],
                 )
 
     return run
@@ -278,13 +281,15 @@ def _compare(k: int, threshold: float | None):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tile = table.column("tile").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy(zero_copy_only=False)
+        # Nothing that is further away than its reach is among a row's best.
+        least = np.cos(table.column("reach").to_numpy(zero_copy_only=False)) - _SLACK
         left, right = np.flatnonzero(tile == key[0].as_py()), np.flatnonzero(tile == key[1].as_py())
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(left) and len(right):
             units = unit_rows(matrix(table.column("embedding")))
             for start in range(0, len(left), SLICE_ROWS):
                 part = left[start : start + SLICE_ROWS]
-                there, back = _best_in(units[part], units[right], ids[part], ids[right], k, floor, True)
+                there, back = _best_in(units[part], units[right], ids[part], ids[right], k, floor, True, (least[part], least[right]))
                 found.append((ids[part][there[0]], ids[right][there[1]], there[2]))
                 found.append((ids[right][back[0]], ids[part][back[1]], back[2]))
         own, other, similarity = (np.concatenate(side) for side in zip(*found, strict=True))
@@ -364,12 +369,13 @@ def edges_to_known(
     asked = fresh.select("id", "embedding", "cell").mapInArrow(run, "b INT, id BIGINT, embedding ARRAY<FLOAT>")
     blocks = max(1, math.ceil(total / TILE_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    asked = materialize(asked.withColumns({"block": block, "tile": F.lit(-1)}))
+    asked = materialize(asked.withColumns({"block": block, "tile": F.lit(-1), "reach": F.lit(reach)}))
     tiles = [row["b"] for row in asked.select("b").distinct().collect()]
     read = sorted({int(c) for c in tiling.cell_of_tile[tiles]}) if tiles else []
     near = known.filter(F.col("cell").isin(read)).join(F.broadcast(asked.select(F.col("b").alias("tile")).distinct()), "tile")
     homes = near.select(
-        F.col("tile").alias("b"), "id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tile"
+        F.col("tile").alias("b"), "id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tile",
+        F.lit(reach).alias("reach"),
     )
     met = asked.select(homes.columns).unionByName(homes).withColumn("a", F.lit(-1))
     return met.groupBy("a", "b", "block").applyInArrow(_compare(k, threshold), EDGES)

@@ -50,17 +50,25 @@ def best_columns(
 FEW_PAIRS = 32
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def close_pairs(
+    a: np.ndarray, b: np.ndarray, floor: float, floors: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Rows of two unit matrices whose cosine is above ``floor``, with the cosine; None if they are many.
 
-    Single precision finds them, with room for its rounding; double precision decides.
+    With ``floors``, a pair has to come up to the floor of either of its rows too. Single precision finds the
+    pairs, with room for its rounding; double precision decides.
     """
     room = 4.0 * (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
-    rows, cols = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T > np.float32(floor - room))
-    if len(rows) > FEW_PAIRS * len(a):
+    scores = a.astype(np.float32) @ b.astype(np.float32).T
+    if floors is None:
+        near = scores > np.float32(floor - room)
+    else:
+        near = scores > (np.maximum(floors[0], floor) - room).astype(np.float32)[:, None]
+        near |= scores > (np.maximum(floors[1], floor) - room).astype(np.float32)[None, :]
+    if np.count_nonzero(near) > FEW_PAIRS * len(a):
         return None
-    scores = np.einsum("ij,ij->i", a[rows], b[cols])
-    return rows, cols, scores
+    rows, cols = np.nonzero(near)
+    return rows, cols, np.einsum("ij,ij->i", a[rows], b[cols])
 
 
 def best_of_pairs(
